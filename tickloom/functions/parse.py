@@ -16,7 +16,7 @@ MAGNITUDES = {"K": 1, "M": 2, "B": 3, "T": 4}
 
 
 def _ungrouped(text: Column) -> Column:
-    return F.translate(text, ",", "")
+    return F.replace(text, F.lit(","), F.lit(""))
 
 
 def _zero_if_dashes(text: Column, otherwise: Column) -> Column:
@@ -52,7 +52,7 @@ def percent_points(text: Column) -> Column:
 def pair_price(text: Column) -> Column:
     """``173.20 x 1000`` -> 173.2, and ``--`` -> 0"""
     bare = _ungrouped(text)
-    return _zero_if_dashes(bare, F.split_part(bare, F.lit(" x "), F.lit(1))).try_cast("double")
+    return _zero_if_dashes(bare, F.substring_index(bare, " x ", 1)).try_cast("double")
 
 
 def pair_size(text: Column) -> Column:

@@ -43,7 +43,12 @@ def assemble(rows: DataFrame) -> DataFrame:
 def train_elastic_net(
     training: DataFrame, max_iter: int = 100, reg_param: float = 0.1, elastic_net_param: float = 0.8
 ) -> LinearRegressionModel:
-    """One model over all tickers. The normal solver reads the data once and sums a small matrix on the executors."""
+    """One model over all tickers.
+
+    The normal solver sums one small matrix on the executors, however many iterations follow, and the fit then reads
+    the data once more for its summary. So the feature vectors are kept, on disk where memory is short, for the
+    second reading.
+    """
     regression = LinearRegression(
         maxIter=max_iter,
         regParam=reg_param,
@@ -52,7 +57,11 @@ def train_elastic_net(
         featuresCol="features",
         labelCol="label",
     )
-    return regression.fit(assemble(training).select("features", "label"))
+    vectors = assemble(training).select("features", "label").persist()
+    try:
+        return regression.fit(vectors)
+    finally:
+        vectors.unpersist()
 
 
 def coefficient_table(spark: SparkSession, model: LinearRegressionModel) -> DataFrame:

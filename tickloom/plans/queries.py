@@ -24,7 +24,7 @@ from tickloom.plans import backtest as bt
 from tickloom.plans import model as ml
 from tickloom.plans.signals import gen_signal
 from tickloom.schemas import CLEAN_TYPES, FEATURES, PRICE, TICKER, TIMESTAMP
-from tickloom.session import fresh_folder
+from tickloom.session import QUERY_SETTINGS, apply_settings, fresh_folder, session_settings
 from tickloom.sources import samples
 from tickloom.sources.bars import daily_close
 from tickloom.sources.messages import decode_messages, read_messages
@@ -282,7 +282,7 @@ def _stream_clean(steps: int) -> Query:
 
 def _stream_signals(spark: SparkSession, folder: str, chunks: Callable[[_Staged], list[DataFrame]]) -> DataFrame:
     staged = _Staged(spark, folder, "signals")
-    with service.session_settings(spark, _state(spark)):
+    with session_settings(spark, _state(spark)):
         for messages in chunks(staged):
             staged.lay_down(messages)
             signals = gen_signal(staged.quotes(), WINDOW, HOUR, watermark=service.WATERMARK)
@@ -397,7 +397,7 @@ QUERIES: dict[str, Query] = {
 def comparable_queries() -> dict[str, Query]:
     def wrap(query: Query) -> Query:
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            apply_settings(spark, QUERY_SETTINGS)
             return _comparable(query(spark, folder))
 
         return run

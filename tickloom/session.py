@@ -9,6 +9,31 @@ from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
+# Settings the queries rely on. Times are read and shown in UTC. A projection of a whole quote compiles to one method
+# too long for the JVM to optimize (8000 bytes of bytecode); over that limit Spark generates shorter ones instead.
+QUERY_SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+# For a large cluster: plan again with real sizes at run time, split what is skewed, and aim at partitions that fit
+# in an executor's share of memory. The number of shuffle partitions is an upper limit; small ones are merged.
+CLUSTER_SETTINGS = {
+    **QUERY_SETTINGS,
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.files.maxPartitionBytes": "256m",
+}
+
+
+def apply_settings(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    return spark
+
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder that every executor reaches: ``spark.checkpoint.dir``, or a temporary one where it is unset."""

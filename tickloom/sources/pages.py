@@ -24,20 +24,28 @@ SUMMARY_ATTRIBUTES = {
 # Fields without an attribute, by their place in the page's list of label and value, from 1.
 LISTED_FIELDS = {"bid": 3, "ask": 4, "beta": 10, "pe_ratio": 11, "eps": 12}
 
-# A tag that names a symbol, with the tags that open right behind it and the text up to the next tag.
-_TAGGED = r'(<[a-zA-Z-]+\s[^>]*data-symbol="[^"]*"[^>]*>(?:\s*<[a-zA-Z][^>]*>)*[^<]*)'
+# A tag from its symbol on: symbol, later attributes, tags that open right behind it, text up to the next tag. Patterns
+# that begin with fixed text of some length are found by skipping; quantifiers never give back what they took.
+_TEXT = r'[^>]*+>(?:\s*+<[a-zA-Z][^>]*+>)*+'
+_SYMBOL = r'data-symbol="([^"]*+"'
+_TAGGED = _SYMBOL + _TEXT + "[^<]*+)"
 # A list item of two spans; the text of the second one.
-_LISTED = r"<li[^>]*>\s*<span[^>]*>[^<]*</span>\s*<span[^>]*>(?:\s*<[a-zA-Z][^>]*>)*([^<]*)<"
+_LISTED = r"<li[^>]*+>\s*+<span[^>]*+>[^<]*+</span>\s*+<span[^>]*+>(?:\s*+<[a-zA-Z][^>]*+>)*+([^<]*+)<"
 
 
-def _tagged_text(tags: Column, attribute: str) -> Column:
-    """Text of the first tag with the attribute; null where there is none."""
-    first = F.get(F.filter(tags, lambda tag: F.contains(tag, F.lit(attribute))), F.lit(0))
-    return F.nullif(F.trim(F.substring_index(first, ">", -1)), F.lit(""))
+def _tagged_text(html: Column, attribute: str) -> Column:
+    """Text of the page's first own tag with the attribute, empty or null where there is none.
+
+    The symbol mostly comes before the other attributes. Where it does not, the page is searched once more.
+    """
+    text = F.regexp_extract(F.col("_tags"), attribute + _TEXT + "([^<]*+)", 1)
+    symbol_last = F.regexp_extract_all(html, F.lit(attribute + "[^>]*?" + _TAGGED), F.lit(1))
+    own = F.get(F.filter(symbol_last, lambda tag: F.startswith(tag, F.col("_own"))), F.lit(0))
+    return F.when(text != "", text).otherwise(F.substring_index(own, ">", -1))
 
 
-def _listed_text(items: Column, place: int) -> Column:
-    return F.nullif(F.trim(F.get(items, F.lit(place - 1))), F.lit(""))
+def _unless_blank(text: Column) -> Column:
+    return F.nullif(F.trim(text), F.lit(""))
 
 
 def _all_or_nothing(texts: dict[str, Column]) -> dict[str, Column]:
@@ -51,26 +59,26 @@ def _all_or_nothing(texts: dict[str, Column]) -> dict[str, Column]:
 def extract_quotes(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
     """Raw quote of each page: ``ticker_symbol``, the kept columns and the 14 text fields.
 
-    The page is read by two patterns only, one for tagged texts and one for the list; the fields are then picked
-    from the short arrays these give. A page shows other symbols too, so tags must name the page's own. The
-    market fields come all or not at all, and so do the summary fields.
+    Two patterns read the page, one for tagged texts and one for the list; the fields are then picked from the short
+    texts these give. A page shows other symbols too, so tags must name the page's own. The market fields come all
+    or not at all, and so do the summary fields.
     """
-    own = F.concat(F.lit('data-symbol="'), F.col(TICKER), F.lit('"'))
+    page = F.col(html)
     arrays = pages.select(
         TICKER,
         *keep,
-        F.regexp_extract_all(F.col(html), F.lit(_TAGGED), F.lit(1)).alias("_tags"),
-        F.regexp_extract_all(F.col(html), F.lit(_LISTED), F.lit(1)).alias("_items"),
-    ).select(
-        TICKER,
-        *keep,
-        F.filter("_tags", lambda tag: F.contains(tag, own)).alias("_tags"),
-        "_items",
+        page,
+        F.concat(TICKER, F.lit('"')).alias("_own"),
+        F.regexp_extract_all(page, F.lit(_TAGGED), F.lit(1)).alias("_tags"),
+        F.regexp_extract_all(page, F.lit(_LISTED), F.lit(1)).alias("_items"),
     )
-    market = {name: _tagged_text(F.col("_tags"), mark) for name, mark in MARKET_ATTRIBUTES.items()}
-    summary = {name: _tagged_text(F.col("_tags"), mark) for name, mark in SUMMARY_ATTRIBUTES.items()}
-    summary |= {name: _listed_text(F.col("_items"), place) for name, place in LISTED_FIELDS.items()}
-    texts = arrays.select(TICKER, *keep, *[text.alias(name) for name, text in (market | summary).items()])
+    own_tags = F.filter("_tags", lambda tag: F.startswith(tag, F.col("_own")))
+    arrays = arrays.withColumn("_tags", F.array_join(own_tags, "</"))
+    market = {name: _tagged_text(page, mark) for name, mark in MARKET_ATTRIBUTES.items()}
+    summary = {name: _tagged_text(page, mark) for name, mark in SUMMARY_ATTRIBUTES.items()}
+    summary |= {name: F.get("_items", F.lit(place - 1)) for name, place in LISTED_FIELDS.items()}
+    found = arrays.select(TICKER, *keep, *[text.alias(name) for name, text in (market | summary).items()])
+    texts = found.select(TICKER, *keep, *[_unless_blank(F.col(name)).alias(name) for name in market | summary])
     gated = _all_or_nothing({name: F.col(name) for name in market})
     gated |= _all_or_nothing({name: F.col(name) for name in summary})
     return texts.select(TICKER, *keep, *[gated[name].alias(name) for name in RAW_FIELDS])

@@ -6,16 +6,17 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tickloom.operators.clean import clean_quotes
 from tickloom.operators.ordered import ROWS_PER_SEGMENT
 from tickloom.plans.model import LABEL_HORIZON, ModelStore, ols_signal, score, train_elastic_net, training_set
 from tickloom.plans.signals import gen_signal
-from tickloom.schemas import CLEAN_TOPIC, OLS_TOPIC, SIGNAL_TOPIC
+from tickloom.schemas import CLEAN_TOPIC, OLS_TOPIC, SIGNAL_TOPIC, TIMESTAMP
 from tickloom.session import session_settings
 from tickloom.sources.messages import BROKER_SEQUENCE, FILE_SEQUENCE, broker_options, decode_messages, read_messages
-from tickloom.streaming.sinks import Sink, collection_sink, fan_out, start_query, topic_sink
+from tickloom.streaming.sinks import DATE, Sink, collection_sink, fan_out, start_query, topic_sink
 
 # Seconds between batches of each kind of query, window length and late-data allowance.
 CLEAN_INTERVAL = 3
@@ -41,16 +42,20 @@ def train_on_batch(
     horizon: int = LABEL_HORIZON,
     sequence: Sequence[str] = FILE_SEQUENCE,
     rows_per_segment: int = ROWS_PER_SEGMENT,
+    history: str | None = None,
+    minutes: int = 60,
 ) -> Callable[[DataFrame, int], None]:
     """Micro-batch function: fit a model on the batch's own rows and store it under the batch number.
 
-    A batch without a labelled row leaves the stored models as they are.
+    With ``history``, the path of clean quotes laid out by date, the batch only sets the time, and the model is fit on
+    the stored quotes of the last ``minutes``. Without a labelled row the stored models stay as they are.
     """
 
     def train(rows: DataFrame, batch_id: int) -> None:
         rows.persist()
         try:
-            training = training_set(rows, horizon, sequence, rows_per_segment)
+            recent = rows if history is None else recent_history(rows, history, minutes)
+            training = training_set(recent, horizon, sequence, rows_per_segment)
             if not training.isEmpty():
                 store.save(train_elastic_net(training), batch_id)
         finally:
@@ -59,6 +64,16 @@ def train_on_batch(
     return train
 
 
+def recent_history(rows: DataFrame, history: str, minutes: int) -> DataFrame:
+    """Stored clean quotes of the ``minutes`` up to the newest of the rows. Only the days in question are read."""
+    newest = rows.agg(F.unix_micros(F.max(TIMESTAMP))).first()[0]
+    until = F.timestamp_micros(F.lit(newest))
+    since = F.timestamp_micros(F.lit(newest) - F.lit(minutes * 60_000_000))
+    stored = rows.sparkSession.read.parquet(history)
+    in_days = (F.col(DATE) >= F.to_date(since)) & (F.col(DATE) <= F.to_date(until))
+    return stored.where(in_days & (F.col(TIMESTAMP) > since) & (F.col(TIMESTAMP) <= until))
+
+
 def score_batch(
     store: ModelStore, sinks: Sequence[Sink], sequence: Sequence[str] = FILE_SEQUENCE
 ) -> Callable[[DataFrame, int], None]:
@@ -95,7 +110,11 @@ class Service:
         seconds = "{} seconds".format
         queries = [
             start_query(
-                quotes, "training", train_on_batch(self.models, sequence=self.sequence), checkpoints, seconds(TRAINING_INTERVAL)
+                quotes,
+                "training",
+                train_on_batch(self.models, sequence=self.sequence),
+                checkpoints,
+                seconds(TRAINING_INTERVAL),
             ),
             start_query(
                 quotes,

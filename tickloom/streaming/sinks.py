@@ -7,25 +7,32 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tickloom.operators.messages import encode_for_topic
+from tickloom.schemas import TIMESTAMP
 
+DATE = "date"
 FILE_FORMATS = ("parquet", "orc", "json", "csv")
 
 
 @dataclass(frozen=True)
 class Sink:
-    """A place to write to. ``topic`` asks for message encoding; ``path`` is for file formats."""
+    """A place to write to. ``topic`` asks for message encoding; ``path`` is for file formats, and ``by_date`` puts
+    each day's rows in a folder of their own there, so that a reader of some days skips the rest."""
 
     name: str
     fmt: str
     options: Mapping[str, str] = field(default_factory=dict)
     topic: str | None = None
     path: str | None = None
+    by_date: bool = False
 
     def shape(self, rows: DataFrame) -> DataFrame:
         """The rows as this sink wants them."""
+        if self.by_date:
+            rows = rows.withColumn(DATE, F.to_date(TIMESTAMP))
         return rows if self.topic is None else encode_for_topic(rows, self.topic)
 
     def write_batch(self, rows: DataFrame, batch_id: int) -> None:
@@ -33,6 +40,8 @@ class Sink:
         brokers and document stores get the batch appended again."""
         writer = self.shape(rows).write.format(self.fmt).options(**dict(self.options))
         if self.fmt in FILE_FORMATS:
+            if self.by_date:
+                writer = writer.partitionBy(DATE)
             writer.mode("overwrite").save(f"{self.path}/batch_id={batch_id}")
         else:
             writer.mode("append").save()
@@ -52,8 +61,11 @@ def collection_sink(database: str, collection: str, uri: str | None = None) -> S
     return Sink(f"collection {collection}", "mongodb", options)
 
 
-def file_sink(name: str, path: str, fmt: str = "parquet", topic: str | None = None) -> Sink:
-    return Sink(name, fmt, topic=topic, path=path)
+def file_sink(name: str, path: str, fmt: str = "parquet", topic: str | None = None, by_date: bool = False) -> Sink:
+    """Files below a path. Messages have no date of their own, so ``by_date`` is for rows only."""
+    if topic is not None and by_date:
+        raise ValueError("encoded messages cannot be laid out by date")
+    return Sink(name, fmt, topic=topic, path=path, by_date=by_date)
 
 
 def console_sink() -> Sink:
@@ -95,4 +107,6 @@ def start_query(
     if not isinstance(target, Sink):
         return writer.foreachBatch(target).start()
     writer = writer.format(target.fmt).options(**dict(target.options))
+    if target.by_date:
+        writer = writer.partitionBy(DATE)
     return writer.start(target.path) if target.path else writer.start()
