@@ -35,10 +35,10 @@ def brute_force(rows, length, slide):
     groups = defaultdict(list)
     for ticker, micros, event, price in rows:
         second = micros // 1_000_000
-        end = second // slide * slide + slide
-        while end - length <= second:
-            groups[ticker, end].append((micros, event, price))
-            end += slide
+        begin = second // slide * slide
+        while begin + length > second:
+            groups[ticker, begin + length].append((micros, event, price))
+            begin -= slide
     result = {}
     for key, found in groups.items():
         prices = [price for *_, price in found if price is not None]
