@@ -5,7 +5,8 @@ Common table expressions are named once and put in front of each statement.
 
 from __future__ import annotations
 
-from tickloom.plans.queries import AS_OF, BARS_FROM, BARS_TO, LATE_DAY, RECENT_SECONDS
+from tickloom.operators.windows import NEWEST_FEATURES
+from tickloom.plans.queries import AS_OF, BARS_FROM, BARS_TO, DECIMALS, LATE_DAY, RECENT_SECONDS, TIE_SHIFT
 from tickloom.schemas import CLEAN_FIELDS, CLEAN_TOPIC, FEATURES, RAW_FIELDS, SIGNAL_TOPIC
 
 _RAW = """
@@ -160,8 +161,12 @@ def _names(names: tuple[str, ...]) -> str:
     return ", ".join(f'"{name}"' for name in names)
 
 
+def _round(value: str) -> str:
+    return f"round({value} + {TIE_SHIFT:.0e}, {DECIMALS})"
+
+
 def _rounded(*names: str) -> str:
-    return ", ".join(f'round("{name}", 6) as "{name}"' for name in names)
+    return ", ".join(f"""{_round('"' + name + '"')} as "{name}\"""" for name in names)
 
 
 def _with(tables: str, select: str) -> str:
@@ -181,10 +186,10 @@ def _merged(label: str, quote: str, signal: str) -> str:
     return _with(
         _CLEAN + "," + _signals(_UNTIL_AS_OF),
         f"""
-select '{quote}' as {label}, ticker_symbol, {_JSON_TIME} as "timestamp", round(regular_market_price, 6) as regular_market_price,
+select '{quote}' as {label}, ticker_symbol, {_JSON_TIME} as "timestamp", {_round('regular_market_price')} as regular_market_price,
   cast(null as double) as moving_avg_price, cast(null as int) as rsi_signal, cast(null as int) as mac_signal from clean
 union all
-select '{signal}', ticker_symbol, {_JSON_TIME}, null, round(moving_avg_price, 6), rsi_signal, mac_signal from signals""",
+select '{signal}', ticker_symbol, {_JSON_TIME}, null, {_round('moving_avg_price')}, rsi_signal, mac_signal from signals""",
     )
 
 
@@ -217,12 +222,12 @@ matched as (
   asof left join prices b on s.ticker_symbol = b.ticker_symbol and s."timestamp" >= b.ts
   asof left join prices a on s.ticker_symbol = a.ticker_symbol and s."timestamp" <= a.ts
 )""",
-    """
-select ticker_symbol, "timestamp", round(moving_avg_price, 6) as moving_avg_price,
-  round(case when n < 2 then moving_avg_price when x2 = x then y2
+    f"""
+select ticker_symbol, "timestamp", {_rounded("moving_avg_price", "signal_value")} from (
+  select *, case when n < 2 then moving_avg_price when x2 = x then y2
     when x1 is null or x2 is null then moving_avg_price
-    else y1 + (y2 - y1) * (cast(x - x1 as double) / (x2 - x1)) end, 6) as signal_value
-from matched""",
+    else y1 + (y2 - y1) * (cast(x - x1 as double) / (x2 - x1)) end as signal_value
+  from matched)""",
 )
 
 _RETAINED = f"""
@@ -233,13 +238,18 @@ select ticker_symbol, "timestamp", event_id, regular_market_price from (
   from events)
 where n <= 180 and "timestamp" >= newest - interval {RECENT_SECONDS} second"""
 
+
+
+def _snapshot_of(name: str) -> str:
+    if name in NEWEST_FEATURES:
+        return f"""max_by("{name}", row("timestamp", event_id))"""
+    return f"""avg("{name}")"""
+
+
 _SNAPSHOT = _with(
     _CLEAN,
     f"""
-select ticker_symbol, {", ".join(
-        f'round({"max_by" if name in FEATURES[:3] else "avg"}("{name}"'
-        f'{", row(" + chr(34) + "timestamp" + chr(34) + ", event_id)" if name in FEATURES[:3] else ""}), 6) as "{name}"'
-        for name in FEATURES)}
+select ticker_symbol, {", ".join(f'{_round(_snapshot_of(name))} as "{name}"' for name in FEATURES)}
 from clean group by 1""",
 )
 
@@ -272,7 +282,7 @@ _MARKED = _with(
     " union all ".join(
         f"""
 select ticker_symbol, date, {i} as strategy, case when positions_ols_{i} > 0 then 'buy' else 'sell' end as marker,
-  round(cum_strat_ols_{i}, 6) as cum_return
+  {_round(f'cum_strat_ols_{i}')} as cum_return
 from tested where positions_ols_{i} <> 0"""
         for i in (1, 2)
     ),
@@ -295,7 +305,7 @@ ORACLES: dict[str, str] = {
     "extract_quote_fields": _EXTRACTED,
     "daily_close": _with(
         _BARS,
-        f"""select ticker_symbol, date, round(close, 6) as close from bars
+        f"""select ticker_symbol, date, {_rounded('close')} from bars
 where date >= date '{BARS_FROM}' and date < date '{BARS_TO}'""",
     ),
     "clean_prices": _clean_part(*CLEAN_FIELDS[:5]),
@@ -370,8 +380,8 @@ from coefficients""",
     "stream_late_data": _closed(_ON_TIME),
     "stream_fanout": _with(
         _CLEAN,
-        """
-select sink, ticker_symbol, count(*) as n, round(sum(regular_market_price), 6) as price_sum,
+        f"""
+select sink, ticker_symbol, count(*) as n, {_round("sum(regular_market_price)")} as price_sum,
   cast(sum(average_volume) as bigint) as volume_sum
 from clean, (values ('topic'), ('collection')) as sinks(sink) group by 1, 2""",
     ),

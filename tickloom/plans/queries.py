@@ -39,6 +39,9 @@ BARS_FROM, BARS_TO = "1993-01-01", "1998-01-01"
 RECENT_SECONDS = 232_000
 LATE_DAY = ("2024-01-02", "2024-01-03")
 SMALL_SEGMENT = 400
+# Averages of prices in cents often lie exactly between two six-decimal numbers, give or take the last bit, which
+# depends on the order of summation. A billionth on top makes all of them go up, in Spark and in SQL.
+DECIMALS, TIE_SHIFT = 6, 1e-9
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,7 +55,7 @@ def _comparable(rows: DataFrame) -> DataFrame:
     for name, kind in rows.dtypes:
         column = F.col(f"`{name}`")
         if kind == "double":
-            column = F.round(column, 6)
+            column = F.round(column + TIE_SHIFT, DECIMALS)
         elif kind == "timestamp":
             column = column.cast("timestamp_ntz")
         columns.append(column.alias(name))
