@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.schemas import FEATURES, PRICE, TICKER, TIMESTAMP
@@ -13,6 +13,9 @@ from tickloom.sources.messages import FILE_SEQUENCE
 # Features of the scoring snapshot that take the newest value; all others are averaged.
 NEWEST_FEATURES = ("regular_market_price", "regular_market_change", "regular_market_change_percent")
 
+# Windows are put together from panes in chunks of time this many window lengths long.
+WINDOWS_PER_CHUNK = 64
+
 
 def _newest_first(sequence: Sequence[str]) -> Column:
     """What orders two quotes of a ticker: time, then the sequence columns for equal times."""
@@ -32,15 +35,13 @@ def sliding_stats(
     Columns: ticker_symbol, end, regular_market_price, moving_avg_price, max_price, min_price, timestamp.
     Rows are grouped by the second their quote came in; ties within are settled by ``sequence``.
 
-    With panes, quotes are first aggregated to slide-sized panes, and the few panes are spread over the windows,
-    instead of copying every quote length / slide times before the shuffle. Both steps combine on the map side.
-    Panes need a slide that divides the length; they are the default in batch. A stream needs two stateful
-    steps for them, so there they must be asked for.
+    With panes, quotes are first aggregated to slide-sized panes, and windows are put together from panes, instead of
+    copying every quote length / slide times before the shuffle. Panes need a slide that divides the length; they
+    are the default in batch. A stream needs two stateful steps for them, so there they must be asked for.
     """
-    second = F.date_trunc("second", TIMESTAMP)
     points = quotes.select(
         TICKER,
-        second.alias("second"),
+        F.date_trunc("second", TIMESTAMP).alias("second"),
         _newest_first(sequence).alias("place"),
         F.col(PRICE).alias("price"),
     )
@@ -48,49 +49,103 @@ def sliding_stats(
         points = points.withWatermark("second", watermark)
     if use_panes is None:
         use_panes = not quotes.isStreaming and length_seconds % slide_seconds == 0
-    length, slide = f"{length_seconds} seconds", f"{slide_seconds} seconds"
-    newest_price = F.max_by("price", "place").alias(PRICE)
     if not use_panes:
-        stats = points.groupBy(TICKER, F.window("second", length, slide).alias("window")).agg(
-            newest_price,
-            F.avg("price").alias("moving_avg_price"),
-            F.max("price").alias("max_price"),
-            F.min("price").alias("min_price"),
-            F.max("second").alias(TIMESTAMP),
-        )
-    else:
-        if length_seconds % slide_seconds:
-            raise ValueError("panes need a window length that is a multiple of the slide")
-        panes = points.groupBy(TICKER, F.window("second", slide).alias("pane")).agg(
-            F.max_by("price", "place").alias("price"),
-            F.max("place").alias("place"),
-            F.sum("price").alias("total"),
-            F.count("price").alias("n"),
-            F.max("price").alias("highest"),
-            F.min("price").alias("lowest"),
-            F.max("second").alias("second"),
-        )
-        in_pane = F.window_time("pane") if quotes.isStreaming else F.col("pane.start")
-        stats = (
-            panes.withColumn("in_pane", in_pane)
-            .groupBy(TICKER, F.window("in_pane", length, slide).alias("window"))
-            .agg(
-                newest_price,
-                F.try_divide(F.sum("total"), F.sum("n")).alias("moving_avg_price"),
-                F.max("highest").alias("max_price"),
-                F.min("lowest").alias("min_price"),
-                F.max("second").alias(TIMESTAMP),
-            )
-        )
-    return stats.select(
-        TICKER,
-        F.col("window.end").alias("end"),
-        PRICE,
-        "moving_avg_price",
-        "max_price",
-        "min_price",
-        TIMESTAMP,
+        return _from_quotes(points, length_seconds, slide_seconds)
+    if length_seconds % slide_seconds:
+        raise ValueError("panes need a window length that is a multiple of the slide")
+    if quotes.isStreaming:
+        return _from_pane_stream(points, length_seconds, slide_seconds)
+    return _from_panes(points, length_seconds, slide_seconds)
+
+
+def _as_stats(windows: DataFrame, end: Column) -> DataFrame:
+    return windows.select(
+        TICKER, end.alias("end"), PRICE, "moving_avg_price", "max_price", "min_price", F.col("second").alias(TIMESTAMP)
+    )
+
+
+def _from_quotes(points: DataFrame, length_seconds: int, slide_seconds: int) -> DataFrame:
+    window = F.window("second", f"{length_seconds} seconds", f"{slide_seconds} seconds").alias("window")
+    windows = points.groupBy(TICKER, window).agg(
+        F.max_by("price", "place").alias(PRICE),
+        F.avg("price").alias("moving_avg_price"),
+        F.max("price").alias("max_price"),
+        F.min("price").alias("min_price"),
+        F.max("second").alias("second"),
     )
+    return _as_stats(windows, F.col("window.end"))
+
+
+def _pane_aggregates() -> list[Column]:
+    return [
+        F.max_by("price", "place").alias("price"),
+        F.max("place").alias("place"),
+        F.sum("price").alias("total"),
+        F.count("price").alias("n"),
+        F.max("price").alias("highest"),
+        F.min("price").alias("lowest"),
+        F.max("second").alias("second"),
+    ]
+
+
+def _from_pane_stream(points: DataFrame, length_seconds: int, slide_seconds: int) -> DataFrame:
+    """Two stateful steps: quotes to panes, and closed panes to windows."""
+    length, slide = f"{length_seconds} seconds", f"{slide_seconds} seconds"
+    panes = points.groupBy(TICKER, F.window("second", slide).alias("pane")).agg(*_pane_aggregates())
+    in_pane = F.window_time("pane")
+    windows = panes.groupBy(TICKER, F.window(in_pane, length, slide).alias("window")).agg(
+        F.max_by("price", "place").alias(PRICE),
+        F.try_divide(F.sum("total"), F.sum("n")).alias("moving_avg_price"),
+        F.max("highest").alias("max_price"),
+        F.min("lowest").alias("min_price"),
+        F.max("second").alias("second"),
+    )
+    return _as_stats(windows, F.col("window.end"))
+
+
+def _from_panes(points: DataFrame, length_seconds: int, slide_seconds: int) -> DataFrame:
+    """Quotes to panes by a combining aggregation, and panes to windows by a range frame.
+
+    Panes are named by the second they begin at, and a window by that of its last pane. Windows are put together per
+    ticker and chunk of time. A chunk has a fixed number of panes, whatever the number of quotes, so no group grows
+    with a busy ticker. A pane whose windows reach into the next chunk goes there too.
+    """
+    reach = length_seconds - slide_seconds
+    chunk_seconds = WINDOWS_PER_CHUNK * length_seconds
+    second = F.unix_seconds("second")
+    panes = points.groupBy(TICKER, (second - F.pmod(second, F.lit(slide_seconds))).alias("begin")).agg(*_pane_aggregates())
+
+    def chunk_of(seconds: Column) -> Column:
+        return F.floor(seconds / chunk_seconds)
+
+    chunks = F.explode(F.sequence(chunk_of(F.col("begin")), chunk_of(F.col("begin") + reach)))
+    placed = panes.select("*", chunks.alias("chunk"))
+    # A pane opens its own window and the ones up to the next pane, as far as it reaches and the chunk goes.
+    group = Window.partitionBy(TICKER, "chunk")
+    until = F.least(
+        F.col("begin") + reach,
+        F.lead("begin").over(group.orderBy("begin")) - slide_seconds,
+        (F.col("chunk") + 1) * chunk_seconds - slide_seconds,
+    )
+    own = F.col("last_pane") == F.col("begin")
+    opened = placed.withColumn("until", until).select(
+        "*", F.explode(F.sequence("begin", "until", F.lit(slide_seconds).cast("bigint"))).alias("last_pane")
+    )
+    frame = group.orderBy("last_pane").rangeBetween(-reach, 0)
+    newest = F.last(F.when(own, F.struct("price", "second")), ignorenulls=True).over(frame)
+    windows = opened.select(
+        TICKER,
+        "last_pane",
+        (F.col("last_pane") >= F.col("chunk") * chunk_seconds).alias("of_chunk"),
+        newest.alias("newest"),
+        F.try_divide(F.sum(F.when(own, F.col("total"))).over(frame), F.sum(F.when(own, F.col("n"))).over(frame)).alias(
+            "moving_avg_price"
+        ),
+        F.max(F.when(own, F.col("highest"))).over(frame).alias("max_price"),
+        F.min(F.when(own, F.col("lowest"))).over(frame).alias("min_price"),
+    ).where("of_chunk")
+    windows = windows.select("*", F.col("newest.price").alias(PRICE), F.col("newest.second").alias("second"))
+    return _as_stats(windows, F.timestamp_seconds(F.col("last_pane") + slide_seconds))
 
 
 def feature_snapshot(quotes: DataFrame, sequence: Sequence[str] = FILE_SEQUENCE) -> DataFrame:

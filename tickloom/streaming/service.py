@@ -93,7 +93,11 @@ def score_batch(
 
 @dataclass
 class Service:
-    """What the service reads, where it writes, and where it keeps its progress and models."""
+    """What the service reads, where it writes, and where it keeps its progress and models.
+
+    ``use_panes`` aggregates quotes to panes before windows: far less state work for busy tickers, and windows that
+    may come out one batch later.
+    """
 
     quotes: DataFrame
     checkpoints: str
@@ -102,6 +106,7 @@ class Service:
     signal_sinks: Sequence[Sink]
     ols_sinks: Sequence[Sink]
     sequence: Sequence[str] = FILE_SEQUENCE
+    use_panes: bool = False
     state_settings: dict[str, str] = field(default_factory=lambda: stateful_settings(200))
 
     def start(self) -> list[StreamingQuery]:
@@ -125,7 +130,14 @@ class Service:
             ),
             start_query(quotes, "clean-quotes", fan_out(self.quote_sinks), checkpoints, seconds(CLEAN_INTERVAL)),
         ]
-        signals = gen_signal(quotes, WINDOW_SECONDS, SIGNAL_INTERVAL, sequence=self.sequence, watermark=WATERMARK)
+        signals = gen_signal(
+            quotes,
+            WINDOW_SECONDS,
+            SIGNAL_INTERVAL,
+            sequence=self.sequence,
+            watermark=WATERMARK,
+            use_panes=self.use_panes,
+        )
         with session_settings(quotes.sparkSession, self.state_settings):
             queries.append(
                 start_query(signals, "rsi-mac-signal", fan_out(self.signal_sinks), checkpoints, seconds(SIGNAL_INTERVAL))
