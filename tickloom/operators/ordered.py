@@ -68,6 +68,17 @@ class Layout:
             found = found.withColumn("_number", F.when(passed, further).otherwise(F.col("_number")))
         return found.select(*rows.columns, self._series(F.col("_number")))
 
+    def settle(self, rows: DataFrame) -> DataFrame:
+        """Store the rows of a cut layout in the checkpoint folder.
+
+        Each step over a cut layout reads its input twice, so a chain of steps would repeat the early ones again and
+        again. Without cut keys a step reads its input once, and the rows are passed on as they are.
+        """
+        if self.splits is None:
+            return rows
+        shared_folder(rows.sparkSession)
+        return rows.checkpoint()
+
     def release(self, rows: DataFrame) -> DataFrame:
         """Drop the segment."""
         return rows.drop(SERIES)

@@ -129,6 +129,6 @@ def backtest(bars: DataFrame, lags: int = 2, rows_per_segment: int = ROWS_PER_SE
     The regressions use the first two lags; more lags only shorten the series.
     """
     laid_out, layout = lay_out(bars, rows_per_segment)
-    features = prepared(laid_out, layout, lags)
+    features = layout.settle(prepared(laid_out, layout, lags))
     held = strategy_returns(positions(features, grouped_ols(features), layout))
     return layout.release(cumulative_returns(position_changes(held, layout), layout))

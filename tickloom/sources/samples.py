@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.schemas import PRICE, RAW_FIELDS, TICKER, TIMESTAMP
+from tickloom.session import spread
 from tickloom.sources.pages import LISTED_FIELDS, MARKET_ATTRIBUTES, SUMMARY_ATTRIBUTES
 
 
@@ -53,7 +54,7 @@ def raw_quotes(spark: SparkSession, folder: str) -> DataFrame:
         "eps": _text(k - 30, ".5"),
         "1y_target_est": dashes_every(11, F.format_number(scaled + 2, 2)),
     }
-    events = table(spark, folder, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    events = spread(table(spark, folder, "events")).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     return events.select(
         F.col("event_type").alias(TICKER),
         "event_id",
