@@ -147,6 +147,7 @@ def test_training_and_scoring_batches(spark, folder):
 
 def test_training_on_stored_quotes(spark, folder):
     quotes = full_quotes(spark, 7200)
+    assert service.recent_history(quotes, f"{folder}/clean", minutes=10).count() == 7200, "nothing is stored yet"
     fan_out([file_sink("clean", f"{folder}/clean", by_date=True)])(quotes, 0)
     recent = service.recent_history(quotes.where("event_id < 5000"), f"{folder}/clean", minutes=10)
     ids = recent.agg(F.min("event_id"), F.max("event_id"), F.count("*")).first()

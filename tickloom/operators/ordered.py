@@ -19,9 +19,10 @@ from tickloom.session import shared_folder
 
 SERIES = "_series"
 ROWS_PER_SEGMENT = 4_000_000
-# A split point is a few values; this many are below 100 MB, so the table of them can always be broadcast.
-MAX_SPLITS = 1_000_000
-_SAMPLES_PER_SEGMENT = 32
+# Segments grow on inputs that would need more of them. A split point is a few values, so this many stay far below
+# 100 MB and can be broadcast, and the sampled points of even a single key fit one task.
+MAX_SPLITS = 300_000
+_SAMPLES_PER_SEGMENT = 16
 
 
 @dataclass(frozen=True)
@@ -158,7 +159,9 @@ def lagged(rows: DataFrame, layout: Layout, outputs: Mapping[str, tuple[str, int
     carry = F.slice(F.flatten(F.collect_list("_ends").over(nearest)), 1, reach)
     carried = ends.select(layout.by, carry.alias("_carry"))
 
-    inside = [F.lag(column, abs(offset)).over(window).alias(f"_in_{name}") for name, (column, offset) in outputs.items()]
+    inside = [
+        F.lag(column, abs(offset)).over(window).alias(f"_in_{name}") for name, (column, offset) in outputs.items()
+    ]
     ranked = rows.select("*", *inside, F.row_number().over(window).alias("_rank"))
     joined = ranked.join(carried, layout.by, "left")
 

@@ -113,7 +113,8 @@ def _from_panes(points: DataFrame, length_seconds: int, slide_seconds: int) -> D
     reach = length_seconds - slide_seconds
     chunk_seconds = WINDOWS_PER_CHUNK * length_seconds
     second = F.unix_seconds("second")
-    panes = points.groupBy(TICKER, (second - F.pmod(second, F.lit(slide_seconds))).alias("begin")).agg(*_pane_aggregates())
+    begin = (second - F.pmod(second, F.lit(slide_seconds))).alias("begin")
+    panes = points.groupBy(TICKER, begin).agg(*_pane_aggregates())
 
     def chunk_of(seconds: Column) -> Column:
         return F.floor(seconds / chunk_seconds)

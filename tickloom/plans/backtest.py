@@ -27,7 +27,8 @@ def lay_out(bars: DataFrame, rows_per_segment: int = ROWS_PER_SEGMENT) -> tuple[
 def log_returns(bars: DataFrame, layout: Layout) -> DataFrame:
     """``returns``: logarithm of close over previous close. Days without one are dropped."""
     ratio = F.try_divide("close", "_previous")
-    returned = lagged(bars, layout, {"_previous": ("close", 1)}).withColumn("returns", F.nullif(F.log(ratio), F.lit(float("nan"))))
+    returns = F.nullif(F.log(ratio), F.lit(float("nan")))
+    returned = lagged(bars, layout, {"_previous": ("close", 1)}).withColumn("returns", returns)
     return returned.where(F.col("returns").isNotNull()).drop("_previous")
 
 
@@ -54,7 +55,10 @@ def _two_regressor_fit(target: str) -> dict[str, Column]:
     spread = v1 * v2 - both * both
     trace = v1 + v2
     dependent = spread <= v1 * v2 * 1e-12
-    shortest = {1: F.try_divide(v1 * c1 + both * c2, trace * trace), 2: F.try_divide(both * c1 + v2 * c2, trace * trace)}
+    shortest = {
+        1: F.try_divide(v1 * c1 + both * c2, trace * trace),
+        2: F.try_divide(both * c1 + v2 * c2, trace * trace),
+    }
     solved = {1: F.try_divide(c1 * v2 - c2 * both, spread), 2: F.try_divide(c2 * v1 - c1 * both, spread)}
     return {f"b{i}": F.when(dependent, F.coalesce(shortest[i], F.lit(0.0))).otherwise(solved[i]) for i in (1, 2)}
 

@@ -69,6 +69,10 @@ def _clean(spark: SparkSession, folder: str) -> DataFrame:
     return clean_quotes(samples.raw_quotes(spark, folder))
 
 
+def _extract(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_quotes(samples.quote_pages(spark, folder), keep=("event_id",))
+
+
 def _cleaned(*fields: str) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         return clean_quotes(samples.raw_quotes(spark, folder), fields)
@@ -337,7 +341,7 @@ def _stream_ols(spark, folder):
 
 QUERIES: dict[str, Query] = {
     "decode_messages": lambda spark, folder: decode_messages(samples.quote_messages(spark, folder)),
-    "extract_quote_fields": lambda spark, folder: extract_quotes(samples.quote_pages(spark, folder), keep=("event_id",)),
+    "extract_quote_fields": _extract,
     "daily_close": lambda spark, folder: daily_close(_bars(spark, folder), BARS_FROM, BARS_TO),
     "clean_prices": _cleaned(
         "regular_market_price",
@@ -376,7 +380,9 @@ QUERIES: dict[str, Query] = {
     "score_elastic_net": _scores,
     "ols_signal": _ols,
     "log_returns": _backtest_step(bt.log_returns, "close", "returns"),
-    "direction": _backtest_step(lambda bars, layout: bt.direction(bt.log_returns(bars, layout)), "returns", "direction"),
+    "direction": _backtest_step(
+        lambda bars, layout: bt.direction(bt.log_returns(bars, layout)), "returns", "direction"
+    ),
     "lag_features": _backtest_step(bt.prepared, "returns", "lag_1", "lag_2"),
     "grouped_ols": _coefficients,
     "positions": _backtest_step(_held, "pos_ols_1", "pos_ols_2"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -65,11 +66,17 @@ def train_on_batch(
 
 
 def recent_history(rows: DataFrame, history: str, minutes: int) -> DataFrame:
-    """Stored clean quotes of the ``minutes`` up to the newest of the rows. Only the days in question are read."""
+    """Stored clean quotes of the ``minutes`` up to the newest of the rows, or the rows as long as nothing is stored.
+
+    Only the days in question are read.
+    """
     newest = rows.agg(F.unix_micros(F.max(TIMESTAMP))).first()[0]
     until = F.timestamp_micros(F.lit(newest))
     since = F.timestamp_micros(F.lit(newest) - F.lit(minutes * 60_000_000))
-    stored = rows.sparkSession.read.parquet(history)
+    try:
+        stored = rows.sparkSession.read.parquet(history)
+    except AnalysisException:
+        return rows
     in_days = (F.col(DATE) >= F.to_date(since)) & (F.col(DATE) <= F.to_date(until))
     return stored.where(in_days & (F.col(TIMESTAMP) > since) & (F.col(TIMESTAMP) <= until))
 
@@ -139,9 +146,8 @@ class Service:
             use_panes=self.use_panes,
         )
         with session_settings(quotes.sparkSession, self.state_settings):
-            queries.append(
-                start_query(signals, "rsi-mac-signal", fan_out(self.signal_sinks), checkpoints, seconds(SIGNAL_INTERVAL))
-            )
+            write = fan_out(self.signal_sinks)
+            queries.append(start_query(signals, "rsi-mac-signal", write, checkpoints, seconds(SIGNAL_INTERVAL)))
         return queries
 
 
