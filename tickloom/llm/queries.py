@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from tickloom.llm.mixing import MIX_SQL, mix_query
 from tickloom.llm.packing import pack_query
+from tickloom.llm.passages import passages_query
 from tickloom.llm.simhash import simhash_query
 
 QUERIES = {
     "op2_best_fit_packing": pack_query,
     "op6_source_mixing": mix_query,
+    "op7_substring_dedup": passages_query,
     "op8_simhash": simhash_query,
 }
 
