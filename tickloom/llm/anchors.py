@@ -7,7 +7,8 @@ anchors costs a small part of looking at each.
 
 Texts are dealt into blocks by their id. A block sends the distinct hashes of its anchors, a few bytes each, to buckets
 by hash; a bucket answers each block with one bit a hash. Anchors that repeat inside a block are sent once, so a passage
-that a third of all texts share sends a row per block and not per text.
+that a third of all texts share sends a row per block and not per text. Exact copies of a text with a smaller id are
+known beforehand and take no part.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ BLOCK_BYTES = 2_000_000
 BUCKET_ANCHORS = 1_000_000
 SPARE_BITS = 14  # a unique anchor is taken for a repeated one once in 2 ** SPARE_BITS
 
+COPIES = -1  # in place of a bucket, for rows that list a copy
+
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 STEP = 0xD1342543DE82EF95
 SYMBOLS = np.random.default_rng(50).integers(0, 2**64, 256, dtype=np.uint64)
@@ -118,16 +121,26 @@ def chosen_anchors(ranks: np.ndarray, lowest: np.ndarray, width: int) -> np.ndar
     return np.flatnonzero((ranks == highest) & (highest > 0))
 
 
+def copies(docs: DataFrame) -> DataFrame:
+    """doc_id of rows whose text is also that of a smaller doc_id; each once."""
+    marked = docs.where("doc_id is not null and text is not null").select("doc_id", F.sha2("text", 256).alias("text_hash"))
+    first = marked.groupBy("text_hash").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows"))
+    again = marked.join(first.where("rows > 1"), "text_hash").where("doc_id > first_id")
+    return again.select("doc_id").distinct()
+
+
 def repeated_windows(
     docs: DataFrame,
+    known: DataFrame,
     words: bool,
     window: int,
     gram: int,
     emit: Callable[[pd.Series, Block, np.ndarray, np.ndarray], pd.DataFrame],
     schema: str,
 ) -> DataFrame:
-    """What ``emit`` returns for every block of ``docs`` (doc_id, text); rows without doc_id are left out.
+    """What ``emit`` returns for every block of ``docs`` (doc_id, text).
 
+    Rows without doc_id and those of ``known``, the copies, are left out.
     emit(doc_ids in order, block, lowest rank of each window, whether each window's anchor occurs elsewhere too).
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -139,7 +152,10 @@ def repeated_windows(
     dealt = docs.where("doc_id is not null").select("doc_id", "text")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
 
-    def opened(frame: pd.DataFrame):
+    known = known.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+
+    def opened(frame: pd.DataFrame, known_ids: pd.Series):
+        frame = frame[~frame["doc_id"].isin(known_ids)]
         frame = frame.sort_values(["doc_id", "text"], kind="stable")
         block = Block([text_bytes(text) for text in frame["text"]], words)
         ranks, lowest = anchors(block, window, gram)
@@ -147,15 +163,15 @@ def repeated_windows(
         digests = mixed(ranks[places] ^ np.uint64(STEP)) >> np.uint64(64 - 8 * digest_bytes)
         return frame["doc_id"], block, ranks, lowest, places, digests
 
-    def send(frame: pd.DataFrame) -> pd.DataFrame:
-        digests = np.unique(opened(frame)[-1])
+    def send(frame: pd.DataFrame, known_rows: pd.DataFrame) -> pd.DataFrame:
+        digests = np.unique(opened(frame, known_rows["doc_id"])[-1])
         bucket = ((digests >> np.uint64(max(0, 8 * digest_bytes - 32))).astype(np.int64) * buckets) >> 32
         edges = np.searchsorted(bucket, np.arange(buckets + 1))
         packed = np.ascontiguousarray(digests.view(np.uint8).reshape(-1, 8)[:, :digest_bytes])
         used = np.flatnonzero(np.diff(edges))
         return pd.DataFrame(
             {
-                "block": frame["block"].iloc[0],
+                "block": frame["block"].iloc[0] if len(frame) else 0,
                 "bucket": used,
                 "digests": [packed[edges[at] : edges[at + 1]].tobytes() for at in used],
             }
@@ -176,9 +192,9 @@ def repeated_windows(
         return pd.DataFrame({"block": frame["block"], "bucket": frame["bucket"], "size": sizes, "bits": bits})
 
     def receive(frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        if not len(frame):
-            return emit(pd.Series(dtype="int64"), Block([], words), np.empty(0, np.uint64), np.empty(0, bool))
-        doc_ids, block, ranks, lowest, places, digests = opened(frame)
+        known_ids = answers["known"][answers["bucket"] == COPIES]
+        answers = answers[answers["bucket"] != COPIES]
+        doc_ids, block, ranks, lowest, places, digests = opened(frame, known_ids)
         _, back, counts = np.unique(digests, return_inverse=True, return_counts=True)
         parts = [
             np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=size)
@@ -191,6 +207,13 @@ def repeated_windows(
         nearest = sliding(marked, width, np.minimum)[: len(lowest)] if len(lowest) else lowest
         return emit(doc_ids.reset_index(drop=True), block, lowest, (nearest == lowest) & (lowest > 0))
 
-    sent = dealt.groupBy("block").applyInPandas(send, "block long, bucket long, digests binary")
+    by_block = dealt.groupBy("block")
+    sent = by_block.cogroup(known.groupBy("block")).applyInPandas(send, "block long, bucket long, digests binary")
     answered = sent.groupBy("bucket").applyInPandas(answer, "block long, bucket long, size long, bits binary")
-    return dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInPandas(receive, schema)
+    replies = answered.withColumn("known", F.lit(0).cast("long")).unionByName(
+        known.select(
+            "block", F.lit(COPIES).cast("long").alias("bucket"), F.lit(0).cast("long").alias("size"),
+            F.lit(b"").alias("bits"), F.col("doc_id").alias("known"),
+        )
+    )
+    return by_block.cogroup(replies.groupBy("block")).applyInPandas(receive, schema)

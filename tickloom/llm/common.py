@@ -31,6 +31,18 @@ def staged(frame: DataFrame, purpose: str, partition_by: str | None = None) -> D
     return spark.read.schema(frame.schema).parquet(folder)
 
 
+NO_ID = -(2**63)  # stands for a null id in Python steps: pandas would turn a column with nulls into inexact floats
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) for a Python step; ``anonymous`` puts the nulls back."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+
+
+def anonymous(frame: DataFrame) -> DataFrame:
+    return frame.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+
+
 def text_bytes(text: str | None) -> bytes:
     """UTF-8 of a text; none for null."""
     return text.encode("utf-8", "surrogatepass") if text else b""

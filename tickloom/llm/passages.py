@@ -1,6 +1,6 @@
 """Substring dedup on words by compaction of a De Bruijn graph.
 
-A run of ``window`` words is an edge from its first ``window - 1`` words to its last; texts are walks. Only edges that
+Exact copies of a smaller id go whole and take no part in the rest. A run of ``window`` words is an edge from its first ``window - 1`` words to its last; texts are walks. Only edges that
 can repeat matter, and only those are made (see ``anchors``). They come as stretches, runs of edges that share their
 anchor; equal stretches are one row from then on. Edges are grouped to count what comes before and after each: where an
 edge has one follower, and that one has one forerunner, every text that holds either holds both. Joining this back cuts
@@ -19,14 +19,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.anchors import Block, repeated_windows
-from tickloom.llm.common import staged, text_bytes
+from tickloom.llm.anchors import Block, copies, repeated_windows
+from tickloom.llm.common import anonymous, identified, staged, text_bytes
 
 WINDOW = 50
 GRAM = 16
 
 
-def stretches(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def stretches(docs: DataFrame, known: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, pos, n, stretch, edges): n edges from word pos on. ``edges`` has one more at both ends, zero for none,
     and is null where the same block has listed the same stretch before."""
 
@@ -57,14 +57,12 @@ def stretches(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFr
         return pd.DataFrame(rows, columns=names)
 
     schema = "doc_id long, pos long, n long, stretch long, edges array<long>"
-    return repeated_windows(docs, True, window, gram, emit, schema)
+    return repeated_windows(docs, known, True, window, gram, emit, schema)
 
 
 def paths(found: DataFrame) -> DataFrame:
     """(doc_id, path, pos, n, source_id): nonbranching paths along every text, named by their first edge."""
-    listed = found.where("edges is not null").groupBy("stretch").agg(
-        F.min("doc_id").alias("least_id"), F.first("edges").alias("edges"), F.first("n").alias("n")
-    )
+    listed = found.where("edges is not null").groupBy("stretch", "n", "edges").agg(F.min("doc_id").alias("least_id"))
     three = F.arrays_zip(
         F.slice("edges", F.lit(1), F.col("n").cast("int")).alias("before"),
         F.slice("edges", F.lit(2), F.col("n").cast("int")).alias("edge"),
@@ -130,8 +128,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with
     rows without doc_id keep all theirs. Rows that repeat an id are no sources for each other, and if their texts
     differ each is judged by windows of smaller ids only. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    found = staged(stretches(docs, window, gram), "stretches")
+    known = staged(copies(docs), "copies")
+    found = staged(stretches(docs, known, window, gram), "stretches")
     spans = staged(paths(found), "paths")
     sources = spans.where("doc_id = source_id").groupBy("path", "n", "doc_id").agg(F.min("pos").alias("pos"))
     repeats = spans.where("doc_id > source_id")
@@ -139,16 +137,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with
     proofs = digests(docs, needed, window).dropDuplicates(["path", "n"])
     proven = repeats.join(proofs, ["path", "n"]).select("doc_id", "pos", "n", "digest")
     lists = proven.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n", "digest")).alias("spans"))
+    lists = lists.join(known.withColumn("copy", F.lit(True)), "doc_id", "full_outer")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh3_128_digest
 
         for batch in batches:
             rows = []
-            for doc_id, text, spans in zip(batch["doc_id"].tolist(), batch["text"], batch["spans"], strict=True):
+            columns = (batch["doc_id"].tolist(), batch["text"], batch["spans"], batch["copy"])
+            for doc_id, text, spans, copy in zip(*columns, strict=True):
                 words = text_bytes(text).split()
                 total = len(words)
-                if spans is not None:
+                if copy is True:
+                    words = words if total < window else []
+                elif spans is not None:
                     gone = bytearray(total)
                     for span in spans:
                         low, high = span["pos"], span["pos"] + span["n"] + window - 1
@@ -159,10 +161,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with
                 row = (doc_id, total, total - len(words), sha256(kept).hexdigest())
                 rows.append((*row, kept.decode("utf-8", "surrogatepass")) if with_text else row)
             names = ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept"] * with_text]
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=names)
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
-    return docs.select("doc_id", "text").join(lists, "doc_id", "left").mapInPandas(cut, schema)
+    joined = identified(docs).join(lists, "doc_id", "left").select("doc_id", "text", "spans", "copy")
+    return anonymous(joined.mapInPandas(cut, schema))
 
 
 def passages_query(spark, sf_dir: str) -> DataFrame:

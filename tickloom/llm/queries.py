@@ -6,12 +6,14 @@ from tickloom.llm.mixing import MIX_SQL, mix_query
 from tickloom.llm.packing import pack_query
 from tickloom.llm.passages import passages_query
 from tickloom.llm.simhash import simhash_query
+from tickloom.llm.suffixes import suffixes_query
 
 QUERIES = {
     "op2_best_fit_packing": pack_query,
     "op6_source_mixing": mix_query,
     "op7_substring_dedup": passages_query,
     "op8_simhash": simhash_query,
+    "op9_suffix_dedup": suffixes_query,
 }
 
 ORACLES = {"op6_source_mixing": MIX_SQL}
