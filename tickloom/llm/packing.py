@@ -8,6 +8,7 @@ rank within their length.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -16,52 +17,54 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import staged, text_bytes
+from tickloom.llm.common import anonymous, identified, staged, text_bytes
 
 CAPACITY = 4096
 END_ID = 1
 ID_BYTES = 4
-CACHED_WORDS = 300_000  # words a worker remembers; beyond, it forgets them all and starts again
+CACHED_WORDS = 600_000  # words that a worker remembers, the first it meets; they are the frequent ones
 CACHED_WORD_BYTES = 64
 RANKED_TOGETHER = 200_000  # pieces of a length that one task puts in order
 
 
-class WordTokens:
-    """Ids of texts, looked up word by word.
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
-    The tokenizer drops white space and never joins what stands on both sides of it, so the ids of a text are those of
-    its words, one after another. Words met before are not tokenized again.
+
+class WordTokens(dict):
+    """Ids of words as bytes; a text's ids are those of its words, one after another.
+
+    The tokenizer ignores case and white space and never joins what stands on both sides of white space. Words met
+    before are not tokenized again, up to CACHED_WORDS of them. Words of Latin letters are one piece to the tokenizer,
+    so its model alone is asked; a full stop or comma behind a letter is a piece of its own.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        texts = [word.decode("utf-8", "replace") for word in words]
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return {
-            word: b"".join([i.to_bytes(ID_BYTES, "little") for i in encoded.ids])
-            for word, encoded in zip(words, found, strict=True)
-        }
-
-    def of(self, texts: list[list[bytes]]) -> Iterator[bytes]:
-        """Ids of each text, given as its words."""
-        missing = set().union(*texts).difference(self.known)
-        if len(self.known) + len(missing) > CACHED_WORDS:
-            self.known.clear()
-            missing = set().union(*texts)
-        ids = dict(self.known)
-        ordered = list(missing)
-        for at in range(0, len(ordered), 4096):
-            ids.update(self.learn(ordered[at : at + 4096]))
-        short = (word for word in ordered if len(word) <= CACHED_WORD_BYTES)
-        for word, _ in zip(short, range(CACHED_WORDS - len(self.known)), strict=False):
-            self.known[word] = ids[word]
-        for words in texts:
-            yield b"".join([ids[word] for word in words])
+        self.model = self.tokenizer.model
+        written = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = (chr(code) for code in range(256) if chr(code).isalpha())
+        self.letters = {ord(letter): written.pre_tokenize_str(letter)[0][0] for letter in letters}
+
+    def __missing__(self, word: bytes) -> bytes:
+        if word[-1:] in (b".", b",") and word[-2:-1].isalpha():
+            ids = self[word[:-1]] + self[word[-1:]]
+        elif word.isalpha():
+            ids = pack_ids([token.id for token in self.model.tokenize(word.decode())])
+        else:
+            text = word.decode("utf-8", "replace").lower()
+            if text.isalpha() and max(text) < "\u0100":
+                ids = pack_ids([token.id for token in self.model.tokenize(text.translate(self.letters))])
+            else:
+                ids = pack_ids(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
+        if len(word) <= CACHED_WORD_BYTES and len(self) < CACHED_WORDS:
+            self[word] = ids
+        return ids
+
+    def of(self, text: bytes) -> bytes:
+        return b"".join(map(self.__getitem__, text.lower().split()))
 
 
 TOKENIZERS: dict[str, WordTokens] = {}  # one in each worker process
@@ -83,19 +86,17 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids
         end, span = END_ID.to_bytes(ID_BYTES, "little"), capacity * ID_BYTES
         for batch in batches:
             rows = []
-            texts = [text_bytes(text).split() for text in batch["text"]]
-            for doc_id, ids in zip(batch["doc_id"].tolist(), TOKENIZERS[path].of(texts), strict=True):
-                ids += end
+            for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"], strict=True):
+                ids = TOKENIZERS[path].of(text_bytes(text)) + end
                 for piece, at in enumerate(range(0, len(ids), span)):
                     part = ids[at : at + span]
                     row = (doc_id, piece, at // ID_BYTES, len(part) // ID_BYTES, zlib.crc32(part))
                     rows.append((*row, part) if with_ids else row)
             names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
-            frame = pd.DataFrame(rows, columns=names)
-            yield frame.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select("doc_id", "text").mapInPandas(pieces, schema)
+    return anonymous(identified(docs).mapInPandas(pieces, schema))
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
