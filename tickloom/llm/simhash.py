@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import staged, text_bytes
+from tickloom.llm.common import anonymous, identified, staged, text_bytes
 from tickloom.llm.components import components, forest
 
 BITS = 64
@@ -57,9 +57,9 @@ def fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
         for batch in batches:
             values = [fingerprint(text_bytes(text), shingle_words) for text in batch["text"]]
             signed = np.array(values, dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fingerprint": signed})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "fingerprint": signed})
 
-    return docs.select("doc_id", "text").mapInPandas(of, "doc_id long, fingerprint long")
+    return anonymous(identified(docs).mapInPandas(of, "doc_id long, fingerprint long"))
 
 
 def pivots(number: int = PIVOTS, seed: int = PIVOT_SEED) -> np.ndarray:
