@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tickloom.llm.embeddings import embeddings_query
+from tickloom.llm.language_model import language_model_query
 from tickloom.llm.mixing import MIX_SQL, mix_query
 from tickloom.llm.neighbours import neighbours_query
 from tickloom.llm.packing import pack_query
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_substring_dedup": passages_query,
     "op8_simhash": simhash_query,
     "op9_suffix_dedup": suffixes_query,
+    "op10_language_model": language_model_query,
 }
 
 ORACLES = {"op6_source_mixing": MIX_SQL}
