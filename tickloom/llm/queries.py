@@ -8,12 +8,14 @@ from tickloom.llm.mixing import MIX_SQL, mix_query
 from tickloom.llm.neighbours import neighbours_query
 from tickloom.llm.packing import pack_query
 from tickloom.llm.passages import passages_query
+from tickloom.llm.quality import quality_query
 from tickloom.llm.simhash import simhash_query
 from tickloom.llm.suffixes import suffixes_query
 
 QUERIES = {
     "op1_embedding_dedup": embeddings_query,
     "op2_best_fit_packing": pack_query,
+    "op4_quality": quality_query,
     "op5_nearest_neighbours": neighbours_query,
     "op6_source_mixing": mix_query,
     "op7_substring_dedup": passages_query,
