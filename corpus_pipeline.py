@@ -4,22 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import staged
+from tickloom.llm.language import decide_documents, row_key
 from tickloom.llm.mixing import plan_mix
 from tickloom.llm.packing import pack_documents
+from tickloom.llm.passages import remove_repeats
 from tickloom.llm.simhash import near_duplicates
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages that the corpus declares, with the language found.
+
+    Those that fit chance better than any language go, and those without doc_id, which no later stage could name.
+    """
+    found = decide_documents(docs, docs)
+    known = docs.where("doc_id is not null").select(*COLUMNS, row_key().alias("row_key"))
+    languages = known.select("row_key", "lang").distinct().withColumnRenamed("lang", "lang_before")
+    changed = found.join(languages, "row_key").where(~F.col("accepted") | ~F.col("lang_found").eqNullSafe(F.col("lang_before")))
+    changed = staged(changed.select("row_key", "lang_found", "accepted"), "language-changes")
+    judged = known.join(changed, "row_key", "left").where(F.coalesce("accepted", F.lit(True)))
+    return judged.withColumn("lang", F.coalesce("lang_found", "lang")).select(*COLUMNS)
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints link, the one with the smallest id. Rows that repeat it stay one."""
+    """Of documents whose fingerprints link, the one with the smallest id; of rows that share it, the first by text."""
     kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    first = docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
-    return first.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    first = docs.join(kept, "doc_id", "left_semi").withColumn("place", place).where("place = 1")
+    return first.select(*COLUMNS)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that a smaller id has too; those of which nothing is left go."""
+    removed = remove_repeats(docs, with_text=True).where("n_removed > 0").select("doc_id", "n_words", "n_removed", "kept")
+    removed = staged(removed, "passages-removed")
+    joined = docs.join(removed, "doc_id", "left").where("n_removed is null or n_removed < n_words")
+    text = F.coalesce("kept", "text")
+    size = F.when(F.col("kept").isNotNull(), F.char_length("kept").cast("long")).otherwise(F.col("n_chars"))
+    return joined.withColumns({"n_chars": size, "text": text}).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,12 +62,14 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", in_a_language),
     ("simhash_near_dedup", one_of_each_group),
+    ("substring_dedup", without_repeats),
     ("source_mixing", mixed),
     ("best_fit_packing", packed),
 ]
 
-ORACLE_SQL = None  # SQL has neither the tokenizer nor the fitted models; tests compare with plain Python
+ORACLE_SQL = None  # SQL has neither the tokenizer nor the fitted likelihoods; tests compare with plain Python
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tickloom.llm.embeddings import embeddings_query
+from tickloom.llm.language import language_query
 from tickloom.llm.language_model import language_model_query
 from tickloom.llm.mixing import MIX_SQL, mix_query
 from tickloom.llm.neighbours import neighbours_query
@@ -15,6 +16,7 @@ from tickloom.llm.suffixes import suffixes_query
 QUERIES = {
     "op1_embedding_dedup": embeddings_query,
     "op2_best_fit_packing": pack_query,
+    "op3_language_id": language_query,
     "op4_quality": quality_query,
     "op5_nearest_neighbours": neighbours_query,
     "op6_source_mixing": mix_query,
