@@ -148,10 +148,13 @@ def pieces(docs: DataFrame, known: DataFrame, window: int = WINDOW, gram: int =
         at = np.flatnonzero(candidate)
         if not len(at):
             return pd.DataFrame({name: pd.Series(dtype="object") for name in names})
-        _, short = anchors(block, window, min(DEALING_GRAM, gram))
+        short_gram = min(DEALING_GRAM, gram)
+        _, short = anchors(block, window, short_gram)
         text = block.text_of(at)
         new = np.ones(len(at), dtype=bool)
         new[1:] = (np.diff(at) > 1) | (short[at][1:] != short[at][:-1]) | (text[1:] != text[:-1])
+        run = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+        new |= (np.arange(len(at)) - run) % (window - short_gram + 1) == 0  # where one gram recurs, a run could go on for ever
         begin = np.flatnonzero(new)
         first, last = at[begin], at[np.append(begin[1:], len(at)) - 1]
         data, seen, rows = block.data.tobytes(), set(), []
