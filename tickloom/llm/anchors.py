@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import text_bytes
 
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 BUCKET_ANCHORS = 1_000_000
 SPARE_BITS = 14  # a unique anchor is taken for a repeated one once in 2 ** SPARE_BITS
 
@@ -45,6 +45,12 @@ def powers(count: int) -> tuple[np.ndarray, np.ndarray]:
     return POWERS["up"], POWERS["down"]
 
 
+def text_key(text: bytes) -> int:
+    from xxhash import xxh3_64_intdigest
+
+    return xxh3_64_intdigest(text) - (1 << 63)
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     values = (values ^ (values >> np.uint64(32))) * np.uint64(MULTIPLIER)
     return values ^ (values >> np.uint64(29))
@@ -82,8 +88,12 @@ class Block:
         self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(SYMBOLS[data] * up[: len(data)], dtype=np.uint64, out=self.sums[1:])
 
-    def hashes(self, length: int) -> np.ndarray:
+    def hashes(self, length: int, units: np.ndarray | None = None) -> np.ndarray:
         """Of the ``length`` units from each unit on, those that run into the next text included."""
+        if units is not None:
+            at = units if self.starts is None else self.starts[units]
+            end = units + length if self.starts is None else self.ends[units + length - 1]
+            return (self.sums[end] - self.sums[at]) * self.down[at]
         count = int(self.counts.sum()) - length + 1
         if count <= 0:
             return np.empty(0, dtype=np.uint64)
@@ -106,17 +116,17 @@ class Block:
 
 
 def anchors(block: Block, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rank of each gram, and the smallest rank in each window; zero for windows of two texts."""
-    ranks = mixed(block.hashes(gram)) | np.uint64(1)
+    """Rank of each gram, half of its hash, and the smallest rank in each window; zero for windows of two texts."""
+    ranks = ((block.hashes(gram) * np.uint64(MULTIPLIER)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     lowest = sliding(ranks, window - gram + 1, np.minimum) if len(ranks) > window - gram else ranks[:0]
-    return ranks, np.where(block.inside(window), lowest, np.uint64(0))
+    return ranks, np.where(block.inside(window), lowest, np.uint32(0))
 
 
 def chosen_anchors(ranks: np.ndarray, lowest: np.ndarray, width: int) -> np.ndarray:
     """Places of grams that are the anchor of some window."""
     if not len(lowest):
         return np.empty(0, dtype=np.int64)
-    padding = np.zeros(width - 1, dtype=np.uint64)
+    padding = np.zeros(width - 1, dtype=np.uint32)
     highest = sliding(np.concatenate([padding, lowest, padding]), width, np.maximum)
     return np.flatnonzero((ranks == highest) & (highest > 0))
 
@@ -135,13 +145,14 @@ def repeated_windows(
     words: bool,
     window: int,
     gram: int,
-    emit: Callable[[pd.Series, Block, np.ndarray, np.ndarray], pd.DataFrame],
+    emit: Callable[[pd.DataFrame, Block, np.ndarray, np.ndarray], pd.DataFrame],
     schema: str,
 ) -> DataFrame:
     """What ``emit`` returns for every block of ``docs`` (doc_id, text).
 
     Rows without doc_id and those of ``known``, the copies, are left out.
-    emit(doc_ids in order, block, lowest rank of each window, whether each window's anchor occurs elsewhere too).
+    emit(rows in order with doc_id and text_key, block, lowest rank of each window, whether its anchor repeats). Rows that
+    repeat are one here; texts that share an id are told apart by text_key.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     expected = max(1, 2 * size // ((window - gram + 2) * (6 if words else 1)))
@@ -156,12 +167,14 @@ def repeated_windows(
 
     def opened(frame: pd.DataFrame, known_ids: pd.Series):
         frame = frame[~frame["doc_id"].isin(known_ids)]
-        frame = frame.sort_values(["doc_id", "text"], kind="stable")
-        block = Block([text_bytes(text) for text in frame["text"]], words)
+        frame = frame.drop_duplicates(["doc_id", "text"]).sort_values(["doc_id", "text"], kind="stable")
+        texts = [text_bytes(text) for text in frame["text"]]
+        block = Block(texts, words)
         ranks, lowest = anchors(block, window, gram)
         places = chosen_anchors(ranks, lowest, width)
-        digests = mixed(ranks[places] ^ np.uint64(STEP)) >> np.uint64(64 - 8 * digest_bytes)
-        return frame["doc_id"], block, ranks, lowest, places, digests
+        digests = mixed(block.hashes(gram, places)) >> np.uint64(64 - 8 * digest_bytes)
+        rows = pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "text_key": [text_key(text) for text in texts]})
+        return rows, block, ranks, lowest, places, digests
 
     def send(frame: pd.DataFrame, known_rows: pd.DataFrame) -> pd.DataFrame:
         digests = np.unique(opened(frame, known_rows["doc_id"])[-1])
@@ -194,7 +207,7 @@ def repeated_windows(
     def receive(frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         known_ids = answers["known"][answers["bucket"] == COPIES]
         answers = answers[answers["bucket"] != COPIES]
-        doc_ids, block, ranks, lowest, places, digests = opened(frame, known_ids)
+        rows, block, ranks, lowest, places, digests = opened(frame, known_ids)
         _, back, counts = np.unique(digests, return_inverse=True, return_counts=True)
         parts = [
             np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=size)
@@ -202,10 +215,10 @@ def repeated_windows(
         ]
         repeated = (counts > 1) | (np.concatenate(parts).astype(bool) if parts else np.zeros(len(counts), bool))
         at = places[repeated[back]]
-        marked = np.full(len(ranks), np.uint64(2**64 - 1))
+        marked = np.full(len(ranks), np.uint32(2**32 - 1))
         marked[at] = ranks[at]
         nearest = sliding(marked, width, np.minimum)[: len(lowest)] if len(lowest) else lowest
-        return emit(doc_ids.reset_index(drop=True), block, lowest, (nearest == lowest) & (lowest > 0))
+        return emit(rows, block, lowest, (nearest == lowest) & (lowest > 0))
 
     by_block = dealt.groupBy("block")
     sent = by_block.cogroup(known.groupBy("block")).applyInPandas(send, "block long, bucket long, digests binary")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.anchors import Block, copies, repeated_windows
+from tickloom.llm.anchors import Block, copies, repeated_windows, text_key
 from tickloom.llm.common import anonymous, identified, staged, text_bytes
 
 WINDOW = 50
@@ -27,13 +27,13 @@ GRAM = 16
 
 
 def stretches(docs: DataFrame, known: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, pos, n, stretch, edges): n edges from word pos on. ``edges`` has one more at both ends, zero for none,
+    """(doc_id, text_key, pos, n, stretch, edges): n edges from word pos on. ``edges`` has one more at both ends, zero for none,
     and is null where the same block has listed the same stretch before."""
 
-    def emit(doc_ids: pd.Series, block: Block, lowest: np.ndarray, candidate: np.ndarray) -> pd.DataFrame:
+    def emit(texts: pd.DataFrame, block: Block, lowest: np.ndarray, candidate: np.ndarray) -> pd.DataFrame:
         from xxhash import xxh3_64_intdigest
 
-        names = ["doc_id", "pos", "n", "stretch", "edges"]
+        names = ["doc_id", "text_key", "pos", "n", "stretch", "edges"]
         at = np.flatnonzero(candidate)
         if not len(at):
             return pd.DataFrame({name: pd.Series(dtype="object") for name in names})
@@ -48,20 +48,21 @@ def stretches(docs: DataFrame, known: DataFrame, window: int = WINDOW, gram: int
         # Windows that would run into the next text are no candidates, so texts are apart by zeros.
         seen: set[int] = set()
         rows = []
-        ids, pos = doc_ids.to_numpy()[text[begin]], first - block.first[text[begin]]
-        for doc_id, place, low, high in zip(ids.tolist(), pos.tolist(), first.tolist(), last.tolist(), strict=True):
+        own, pos = texts.iloc[text[begin]], first - block.first[text[begin]]
+        columns = (own["doc_id"].tolist(), own["text_key"].tolist(), pos.tolist(), first.tolist(), last.tolist())
+        for doc_id, text_mark, place, low, high in zip(*columns, strict=True):
             edges = padded[low : high + 3]
             key = xxh3_64_intdigest(edges.tobytes()) - (1 << 63)
-            rows.append((doc_id, place, high - low + 1, key, None if key in seen else edges.view(np.int64)))
+            rows.append((doc_id, text_mark, place, high - low + 1, key, None if key in seen else edges.view(np.int64)))
             seen.add(key)
         return pd.DataFrame(rows, columns=names)
 
-    schema = "doc_id long, pos long, n long, stretch long, edges array<long>"
+    schema = "doc_id long, text_key long, pos long, n long, stretch long, edges array<long>"
     return repeated_windows(docs, known, True, window, gram, emit, schema)
 
 
 def paths(found: DataFrame) -> DataFrame:
-    """(doc_id, path, pos, n, source_id): nonbranching paths along every text, named by their first edge."""
+    """(doc_id, text_key, path, pos, n, source_id): nonbranching paths along every text, named by their first edge."""
     listed = found.where("edges is not null").groupBy("stretch", "n", "edges").agg(F.min("doc_id").alias("least_id"))
     three = F.arrays_zip(
         F.slice("edges", F.lit(1), F.col("n").cast("int")).alias("before"),
@@ -85,24 +86,24 @@ def paths(found: DataFrame) -> DataFrame:
     marks = marks.groupBy("stretch").agg(
         F.collect_list(F.struct("place", "edge", "opens", "closes", "source_id")).alias("marks")
     )
-    walks = found.select("doc_id", "pos", "stretch").join(marks, "stretch")
-    walks = walks.select("doc_id", "pos", F.explode("marks").alias("mark"))
-    walks = walks.select("doc_id", (F.col("pos") + F.col("mark.place")).alias("at"), "mark.*")
-    along = Window.partitionBy("doc_id").orderBy("at")
+    walks = found.select("doc_id", "text_key", "pos", "stretch").join(marks, "stretch")
+    walks = walks.select("doc_id", "text_key", "pos", F.explode("marks").alias("mark"))
+    walks = walks.select("doc_id", "text_key", (F.col("pos") + F.col("mark.place")).alias("at"), "mark.*")
+    along = Window.partitionBy("doc_id", "text_key").orderBy("at")
     starts = F.col("opens") | F.coalesce(F.lag("closes").over(along), F.lit(True))
     walks = walks.withColumn("starts", starts)
     walks = walks.withColumn("turn", F.sum(F.col("starts").cast("long")).over(along))
-    spans = walks.groupBy("doc_id", "turn").agg(
+    spans = walks.groupBy("doc_id", "text_key", "turn").agg(
         F.min(F.when(F.col("starts"), F.col("edge"))).alias("path"),
         F.min("at").alias("pos"),
         F.max("at").alias("last"),
         F.min("source_id").alias("source_id"),
     )
-    return spans.select("doc_id", "path", "pos", (F.col("last") - F.col("pos") + 1).alias("n"), "source_id")
+    return spans.select("doc_id", "text_key", "path", "pos", (F.col("last") - F.col("pos") + 1).alias("n"), "source_id")
 
 
 def digests(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """(path, n, digest) of the words at each (doc_id, pos, n) of ``wanted``."""
+    """(path, n, digest) of the words at each (doc_id, text_key, pos, n) of ``wanted``."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh3_128_digest
@@ -111,12 +112,15 @@ def digests(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
             rows = []
             for text, spans in zip(batch["text"], batch["spans"], strict=True):
                 words = text_bytes(text).split()
+                mark = text_key(text_bytes(text))
                 for span in spans:
+                    if span["text_key"] != mark:
+                        continue
                     part = words[span["pos"] : span["pos"] + span["n"] + window - 1]
                     rows.append((span["path"], span["n"], xxh3_128_digest(b" ".join(part))))
             yield pd.DataFrame(rows, columns=["path", "n", "digest"])
 
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("path", "pos", "n")).alias("spans"))
+    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "path", "pos", "n")).alias("spans"))
     joined = docs.select("doc_id", "text").join(lists, "doc_id").select("text", "spans")
     return joined.mapInPandas(read, "path long, n long, digest binary")
 
@@ -131,12 +135,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with
     known = staged(copies(docs), "copies")
     found = staged(stretches(docs, known, window, gram), "stretches")
     spans = staged(paths(found), "paths")
-    sources = spans.where("doc_id = source_id").groupBy("path", "n", "doc_id").agg(F.min("pos").alias("pos"))
+    sources = spans.where("doc_id = source_id").groupBy("path", "n", "doc_id", "text_key").agg(
+        F.min("pos").alias("pos")
+    )
     repeats = spans.where("doc_id > source_id")
     needed = sources.join(repeats.select("path", "n").distinct(), ["path", "n"], "left_semi")
     proofs = digests(docs, needed, window).dropDuplicates(["path", "n"])
-    proven = repeats.join(proofs, ["path", "n"]).select("doc_id", "pos", "n", "digest")
-    lists = proven.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n", "digest")).alias("spans"))
+    proven = repeats.join(proofs, ["path", "n"]).select("doc_id", "text_key", "pos", "n", "digest")
+    lists = proven.groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "pos", "n", "digest")).alias("spans"))
     lists = lists.join(known.withColumn("copy", F.lit(True)), "doc_id", "full_outer")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,8 +157,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with
                 if copy is True:
                     words = words if total < window else []
                 elif spans is not None:
-                    gone = bytearray(total)
+                    gone, mark = bytearray(total), text_key(text_bytes(text))
                     for span in spans:
+                        if span["text_key"] != mark:
+                            continue
                         low, high = span["pos"], span["pos"] + span["n"] + window - 1
                         if xxh3_128_digest(b" ".join(words[low:high])) == span["digest"]:
                             gone[low:high] = b"\x01" * (min(high, total) - low)

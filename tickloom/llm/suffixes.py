@@ -24,37 +24,51 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.anchors import Block, anchors, copies, repeated_windows
+from tickloom.llm.anchors import Block, anchors, copies, repeated_windows, text_key
 from tickloom.llm.common import anonymous, identified, staged, text_bytes
 
 WINDOW = 50
-GRAM = 25
+GRAM = 32
 DEALING_GRAM = 8
-COLLECTION_BYTES = 2_000_000
+COLLECTION_BYTES = 1_000_000
 
 
 class Column:
-    """Numbers of one byte in a file, read and written whole and in order."""
+    """Numbers of one byte in two files by turns; each round reads the last version in order and writes the next."""
 
     def __init__(self, folder: str, name: str, values: np.ndarray) -> None:
-        self.path = os.path.join(folder, name)
-        self.write(values)
+        self.files = [open(os.path.join(folder, f"{name}.{turn}"), "w+b", buffering=0) for turn in (0, 1)]
+        self.write(values.astype(np.uint8))
 
     def write(self, values: np.ndarray) -> None:
-        values.astype(np.uint8, copy=False).tofile(self.path + ".next")
-        os.replace(self.path + ".next", self.path)
+        self.files.reverse()
+        self.files[0].seek(0)
+        self.files[0].write(values)
+        self.size = len(values)
 
     def read(self) -> np.ndarray:
-        return np.fromfile(self.path, dtype=np.uint8)
+        """All numbers, and a zero."""
+        values = np.empty(self.size + 1, dtype=np.uint8)
+        values[-1] = 0
+        self.files[0].seek(0)
+        self.files[0].readinto(values[:-1])
+        return values
+
+    def close(self) -> None:
+        for file in self.files:
+            file.close()
 
 
 def least_between(prefixes: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Minimum of prefixes[low + 1 .. high] for each pair, low < high, in ascending order of high."""
+    """Minimum of prefixes[low + 1 .. high] for each pair, low < high; cheap in ascending order.
+
+    ``prefixes`` ends with a number that is not asked for.
+    """
     if not len(low):
         return np.empty(0, dtype=np.uint8)
     edges = np.empty(2 * len(low), dtype=np.int64)
     edges[::2], edges[1::2] = low + 1, high + 1
-    return np.minimum.reduceat(np.append(prefixes, np.uint8(0)), edges)[::2]
+    return np.minimum.reduceat(prefixes, edges)[::2]
 
 
 def ordered_windows(strings: list[bytes], window: int, folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,50 +83,51 @@ def ordered_windows(strings: list[bytes], window: int, folder: str) -> tuple[np.
         symbols[: len(s), at] = np.frombuffer(s, dtype=np.uint8)[::-1] + np.uint8(1)
     transform = Column(folder, "transform", symbols[0])
     prefixes = Column(folder, "prefixes", np.zeros(count))
-    place = np.arange(count)
-    windows = np.empty(0, dtype=np.int64)  # places of suffixes of a window at least, ascending
-    owners, starts = np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int32)
+    active, at = np.arange(count), np.arange(count)  # strings by place of their last suffix, and the places, ascending
+    owners = None  # of suffixes of a window at least: string and start; -1 for the others
     for length in range(1, longest + 1):
-        before, common = transform.read(), prefixes.read()
-        active = np.flatnonzero(lengths >= length)
-        active = active[np.argsort(place[active])]
-        at = place[active]
-        by_symbol = np.argsort(before, kind="stable")
-        rank = np.empty(len(before), dtype=np.int64)
-        rank[by_symbol] = np.arange(len(before))
-        rank = rank[at]
-        put = rank + (count - np.count_nonzero(before == 0))  # suffixes that are an end alone come first
-
-        follows = np.where(rank > 0, by_symbol[np.maximum(rank - 1, 0)], 0)
-        has = (rank > 0) & (before[follows] == before[at])
+        before, common = transform.read()[:-1], prefixes.read()
+        if (lengths[active] < length).any():
+            going = lengths[active] >= length
+            active, at = active[going], at[going]
+        size, by_symbol = len(before), np.argsort(before, kind="stable")
+        here = np.zeros(size, dtype=bool)
+        here[at] = True
+        rank = np.flatnonzero(here[by_symbol])  # of the active places, by symbol and place
+        turn = np.argsort(before[at], kind="stable")
+        put = rank + (count - np.count_nonzero(lengths < length))  # ends alone come first; whole strings have nothing before
+        back = np.empty_like(turn)
+        back[turn] = np.arange(len(turn))
+        rank = rank[back]  # by place again, as the common prefixes lie
+
+        neighbour = by_symbol[np.maximum(rank - 1, 0)]
+        has = (rank > 0) & (before[neighbour] == before[at])
         shared = np.zeros(len(at), dtype=np.uint8)
-        shared[has] = np.minimum(least_between(common, follows[has], at[has]) + 1, window)
-        last = len(before) - 1
-        leads = np.where(rank < last, by_symbol[np.minimum(rank + 1, last)], 0)
-        next_has = (rank < last) & (before[leads] == before[at])
-        order = np.argsort(leads[next_has], kind="stable")
-        next_put = put[next_has][order] + 1
-        next_shared = np.minimum(least_between(common, at[next_has][order], leads[next_has][order]) + 1, window)
-
-        new = np.zeros(len(before) + len(at), dtype=bool)
-        new[put] = True
-        old = ~new
-        merged = np.empty(len(new), dtype=np.uint8)
+        shared[has] = np.minimum(least_between(common, neighbour[has], at[has]) + 1, window)
+        neighbour = by_symbol[np.minimum(rank + 1, size - 1)]
+        has = (rank < size - 1) & (before[neighbour] == before[at])
+        next_put = put[back[has]] + 1
+        next_shared = np.minimum(least_between(common, at[has], neighbour[has]) + 1, window)
+
+        old = np.ones(size + len(at), dtype=bool)
+        old[put] = False
+        active, merged = active[turn], np.empty(len(old), dtype=np.uint8)
         merged[old], merged[put] = before, symbols[length][active]
         transform.write(merged)
-        merged[old], merged[put] = common, shared
+        merged[old], merged[put] = common[:-1], shared[turn]
         merged[next_put] = next_shared
         prefixes.write(merged)
-        place[active] = put
+        at = put
         if length >= window:
-            puts = np.sort(put)
-            windows += np.searchsorted(puts - np.arange(len(puts)), windows, side="right")
-            windows = np.concatenate([windows, put])
-            owners = np.concatenate([owners, active.astype(np.int32)])
-            starts = np.concatenate([starts, (lengths[active] - length).astype(np.int32)])
-            order = np.argsort(windows, kind="stable")
-            windows, owners, starts = windows[order], owners[order], starts[order]
-    return owners, starts, prefixes.read()[windows] < window
+            kept = np.empty(len(old), dtype=np.int32)
+            kept[old] = -1 if owners is None else owners
+            kept[put] = active * (longest + 1) + lengths[active] - length
+            owners = kept
+    found = np.flatnonzero(owners >= 0)
+    new = prefixes.read()[found] < window
+    transform.close()
+    prefixes.close()
+    return owners[found] // (longest + 1), owners[found] % (longest + 1), new
 
 
 def sources(collection: pd.DataFrame, window: int) -> pd.DataFrame:
@@ -139,12 +154,12 @@ def sources(collection: pd.DataFrame, window: int) -> pd.DataFrame:
 
 
 def pieces(docs: DataFrame, known: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, pos, piece_id, deal, piece): ``piece`` is null where the same block has listed the same one before."""
+    """(doc_id, text_key, pos, piece_id, deal, piece): ``piece`` is null where the same block has listed the same one before."""
 
-    def emit(doc_ids: pd.Series, block: Block, lowest: np.ndarray, candidate: np.ndarray) -> pd.DataFrame:
+    def emit(texts: pd.DataFrame, block: Block, lowest: np.ndarray, candidate: np.ndarray) -> pd.DataFrame:
         from xxhash import xxh3_64_intdigest
 
-        names = ["doc_id", "pos", "piece_id", "deal", "piece"]
+        names = ["doc_id", "text_key", "pos", "piece_id", "deal", "piece"]
         at = np.flatnonzero(candidate)
         if not len(at):
             return pd.DataFrame({name: pd.Series(dtype="object") for name in names})
@@ -158,15 +173,16 @@ def pieces(docs: DataFrame, known: DataFrame, window: int = WINDOW, gram: int =
         begin = np.flatnonzero(new)
         first, last = at[begin], at[np.append(begin[1:], len(at)) - 1]
         data, seen, rows = block.data.tobytes(), set(), []
-        columns = (doc_ids.to_numpy()[text[begin]], first - block.first[text[begin]], short[first].view(np.int64))
-        for doc_id, pos, deal, low, high in zip(*map(np.ndarray.tolist, (*columns, first, last)), strict=True):
+        own = texts.iloc[text[begin]]
+        columns = (own["doc_id"].to_numpy(), own["text_key"].to_numpy(), first - block.first[text[begin]], short[first].astype(np.int64))
+        for doc_id, text_mark, pos, deal, low, high in zip(*map(np.ndarray.tolist, (*columns, first, last)), strict=True):
             piece = data[low : high + window]
             key = xxh3_64_intdigest(piece) - (1 << 63)
-            rows.append((doc_id, pos, key, deal, None if key in seen else piece))
+            rows.append((doc_id, text_mark, pos, key, deal, None if key in seen else piece))
             seen.add(key)
         return pd.DataFrame(rows, columns=names)
 
-    schema = "doc_id long, pos long, piece_id long, deal long, piece binary"
+    schema = "doc_id long, text_key long, pos long, piece_id long, deal long, piece binary"
     return repeated_windows(docs, known, False, window, gram, emit, schema)
 
 
@@ -189,9 +205,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with
     first = distinct.groupBy("collection").applyInPandas(
         sorted_out, "piece_id long, low long, high long, source_id long"
     )
-    hits = found.select("doc_id", "pos", "piece_id").join(first, "piece_id").where("doc_id > source_id")
-    spans = hits.select("doc_id", (F.col("pos") + F.col("low")).alias("low"), (F.col("pos") + F.col("high")).alias("high"))
-    lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    hits = found.select("doc_id", "text_key", "pos", "piece_id").join(first, "piece_id").where("doc_id > source_id")
+    low, high = (F.col("pos") + F.col("low")).alias("low"), (F.col("pos") + F.col("high")).alias("high")
+    lists = hits.groupBy("doc_id").agg(F.collect_list(F.struct("text_key", low, high)).alias("spans"))
     lists = lists.join(known.withColumn("copy", F.lit(True)), "doc_id", "full_outer")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -204,6 +220,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with
                 if copy is True and len(data) >= window:
                     kept, runs = b"", 1
                 elif copy is not True and hits is not None:
+                    mark = text_key(data)
+                    hits = [hit for hit in hits if hit["text_key"] == mark]
                     steps = np.zeros(len(data) + 1, dtype=np.int32)
                     np.add.at(steps, [hit["low"] for hit in hits], 1)
                     np.add.at(steps, [hit["high"] + window for hit in hits], -1)
