@@ -35,7 +35,7 @@ MARKUP = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Cells of all trigrams, each text with a space around it, and how many each text has."""
     padded = [b" " + b" ".join(text.lower().split()) + b" " for text in texts]
-    data = np.frombuffer(b"".join(padded) + b"  ", dtype=np.uint8).astype(np.int64)
+    data = np.frombuffer(b"".join(padded) + b"  ", dtype=np.uint8).astype(np.int32)
     cells = (data[:-2] * 7919 + data[1:-1] * 271 + data[2:] * 9173) % CELLS
     return cells, np.array([len(text) for text in padded])
 
@@ -63,7 +63,7 @@ def likelihoods(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     names = labelled.where("lang is not null and text is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     names = [row["lang"] for row in names.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
     counts = np.zeros((len(names), CELLS))
-    found = gram_counts(labelled.where(F.col("lang").isin(names))).toPandas()
+    found = staged(gram_counts(labelled.where(F.col("lang").isin(names))), "language-grams").toPandas()
     counts[found["lang"].map({name: at for at, name in enumerate(names)}).to_numpy(int), found["cell"].to_numpy(int)] = found["n"]
     return names, np.log((counts + 0.5) / (counts.sum(axis=1) + 0.5 * CELLS)[:, None])
 

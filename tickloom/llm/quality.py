@@ -153,14 +153,19 @@ def train(docs: DataFrame, labels: DataFrame) -> Attention | float:
     smallest counts. The sample is the first SAMPLE_TEXTS of each label by hash of the id.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = docs.select("doc_id", "text").join(known, "doc_id")
+    known = staged(docs.select("doc_id").join(known, "doc_id"), "quality-labels")
     sizes = {row["quality"]: row["n"] for row in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return float(next(iter(sizes), 0.5))
-    chosen = [
-        known.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id", F.xxhash64("text")).limit(SAMPLE_TEXTS)
-        for label in (0, 1)
-    ]
+    by_hash = F.xxhash64("doc_id", F.lit(4))
+
+    def first(rows: DataFrame, *ties: str) -> DataFrame:
+        return rows.where("quality = 0").orderBy(by_hash, "doc_id", *ties).limit(SAMPLE_TEXTS).union(
+            rows.where("quality = 1").orderBy(by_hash, "doc_id", *ties).limit(SAMPLE_TEXTS)
+        )
+
+    # At most 2 * SAMPLE_TEXTS ids, so they may be sent to every task; the texts stay where they are.
+    chosen = staged(first(known.distinct()).select("doc_id", F.col("quality").cast("int").alias("quality")), "quality-ids")
 
     def numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -171,8 +176,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Attention | float:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "bag": packed})
 
     schema = "doc_id long, quality int, bag binary"
-    sample = chosen[0].union(chosen[1]).select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
-    sample = staged(sample.repartition(16).mapInPandas(numbers, schema), "quality-sample").toPandas()
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(numbers, schema)
+    sample = first(staged(sample, "quality-sample"), "bag").toPandas()
     sample = sample.sort_values(["quality", "doc_id", "bag"], kind="stable")
     bags = [np.frombuffer(bag, dtype="<f4").reshape(-1, NUMBERS).astype(np.float64) for bag in sample["bag"]]
     label = sample["quality"].to_numpy(np.float64)
