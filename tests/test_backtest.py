@@ -102,6 +102,18 @@ def test_daily_close_is_half_open_and_pushed_to_the_scan(spark, tmp_path):
     assert "GreaterThanOrEqual(date" in plan and "LessThan(date" in plan and "In(ticker_symbo" in plan
 
 
+def test_bars_without_a_ticker_are_a_series_of_their_own(spark):
+    named = bars(spark, walks())
+    unnamed = named.where("ticker_symbol = 'AAA'").withColumn("ticker_symbol", F.lit(None).cast("string"))
+    for limit in (1_000_000, 20):
+        tested = bt.backtest(named.union(unnamed), rows_per_segment=limit)
+        columns = [name for name in tested.columns if name != "ticker_symbol"]
+        lost, own = tested.where("ticker_symbol is null"), tested.where("ticker_symbol = 'AAA'")
+        rounded = [F.round(name, 9).alias(name) if kind == "double" else F.col(name) for name, kind in own.select(columns).dtypes]
+        assert lost.count() == own.count() > 0
+        assert lost.select(*rounded).exceptAll(own.select(*rounded)).isEmpty()
+
+
 def test_more_lags_shorten_the_series(spark):
     two, four = (bt.backtest(bars(spark, walks()), lags=n).count() for n in (2, 4))
     assert two - four == 2 * 3

@@ -9,8 +9,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tickloom.plans.oracles import ORACLES
+from tickloom.plans.queries import comparable_queries
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES = comparable_queries()
 WITHOUT_SQL = {"encode_ols", "train_elastic_net", "score_elastic_net", "ols_signal", "stream_ols_signal"}
 
 
@@ -59,4 +61,5 @@ def test_query(spark, sf_dir, database, name):
 
 
 def test_entry(spark):
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
     assert entry.entry(spark).count() > 0

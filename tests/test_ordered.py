@@ -130,7 +130,7 @@ def test_cut_rows_are_shuffled_once_for_window_and_join(spark, frame):
     layout = plan_layout(frame, "k", ("at", "id"), 200)
     spread = running_sum(layout.assign(frame), layout, {"total": "v"})
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16k")  # the split points fit, the sums per segment do not
     try:
         plan = spread._jdf.queryExecution().executedPlan().toString()
     finally:
@@ -142,6 +142,25 @@ def test_cut_rows_are_shuffled_once_for_window_and_join(spark, frame):
     assert len(lines) == 3
 
 
+def test_rows_the_order_leaves_equal_are_spread_too(spark):
+    rows = spark.range(20_000).selectExpr("'hot' as k", "7L as at", "1L as id", "id * 1.0 as v", "id as n")
+    layout = plan_layout(rows, "k", ("at", "id"), 400)
+    assigned = layout.assign(rows)
+    sizes = assigned.groupBy("_series").count().agg(F.max("count"), F.sum("count"), F.count("*")).first()
+    assert sizes[0] <= 1600 and sizes[1] == 20_000 and sizes[2] > 20
+    shifted = lagged(assigned, layout, {"before": ("n", 1)})
+    got = [row.before for row in layout.release(shifted).collect()]
+    assert len(got) == 20_000 and len(set(got)) == 20_000, "each row is the one before of one other row"
+    total = running_sum(assigned, layout, {"total": "v"}).agg(F.max("total"), F.count("*")).first()
+    assert tuple(total) == (20_000 * 19_999 / 2, 20_000)
+
+
+def test_rows_equal_in_all_columns_stay_together(spark):
+    rows = spark.range(3000).selectExpr("'hot' as k", "7L as at", "1L as id", "2.0D as v")
+    layout = plan_layout(rows, "k", ("at", "id"), 100)
+    assert running_sum(layout.assign(rows), layout, {"total": "v"}).agg(F.max("total"), F.count("*")).first()[:2] == (6000.0, 3000)
+
+
 def test_empty_input(spark):
     empty = spark.createDataFrame([], SCHEMA)
     layout = plan_layout(empty, "k", ("at", "id"), 10)

@@ -1,6 +1,6 @@
-from pyspark.sql import functions as F
+import pytest
 
-from tickloom.session import session_settings, spread
+from tickloom.session import session_settings, shared_folder
 
 
 def test_settings_last_for_the_block(spark):
@@ -11,14 +11,10 @@ def test_settings_last_for_the_block(spark):
     assert spark.conf.get(name) == before and spark.conf.get("tickloom.unknown", None) is None
 
 
-def test_spread_leaves_small_and_well_split_scans_alone(spark, tmp_path):
-    spark.range(0, 300_000, 1, 1).select("id", F.rand(1).alias("r"), F.rand(2).alias("s")).write.parquet(str(tmp_path / "one"))
-    spark.range(0, 300_000, 1, 8).select("id", F.rand(1).alias("r"), F.rand(2).alias("s")).write.parquet(str(tmp_path / "eight"))
-    spark.range(10).write.parquet(str(tmp_path / "small"))
-    read = {name: spark.read.parquet(str(tmp_path / name)) for name in ("one", "eight", "small")}
-    assert spread(read["eight"]) is read["eight"] and spread(read["small"].coalesce(1)).columns == ["id"]
-    assert "Repartition" not in spread(read["small"])._jdf.queryExecution().optimizedPlan().toString()
-    one = spread(read["one"])
-    assert one.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    plan = one.select("id")._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<id:bigint>" in plan
+def test_an_unset_folder_is_an_error(spark, monkeypatch):
+    before = spark.conf.get("spark.checkpoint.dir")
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, name, default=None: default)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(spark)
+    monkeypatch.undo()
+    assert shared_folder(spark) == before

@@ -10,18 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tickloom.session import shared_folder
+from tickloom.session import fresh_folder, shared_folder
 
-SERIES = "_series"
+SERIES, TIE = "_series", "_tie"
 ROWS_PER_SEGMENT = 4_000_000
-# Segments grow on inputs that would need more of them. A split point is a few values, so this many stay far below
-# 100 MB and can be broadcast, and the sampled points of even a single key fit one task.
-MAX_SPLITS = 300_000
 _SAMPLES_PER_SEGMENT = 16
 
 
@@ -31,12 +27,15 @@ class Layout:
 
     ``splits`` has one row per cut key: the key and ``_splits``, the sorted points at which a segment begins.
     A segment is named by the struct column ``_series`` of key and number; as a struct it joins null keys too.
+    Rows of a cut key that the order leaves equal are told apart by ``_tie``, a hash of ``tied_by``. Rows that agree in
+    those columns too are interchangeable, and stay together.
     """
 
     key: str
     order: tuple[str, ...]
     splits: DataFrame | None = None
     depth: int = 0
+    tied_by: tuple[str, ...] = ()
 
     @property
     def by(self) -> str:
@@ -47,7 +46,8 @@ class Layout:
         return F.struct(F.col(self.key).alias("key"), number.alias("segment")).alias(SERIES)
 
     def window(self, descending: bool = False) -> WindowSpec:
-        order = [F.col(name).desc() if descending else F.col(name).asc() for name in self.order]
+        names = self.order if self.splits is None else (*self.order, TIE)
+        order = [F.col(name).desc() if descending else F.col(name).asc() for name in names]
         return Window.partitionBy(self.by).orderBy(*order)
 
     def across_segments(self, descending: bool = False) -> WindowSpec:
@@ -56,18 +56,23 @@ class Layout:
         return Window.partitionBy(f"{SERIES}.key").orderBy(number.desc() if descending else number.asc())
 
     def assign(self, rows: DataFrame) -> DataFrame:
-        """Add the segment, found by binary search among the key's split points."""
+        """Add the segment, found by binary search among the key's split points, and the tie.
+
+        Split points lie in files whose size Spark knows: it sends them to every task if they are small, and else joins
+        them by key, where adaptive execution splits a key with many rows.
+        """
         if self.splits is None:
             return rows
-        splits = F.broadcast(self.splits.withColumnRenamed(self.key, "_cut_key"))
-        found = rows.join(splits, F.col(self.key).eqNullSafe(F.col("_cut_key")), "left")
+        splits = self.splits.withColumnRenamed(self.key, "_cut_key")
+        tied = rows.withColumn(TIE, F.xxhash64(*self.tied_by))
+        found = tied.join(splits, F.col(self.key).eqNullSafe(F.col("_cut_key")), "left")
         found = found.withColumn("_number", F.lit(0))
-        place = F.struct(*self.order)
+        place = F.struct(*self.order, TIE)
         for bit in reversed(range(self.depth)):
             further = F.col("_number") + F.lit(1 << bit)
             passed = F.get("_splits", further - 1) <= place
             found = found.withColumn("_number", F.when(passed, further).otherwise(F.col("_number")))
-        return found.select(*rows.columns, self._series(F.col("_number")))
+        return found.select(*tied.columns, self._series(F.col("_number")))
 
     def settle(self, rows: DataFrame) -> DataFrame:
         """Store the rows of a cut layout in the checkpoint folder.
@@ -81,8 +86,8 @@ class Layout:
         return rows.checkpoint()
 
     def release(self, rows: DataFrame) -> DataFrame:
-        """Drop the segment."""
-        return rows.drop(SERIES)
+        """Drop the segment and the tie."""
+        return rows.drop(SERIES, TIE)
 
     def segments(self) -> DataFrame:
         """Every segment of the cut keys."""
@@ -91,14 +96,16 @@ class Layout:
 
     def join_per_key(self, rows: DataFrame, facts: DataFrame) -> DataFrame:
         """Left join facts that have one row per key. A cut key's facts are repeated for each of its segments, so
-        its rows stay spread; without cut keys this is a join on the key."""
+        its rows stay spread; without cut keys this is a join on the key. Null keys find their facts too."""
         if self.splits is not None:
             last = self.splits.select(F.col(self.key).alias("_cut_key"), F.size("_splits").alias("_last"))
-            named = facts.join(F.broadcast(last), F.col(self.key).eqNullSafe(F.col("_cut_key")), "left")
+            named = facts.join(last, F.col(self.key).eqNullSafe(F.col("_cut_key")), "left")
             numbers = F.explode(F.sequence(F.lit(0), F.coalesce("_last", F.lit(0)))).alias("_number")
             others = [name for name in facts.columns if name != self.key]
             facts = named.select(*facts.columns, numbers).select(self._series(F.col("_number")), *others)
-        return rows.join(facts, self.by, "left").select(*rows.columns, *[n for n in facts.columns if n != self.by])
+        facts = facts.withColumnRenamed(self.by, "_fact_key")
+        joined = rows.join(facts, F.col(self.by).eqNullSafe(F.col("_fact_key")), "left")
+        return joined.select(*rows.columns, *[name for name in facts.columns if name != "_fact_key"])
 
 
 def plan_layout(
@@ -107,29 +114,26 @@ def plan_layout(
     order: Sequence[str],
     rows_per_segment: int = ROWS_PER_SEGMENT,
 ) -> Layout:
-    """Count rows per key and cut the keys that exceed ``rows_per_segment``.
+    """Cut the keys that have about ``rows_per_segment`` rows or more, in one aggregation over the rows.
 
-    The order columns must tell the rows of a key apart, or equal rows stay together. Split points come from a
-    sample picked by hash, so they are the same on every retry. They lie in the checkpoint folder: a lost executor
-    cannot change them. Their number is checked before they are broadcast.
+    Split points come from a sample picked by a hash of whole rows, so they are the same on every retry, whatever the
+    order leaves equal. A segment gets ``_SAMPLES_PER_SEGMENT`` sampled rows, so a key's list of them has one entry for
+    each ``rows_per_segment / _SAMPLES_PER_SEGMENT`` rows. Split points are a table in the shared folder: a lost
+    executor cannot change them.
     """
-    order = tuple(order)
-    sizes = rows.groupBy(key).count().agg(F.max("count").alias("largest"), F.sum("count").alias("total")).first()
-    if (sizes.largest or 0) <= rows_per_segment:
-        return Layout(key, order)
-    rows_per_segment = max(rows_per_segment, ceil(sizes.total / MAX_SPLITS))
+    order, tied_by = tuple(order), tuple(rows.columns)
     one_in = max(1, rows_per_segment // _SAMPLES_PER_SEGMENT)
-    sampled = rows.where(F.pmod(F.xxhash64(*order), F.lit(one_in)) == 0)
-    points = F.sort_array(F.collect_list(F.struct(*order)))
-    every_nth = F.filter(points, lambda point, i: i % _SAMPLES_PER_SEGMENT == _SAMPLES_PER_SEGMENT - 1)
-    shared_folder(rows.sparkSession)
-    splits = sampled.groupBy(key).agg(every_nth.alias("_splits")).where(F.size("_splits") > 0).checkpoint()
-    found = splits.agg(F.max(F.size("_splits")).alias("most"), F.sum(F.size("_splits")).alias("all")).first()
-    if not found.all:
-        return Layout(key, order)
-    if found.all > 2 * MAX_SPLITS:
-        raise ValueError(f"{found.all} split points; the order columns {order} hash unevenly")
-    return Layout(key, order, splits, int(found.most).bit_length())
+    tied = rows.select(key, *[name for name in order if name != key], F.xxhash64(*tied_by).alias(TIE))
+    sampled = F.pmod(F.xxhash64(TIE), F.lit(one_in)) == 0
+    points = F.sort_array(F.collect_list(F.when(sampled, F.struct(*order, TIE))))
+    every_nth = F.array_distinct(F.filter(points, lambda point, i: i % _SAMPLES_PER_SEGMENT == _SAMPLES_PER_SEGMENT - 1))
+    cut = tied.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"), every_nth.alias("_splits"))
+    cut = cut.where((F.col("_rows") > rows_per_segment) & (F.size("_splits") > 0)).drop("_rows")
+    folder = fresh_folder(rows.sparkSession, "splits")
+    cut.write.parquet(folder)
+    splits = rows.sparkSession.read.schema(cut.schema).parquet(folder)
+    most = splits.agg(F.max(F.size("_splits"))).first()[0]
+    return Layout(key, order) if most is None else Layout(key, order, splits, int(most).bit_length(), tied_by)
 
 
 def lagged(rows: DataFrame, layout: Layout, outputs: Mapping[str, tuple[str, int]]) -> DataFrame:

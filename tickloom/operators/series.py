@@ -32,14 +32,16 @@ def interpolate_signals(
     computed anew for every row.
     """
     prices = prices.where(F.col(PRICE).isNotNull()).select(TICKER, TIMESTAMP, *sequence, PRICE)
-    layout = plan_layout(prices, TICKER, (TIMESTAMP, *sequence), rows_per_segment)
+    types = dict(prices.dtypes)
+    placed = signals.withColumn("_signal", F.struct(*signals.columns)).select(TICKER, TIMESTAMP, "_signal")
+    placed = placed.withColumns({name: F.lit(None).cast(types[name]) for name in sequence})
+    # Signals count as well: a ticker can have far more of them than prices.
+    place = (TICKER, TIMESTAMP, *sequence)
+    layout = plan_layout(prices.select(*place).union(placed.select(*place)), TICKER, place[1:], rows_per_segment)
     point = F.struct(F.unix_micros(TIMESTAMP).alias("at"), F.col(PRICE).alias("price"))
     price_points = layout.assign(prices).select(
         layout.by, TIMESTAMP, *sequence, F.lit(0).alias("_kind"), point.alias("_point")
     )
-    types = dict(prices.dtypes)
-    placed = signals.withColumn("_signal", F.struct(*signals.columns)).select(TICKER, TIMESTAMP, "_signal")
-    placed = placed.withColumns({name: F.lit(None).cast(types[name]) for name in sequence})
     signal_points = layout.assign(placed).withColumn("_kind", F.lit(1))
     points = price_points.unionByName(signal_points, allowMissingColumns=True)
 

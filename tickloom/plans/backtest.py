@@ -18,10 +18,9 @@ TARGETS = {1: "returns", 2: "direction"}
 
 
 def lay_out(bars: DataFrame, rows_per_segment: int = ROWS_PER_SEGMENT) -> tuple[DataFrame, Layout]:
-    """Bars of named tickers, in date order, ready for the steps below."""
-    named = bars.where(F.col(TICKER).isNotNull())
-    layout = plan_layout(named, TICKER, ("date",), rows_per_segment)
-    return layout.assign(named), layout
+    """Bars in date order, ready for the steps below. Bars without a ticker are a series of their own."""
+    layout = plan_layout(bars, TICKER, ("date",), rows_per_segment)
+    return layout.assign(bars), layout
 
 
 def log_returns(bars: DataFrame, layout: Layout) -> DataFrame:

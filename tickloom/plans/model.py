@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+import time
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -19,6 +21,13 @@ from tickloom.sources.messages import FILE_SEQUENCE
 # The label is the price this many rows away within the ticker: below 0 earlier, above 0 later.
 LABEL_HORIZON = -10
 
+# What becomes of a quote with a missing feature: it stops the work, gets FILL in its place, or is left out and counted.
+FAIL, FILL_IN, LEAVE_OUT = "fail", "fill", "leave out"
+FILL = 0.0
+
+# How many models a store keeps.
+KEPT_MODELS = 10
+
 
 def training_set(
     quotes: DataFrame,
@@ -35,15 +44,40 @@ def training_set(
     return layout.release(labelled.where(F.col("label").isNotNull()))
 
 
-def assemble(rows: DataFrame) -> DataFrame:
-    """Add the feature vector; rows with a missing feature are left out."""
-    return VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="skip").transform(rows)
+def has_all_features() -> Column:
+    complete = F.lit(True)
+    for name in FEATURES:
+        complete = complete & F.col(f"`{name}`").isNotNull()
+    return complete
+
+
+def assemble(rows: DataFrame, missing: str = FILL_IN) -> DataFrame:
+    """Add the feature vector. ``missing`` is the rule for rows that lack a feature."""
+    if missing not in (FAIL, FILL_IN, LEAVE_OUT):
+        raise ValueError(f"no such rule: {missing}")
+    if missing == LEAVE_OUT:
+        rows = rows.where(has_all_features())
+    inputs = {f"_in_{name}": F.col(f"`{name}`").cast("double") for name in FEATURES}
+    if missing == FILL_IN:
+        inputs = {name: F.coalesce(column, F.lit(FILL)) for name, column in inputs.items()}
+    assembler = VectorAssembler(inputCols=list(inputs), outputCol="features", handleInvalid="error")
+    return assembler.transform(rows.withColumns(inputs)).drop(*inputs)
+
+
+def missing_features(rows: DataFrame) -> DataFrame:
+    """One row: ``rows`` and ``incomplete``, how many there are and how many lack a feature."""
+    return rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~has_all_features()).alias("incomplete"))
 
 
 def train_elastic_net(
-    training: DataFrame, max_iter: int = 100, reg_param: float = 0.1, elastic_net_param: float = 0.8
+    training: DataFrame,
+    max_iter: int = 100,
+    reg_param: float = 0.1,
+    elastic_net_param: float = 0.8,
+    missing: str = FILL_IN,
+    tol: float = 1e-6,
 ) -> LinearRegressionModel:
-    """One model over all tickers.
+    """One model over all tickers. Rows left out for a missing feature are counted in the log.
 
     The normal solver sums one small matrix on the executors, however many iterations follow, and the fit then reads
     the data once more for its summary. So the feature vectors are kept, on disk where memory is short, for the
@@ -54,10 +88,14 @@ def train_elastic_net(
         regParam=reg_param,
         elasticNetParam=elastic_net_param,
         solver="normal",
+        tol=tol,
         featuresCol="features",
         labelCol="label",
     )
-    vectors = assemble(training).select("features", "label").persist()
+    if missing == LEAVE_OUT:
+        found = missing_features(training).first()
+        logging.getLogger(__name__).warning("%d of %d rows left out: a feature is missing", found.incomplete, found.rows)
+    vectors = assemble(training, missing).select("features", "label").persist()
     try:
         return regression.fit(vectors)
     finally:
@@ -71,10 +109,19 @@ def coefficient_table(spark: SparkSession, model: LinearRegressionModel) -> Data
 
 
 def score(
-    quotes: DataFrame, model: LinearRegressionModel, sequence: Sequence[str] = FILE_SEQUENCE
+    quotes: DataFrame,
+    model: LinearRegressionModel,
+    sequence: Sequence[str] = FILE_SEQUENCE,
+    missing: str = FILL_IN,
 ) -> DataFrame:
-    """Predicted price of each ticker's snapshot, and its ratio to the newest price."""
-    predicted = model.transform(assemble(feature_snapshot(quotes, sequence)))
+    """Predicted price of each ticker's snapshot, and its ratio to the newest price.
+
+    Every ticker comes out; where rows with a missing feature are to be left out, one has no prediction.
+    """
+    snapshot = feature_snapshot(quotes, sequence)
+    predicted = model.transform(assemble(snapshot, FAIL if missing == FAIL else FILL_IN))
+    if missing == LEAVE_OUT:
+        predicted = predicted.withColumn("prediction", F.when(has_all_features(), F.col("prediction")))
     return predicted.select(TICKER, PRICE, "prediction", F.try_divide("prediction", PRICE).alias("ratio"))
 
 
@@ -86,29 +133,46 @@ def ols_signal(scored: DataFrame, as_of: Column | None = None, threshold: float
 
 
 class ModelStore:
-    """Numbered models in a folder that every executor and every query reaches.
+    """The last few models, in a folder that every executor and every query reaches.
 
-    A model is announced in a second folder only after it is stored whole, so a reader never finds half of one.
-    Storing a number again replaces it, which makes a repeated batch harmless.
+    Models go to numbered slots in turn, so the folder holds ``kept`` of them and no more. A slot is announced, with the
+    time, only after its model is stored whole; the newest announcement counts, whatever run it comes from. Storing the
+    same batch of the same run again takes its slot again, which makes a repeated batch harmless. A slot is taken again
+    only ``kept`` models later, so nobody reads one that is being replaced.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self._spark = spark
+    def __init__(self, spark: SparkSession, folder: str, kept: int = KEPT_MODELS):
+        self._spark, self._kept = spark, max(2, kept)
         self._models = f"{folder.rstrip('/')}/models"
         self._announced = f"{folder.rstrip('/')}/announced"
 
-    def save(self, model: LinearRegressionModel, version: int) -> None:
-        model.write().overwrite().save(f"{self._models}/{version}")
-        announced = self._spark.range(1).select(F.lit(version).cast("bigint").alias("version"))
-        announced.write.mode("overwrite").parquet(f"{self._announced}/batch={version}")
+    def _newest(self):
+        schema = "run STRING, version BIGINT, stored_at BIGINT, slot INT"
+        try:
+            announced = self._spark.read.schema(schema).parquet(f"{self._announced}/slot=*")
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
+        return announced.orderBy(F.desc("stored_at")).first()
+
+    def save(self, model: LinearRegressionModel, version: int, run: str = "") -> None:
+        """Store the model of batch ``version`` of a run, the identity of the query that trains."""
+        newest = self._newest()
+        slot, stored_at = 0, time.time_ns()
+        if newest is not None:
+            again = (newest.run, newest.version) == (run, version)
+            slot = newest.slot if again else (newest.slot + 1) % self._kept
+            stored_at = max(stored_at, newest.stored_at + 1)
+        model.write().overwrite().save(f"{self._models}/{slot}")
+        row = (run, version, stored_at, slot)
+        announced = self._spark.createDataFrame([row], "run STRING, version BIGINT, stored_at BIGINT, slot INT")
+        announced.coalesce(1).write.mode("overwrite").parquet(f"{self._announced}/slot={slot}")
 
     def newest_version(self) -> int | None:
-        try:
-            announced = self._spark.read.schema("version BIGINT").parquet(f"{self._announced}/batch=*")
-        except AnalysisException:
-            return None
-        return announced.agg(F.max("version")).first()[0]
+        newest = self._newest()
+        return None if newest is None else newest.version
 
     def newest(self) -> LinearRegressionModel | None:
-        version = self.newest_version()
-        return None if version is None else LinearRegressionModel.load(f"{self._models}/{version}")
+        newest = self._newest()
+        return None if newest is None else LinearRegressionModel.load(f"{self._models}/{newest.slot}")

@@ -184,7 +184,7 @@ _SIGNAL_COLUMNS = (
 
 def _merged(label: str, quote: str, signal: str) -> str:
     return _with(
-        _CLEAN + "," + _signals(_UNTIL_AS_OF),
+        _CLEAN + "," + _signals(_ALL_WINDOWS),
         f"""
 select '{quote}' as {label}, ticker_symbol, {_JSON_TIME} as "timestamp", {_round('regular_market_price')} as regular_market_price,
   cast(null as double) as moving_avg_price, cast(null as int) as rsi_signal, cast(null as int) as mac_signal from clean
@@ -318,7 +318,7 @@ where date >= date '{BARS_FROM}' and date < date '{BARS_TO}'""",
         _CLEAN, f'select ticker_symbol, {_names(CLEAN_FIELDS)}, {_JSON_TIME} as "timestamp" from clean'
     ),
     "encode_signals": _with(
-        _signals(_UNTIL_AS_OF),
+        _signals(_ALL_WINDOWS),
         f"""select ticker_symbol, {_JSON_TIME} as "timestamp", {_rounded("moving_avg_price", "rsi")},
   mac_signal, rsi_signal from signals""",
     ),
@@ -337,7 +337,7 @@ from signals""",
     ),
     "gen_signal": _with(_signals(_UNTIL_AS_OF), f"select {_SIGNAL_COLUMNS} from signals"),
     "consensus_signal": _with(
-        _signals(_UNTIL_AS_OF),
+        _signals(_ALL_WINDOWS),
         """
 select ticker_symbol, "timestamp", rsi_signal, mac_signal,
   case when rsi_signal = 1 and mac_signal = 1 then 'buy' when rsi_signal = -1 and mac_signal = -1 then 'sell'
@@ -346,6 +346,18 @@ select ticker_symbol, "timestamp", rsi_signal, mac_signal,
     "interpolate_signal": _INTERPOLATED,
     "interpolate_signal_segmented": _INTERPOLATED,
     "retain_recent": _RETAINED.strip(),
+    "retain_recent_signals": _with(
+        _signals(_ALL_WINDOWS),
+        f"""
+select ticker_symbol, "timestamp", {_rounded("regular_market_price", "moving_avg_price")} from (
+  select *, row_number() over (partition by ticker_symbol order by "timestamp" desc) as n,
+    max("timestamp") over (partition by ticker_symbol) as newest
+  from signals)
+where n <= 180 and "timestamp" >= newest - interval {RECENT_SECONDS} second""",
+    ),
+    "extract_from_pages": "select 'A' as ticker_symbol, page_id, "
+    + ", ".join(f'cast(null as varchar) as "{name}"' for name in RAW_FIELDS)
+    + " from pages where not contains(html, '<fin-streamer')",
     "latest_quote": _LATEST,
     "feature_snapshot": _SNAPSHOT,
     "training_set": _labelled("lag"),

@@ -24,7 +24,7 @@ from tickloom.plans import backtest as bt
 from tickloom.plans import model as ml
 from tickloom.plans.signals import gen_signal
 from tickloom.schemas import CLEAN_TYPES, FEATURES, PRICE, TICKER, TIMESTAMP
-from tickloom.session import QUERY_SETTINGS, apply_settings, fresh_folder, session_settings
+from tickloom.session import QUERY_SETTINGS, apply_settings, fresh_folder, local_folder_if_unset, session_settings
 from tickloom.sources import samples
 from tickloom.sources.bars import daily_close
 from tickloom.sources.messages import decode_messages, read_messages
@@ -38,7 +38,7 @@ AS_OF = "2024-01-25 00:00:00"
 BARS_FROM, BARS_TO = "1993-01-01", "1998-01-01"
 RECENT_SECONDS = 232_000
 LATE_DAY = ("2024-01-02", "2024-01-03")
-SMALL_SEGMENT = 400
+SMALL_SEGMENT = 50
 # Averages of prices in cents often lie exactly between two six-decimal numbers, give or take the last bit, which
 # depends on the order of summation. A billionth on top makes all of them go up, in Spark and in SQL.
 DECIMALS, TIE_SHIFT = 6, 1e-9
@@ -137,14 +137,19 @@ def _stats(use_panes: bool) -> Query:
     return query
 
 
-def _signals(spark, folder, as_of=True):
-    until = _as_of() if as_of else F.current_timestamp()
-    return gen_signal(samples.prices(spark, folder), WINDOW, HOUR, as_of=until)
+def _signals(spark, folder):
+    """All windows of the quotes."""
+    return gen_signal(samples.prices(spark, folder), WINDOW, HOUR)
+
+
+def _ended_signals(spark, folder):
+    """The windows that have ended at a given time."""
+    return gen_signal(samples.prices(spark, folder), WINDOW, HOUR, as_of=_as_of())
 
 
 def _signal_columns(*names: str) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        return _signals(spark, folder, as_of=False).select(TICKER, TIMESTAMP, *names)
+        return _signals(spark, folder).select(TICKER, TIMESTAMP, *names)
 
     return query
 
@@ -156,13 +161,23 @@ def _consensus(spark, folder):
 
 def _interpolate(rows_per_segment: int) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        signals = _signals(spark, folder, as_of=False)
+        signals = _signals(spark, folder)
         valued = interpolate_signals(samples.prices(spark, folder), signals, rows_per_segment=rows_per_segment)
         return valued.select(TICKER, TIMESTAMP, "moving_avg_price", "signal_value")
 
     return query
 
 
+def _retain_signals(spark, folder):
+    return retain_recent(_signals(spark, folder), sequence=(), seconds=RECENT_SECONDS).select(TICKER, TIMESTAMP, PRICE, "moving_avg_price")
+
+
+def _page_quotes(spark, folder):
+    """The extraction over pages as they come, none of which need be a quote page."""
+    pages = samples.table(spark, folder, "pages").select(F.lit("A").alias(TICKER), "page_id", "html")
+    return extract_quotes(pages, keep=("page_id",))
+
+
 def _retain(spark, folder):
     return retain_recent(samples.prices(spark, folder), seconds=RECENT_SECONDS)
 
@@ -365,11 +380,13 @@ QUERIES: dict[str, Query] = {
     "mac_signal": _signal_columns(PRICE, "moving_avg_price", "mac_signal"),
     "rsi": _signal_columns("rsi"),
     "rsi_signal": _signal_columns("rsi", "rsi_signal"),
-    "gen_signal": _signals,
+    "gen_signal": _ended_signals,
     "consensus_signal": _consensus,
     "interpolate_signal": _interpolate(ROWS_PER_SEGMENT),
     "interpolate_signal_segmented": _interpolate(SMALL_SEGMENT),
     "retain_recent": _retain,
+    "retain_recent_signals": _retain_signals,
+    "extract_from_pages": _page_quotes,
     "latest_quote": lambda spark, folder: latest_quote(_clean(spark, folder)),
     "feature_snapshot": lambda spark, folder: feature_snapshot(_clean(spark, folder)).select(TICKER, *FEATURES),
     "training_set": _training_set(ml.LABEL_HORIZON),
@@ -406,6 +423,7 @@ QUERIES: dict[str, Query] = {
 def comparable_queries() -> dict[str, Query]:
     def wrap(query: Query) -> Query:
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            local_folder_if_unset(spark)
             apply_settings(spark, QUERY_SETTINGS)
             return _comparable(query(spark, folder))
 

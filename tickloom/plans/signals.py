@@ -30,6 +30,8 @@ def gen_signal(
     The same call serves tables and streams; a stream also needs ``watermark``, and emits a window once the
     watermark passes its end.
     """
+    if as_of is not None and not quotes.isStreaming:
+        quotes = quotes.where(F.col(TIMESTAMP) < as_of)  # no window that ends by then holds a later quote
     stats = sliding_stats(quotes, length_seconds, slide_seconds, sequence, watermark, use_panes)
     ended = stats.where(F.col("end") <= (F.current_timestamp() if as_of is None else as_of))
     price, average = F.col(PRICE), F.col("moving_avg_price")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings the queries rely on. Times are read and shown in UTC. A projection of a whole quote compiles to one method
 # too long for the JVM to optimize (8000 bytes of bytecode); over that limit Spark generates shorter ones instead.
@@ -35,30 +36,22 @@ def apply_settings(spark: SparkSession, settings: dict[str, str]) -> SparkSessio
     return spark
 
 
-def spread(scan: DataFrame, least_bytes: int = 1_000_000) -> DataFrame:
-    """Rows of a scan over all cores, where its files cannot be split that far.
-
-    A single file of one row group is one task, however costly its rows are to work on. Scans that fill at least half
-    of the cores, or are too small to matter, stay as they are.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < least_bytes or scan.rdd.getNumPartitions() * 2 > cores:
-        return scan
-    return scan.repartition(cores)
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """Folder that every executor reaches: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
+    """Folder that every executor reaches: ``spark.checkpoint.dir``. Intermediate tables have no other place."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="tickloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def local_folder_if_unset(spark: SparkSession) -> None:
+    """On one machine, where a temporary folder is shared by all, let ``spark.checkpoint.dir`` be one if it is unset."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tickloom-"))
+
+
 def fresh_folder(spark: SparkSession, purpose: str) -> str:
     """New folder name below the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/tickloom-{purpose}-{uuid.uuid4().hex}"

@@ -12,12 +12,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tickloom.operators.clean import clean_quotes
 from tickloom.operators.ordered import ROWS_PER_SEGMENT
-from tickloom.plans.model import LABEL_HORIZON, ModelStore, ols_signal, score, train_elastic_net, training_set
+from tickloom.plans.model import FILL_IN, LABEL_HORIZON, ModelStore, ols_signal, score, train_elastic_net, training_set
 from tickloom.plans.signals import gen_signal
-from tickloom.schemas import CLEAN_TOPIC, OLS_TOPIC, SIGNAL_TOPIC, TIMESTAMP
+from tickloom.schemas import CLEAN_TOPIC, OLS_TOPIC, SIGNAL_TOPIC, TICKER, TIMESTAMP
 from tickloom.session import session_settings
 from tickloom.sources.messages import BROKER_SEQUENCE, FILE_SEQUENCE, broker_options, decode_messages, read_messages
-from tickloom.streaming.sinks import DATE, Sink, collection_sink, fan_out, start_query, topic_sink
+from tickloom.streaming.sinks import DATE, Sink, collection_sink, fan_out, file_sink, run_of, start_query, topic_sink
 
 # Seconds between batches of each kind of query, window length and late-data allowance.
 CLEAN_INTERVAL = 3
@@ -45,6 +45,7 @@ def train_on_batch(
     rows_per_segment: int = ROWS_PER_SEGMENT,
     history: str | None = None,
     minutes: int = 60,
+    missing: str = FILL_IN,
 ) -> Callable[[DataFrame, int], None]:
     """Micro-batch function: fit a model on the batch's own rows and store it under the batch number.
 
@@ -58,7 +59,7 @@ def train_on_batch(
             recent = rows if history is None else recent_history(rows, history, minutes)
             training = training_set(recent, horizon, sequence, rows_per_segment)
             if not training.isEmpty():
-                store.save(train_elastic_net(training), batch_id)
+                store.save(train_elastic_net(training, missing=missing), batch_id, run_of(rows.sparkSession))
         finally:
             rows.unpersist()
 
@@ -75,8 +76,10 @@ def recent_history(rows: DataFrame, history: str, minutes: int) -> DataFrame:
     since = F.timestamp_micros(F.lit(newest) - F.lit(minutes * 60_000_000))
     try:
         stored = rows.sparkSession.read.parquet(history)
-    except AnalysisException:
-        return rows
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return rows
+        raise
     in_days = (F.col(DATE) >= F.to_date(since)) & (F.col(DATE) <= F.to_date(until))
     return stored.where(in_days & (F.col(TIMESTAMP) > since) & (F.col(TIMESTAMP) <= until))
 
@@ -103,7 +106,8 @@ class Service:
     """What the service reads, where it writes, and where it keeps its progress and models.
 
     ``use_panes`` aggregates quotes to panes before windows: far less state work for busy tickers, and windows that
-    may come out one batch later.
+    may come out one batch later. With ``history``, the path of a ``by_date`` file sink among the quote sinks, models are
+    trained on the stored quotes of the last ``minutes`` and not on the batch alone. ``horizon`` is the label's.
     """
 
     quotes: DataFrame
@@ -113,7 +117,10 @@ class Service:
     signal_sinks: Sequence[Sink]
     ols_sinks: Sequence[Sink]
     sequence: Sequence[str] = FILE_SEQUENCE
-    use_panes: bool = False
+    use_panes: bool = True
+    history: str | None = None
+    minutes: int = 60
+    horizon: int = LABEL_HORIZON
     state_settings: dict[str, str] = field(default_factory=lambda: stateful_settings(200))
 
     def start(self) -> list[StreamingQuery]:
@@ -124,7 +131,7 @@ class Service:
             start_query(
                 quotes,
                 "training",
-                train_on_batch(self.models, sequence=self.sequence),
+                train_on_batch(self.models, self.horizon, self.sequence, history=self.history, minutes=self.minutes),
                 checkpoints,
                 seconds(TRAINING_INTERVAL),
             ),
@@ -152,18 +159,41 @@ class Service:
 
 
 def broker_service(
-    spark: SparkSession, servers: str, checkpoints: str, models: str, database: str = "stock", uri: str | None = None
+    spark: SparkSession,
+    servers: str,
+    checkpoints: str,
+    models: str,
+    database: str = "stock",
+    uri: str | None = None,
+    history: str | None = None,
+    minutes: int = 60,
+    horizon: int = LABEL_HORIZON,
+    most_per_batch: int | None = None,
 ) -> Service:
-    """The service over a message broker and a document store. Their connectors must be on the classpath."""
-    messages = read_messages(spark, "kafka", broker_options(servers))
+    """The service over a message broker and a document store. Their connectors must be on the classpath.
+
+    ``most_per_batch`` is how many messages a batch takes at most, so that the first one after an outage is not all that
+    has piled up; the rest follow in later batches. With ``history`` clean quotes are also stored there by date.
+    """
+    limit = {} if most_per_batch is None else {"maxOffsetsPerTrigger": str(most_per_batch)}
+    messages = read_messages(spark, "kafka", broker_options(servers, **limit))
+    named = (TICKER, TIMESTAMP)
+    stored = [] if history is None else [file_sink("history", history, by_date=True)]
     return Service(
         quotes=clean_quotes(decode_messages(messages, BROKER_SEQUENCE)),
         checkpoints=checkpoints,
         models=ModelStore(spark, models),
-        quote_sinks=[topic_sink(servers, CLEAN_TOPIC), collection_sink(database, "real-time-stock-data", uri)],
-        signal_sinks=[topic_sink(servers, SIGNAL_TOPIC), collection_sink(database, SIGNAL_TOPIC, uri)],
-        ols_sinks=[topic_sink(servers, OLS_TOPIC), collection_sink(database, OLS_TOPIC, uri)],
+        quote_sinks=[
+            topic_sink(servers, CLEAN_TOPIC),
+            collection_sink(database, "real-time-stock-data", uri, (*named, *BROKER_SEQUENCE)),
+            *stored,
+        ],
+        signal_sinks=[topic_sink(servers, SIGNAL_TOPIC), collection_sink(database, SIGNAL_TOPIC, uri, named)],
+        ols_sinks=[topic_sink(servers, OLS_TOPIC), collection_sink(database, OLS_TOPIC, uri, named)],
         sequence=BROKER_SEQUENCE,
+        history=history,
+        minutes=minutes,
+        horizon=horizon,
     )
 
 

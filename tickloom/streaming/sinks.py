@@ -6,7 +6,7 @@ import os
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -36,28 +36,39 @@ class Sink:
         return rows if self.topic is None else encode_for_topic(rows, self.topic)
 
     def write_batch(self, rows: DataFrame, batch_id: int) -> None:
-        """Write one micro-batch. In files each batch has its own folder, so a repeated batch replaces itself;
-        brokers and document stores get the batch appended again."""
+        """Write one micro-batch. In files each batch of each run has its own folder, so a repeated batch replaces
+        itself, and a query that starts anew with another checkpoint leaves what is there. Brokers get a repeated batch
+        again; a collection replaces documents by its key, if it has one."""
         writer = self.shape(rows).write.format(self.fmt).options(**dict(self.options))
         if self.fmt in FILE_FORMATS:
             if self.by_date:
                 writer = writer.partitionBy(DATE)
-            writer.mode("overwrite").save(f"{self.path}/batch_id={batch_id}")
+            writer.mode("overwrite").save(f"{self.path}/run={run_of(rows.sparkSession)}/batch_id={batch_id}")
         else:
             writer.mode("append").save()
 
 
+def run_of(spark: SparkSession) -> str:
+    """Identity of the streaming query that is running this micro-batch function; its checkpoint keeps it."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "none"
+
+
 def topic_sink(servers: str, topic: str) -> Sink:
     return Sink(f"topic {topic}", "kafka", {"kafka.bootstrap.servers": servers, "topic": topic}, topic=topic)
 
 
-def collection_sink(database: str, collection: str, uri: str | None = None) -> Sink:
-    """Document collection. The connection URI holds a password: give it, or set TICKLOOM_DOCUMENT_URI."""
+def collection_sink(database: str, collection: str, uri: str | None = None, key: Sequence[str] = ()) -> Sink:
+    """Document collection. The connection URI holds a password: give it, or set TICKLOOM_DOCUMENT_URI.
+
+    With ``key``, columns that name a document, a batch written again replaces its documents.
+    """
     options = {
         "spark.mongodb.connection.uri": uri or os.environ["TICKLOOM_DOCUMENT_URI"],
         "spark.mongodb.database": database,
         "spark.mongodb.collection": collection,
     }
+    if key:
+        options |= {"operationType": "replace", "upsertDocument": "true", "idFieldList": ",".join(key)}
     return Sink(f"collection {collection}", "mongodb", options)
 
 
