@@ -36,8 +36,8 @@ def sliding_stats(
     Rows are grouped by the second their quote came in; ties within are settled by ``sequence``.
 
     With panes, quotes are first aggregated to slide-sized panes, and windows are put together from panes, instead of
-    copying every quote length / slide times before the shuffle. Panes need a slide that divides the length; they
-    are the default in batch. A stream needs two stateful steps for them, so there they must be asked for.
+    copying every quote length / slide times before the shuffle. Panes need a slide that divides the length, and are
+    the default then. A stream has two stateful steps for them: a window may come out one batch later.
     """
     points = quotes.select(
         TICKER,
@@ -48,7 +48,7 @@ def sliding_stats(
     if watermark is not None:
         points = points.withWatermark("second", watermark)
     if use_panes is None:
-        use_panes = not quotes.isStreaming and length_seconds % slide_seconds == 0
+        use_panes = length_seconds % slide_seconds == 0
     if not use_panes:
         return _from_quotes(points, length_seconds, slide_seconds)
     if length_seconds % slide_seconds:

@@ -6,7 +6,16 @@ Common table expressions are named once and put in front of each statement.
 from __future__ import annotations
 
 from tickloom.operators.windows import NEWEST_FEATURES
-from tickloom.plans.queries import AS_OF, BARS_FROM, BARS_TO, DECIMALS, LATE_DAY, RECENT_SECONDS, TIE_SHIFT
+from tickloom.plans.queries import (
+    AS_OF,
+    BARS_FROM,
+    BARS_TO,
+    COLUMN_DECIMALS,
+    DECIMALS,
+    LATE_DAY,
+    RECENT_SECONDS,
+    TIE_SHIFT,
+)
 from tickloom.schemas import CLEAN_FIELDS, CLEAN_TOPIC, FEATURES, RAW_FIELDS, SIGNAL_TOPIC
 
 _RAW = """
@@ -161,12 +170,13 @@ def _names(names: tuple[str, ...]) -> str:
     return ", ".join(f'"{name}"' for name in names)
 
 
-def _round(value: str) -> str:
-    return f"round({value} + {TIE_SHIFT:.0e}, {DECIMALS})"
+def _round(value: str, decimals: int = DECIMALS) -> str:
+    return f"round({value} + {TIE_SHIFT:.0e}, {decimals})"
 
 
 def _rounded(*names: str) -> str:
-    return ", ".join(f"""{_round('"' + name + '"')} as "{name}\"""" for name in names)
+    decimals = [COLUMN_DECIMALS.get(name, DECIMALS) for name in names]
+    return ", ".join(f"""{_round(f'"{name}"', at)} as "{name}\"""" for name, at in zip(names, decimals))
 
 
 def _with(tables: str, select: str) -> str:
@@ -389,6 +399,7 @@ from coefficients""",
     "stream_clean_quotes": _CLEAN_ALL,
     "stream_restart": _CLEAN_ALL,
     "stream_gen_signal": _closed(),
+    "stream_gen_signal_panes": _closed(),
     "stream_late_data": _closed(_ON_TIME),
     "stream_fanout": _with(
         _CLEAN,

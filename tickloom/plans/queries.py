@@ -42,6 +42,13 @@ SMALL_SEGMENT = 50
 # Averages of prices in cents often lie exactly between two six-decimal numbers, give or take the last bit, which
 # depends on the order of summation. A billionth on top makes all of them go up, in Spark and in SQL.
 DECIMALS, TIE_SHIFT = 6, 1e-9
+# Daily returns are small numbers; slopes are quotients of sums, and differ with the order of summation.
+RETURN_DECIMALS, SLOPE_DECIMALS = 12, 9
+COLUMN_DECIMALS = {
+    **dict.fromkeys(("returns", "lag_1", "lag_2", "strat_ols_1", "strat_ols_2"), RETURN_DECIMALS),
+    **dict.fromkeys(("intercept_1", "intercept_2"), RETURN_DECIMALS),
+    **dict.fromkeys(("b1_1", "b2_1", "b1_2", "b2_2"), SLOPE_DECIMALS),
+}
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,7 +62,7 @@ def _comparable(rows: DataFrame) -> DataFrame:
     for name, kind in rows.dtypes:
         column = F.col(f"`{name}`")
         if kind == "double":
-            column = F.round(column + TIE_SHIFT, DECIMALS)
+            column = F.round(column + TIE_SHIFT, COLUMN_DECIMALS.get(name, DECIMALS))
         elif kind == "timestamp":
             column = column.cast("timestamp_ntz")
         columns.append(column.alias(name))
@@ -302,18 +309,25 @@ def _stream_clean(steps: int) -> Query:
     return query
 
 
-def _stream_signals(spark: SparkSession, folder: str, chunks: Callable[[_Staged], list[DataFrame]]) -> DataFrame:
+def _stream_signals(
+    spark: SparkSession, folder: str, chunks: Callable[[_Staged], list[DataFrame]], use_panes: bool = False
+) -> DataFrame:
     staged = _Staged(spark, folder, "signals")
     with session_settings(spark, _state(spark)):
         for messages in chunks(staged):
             staged.lay_down(messages)
-            signals = gen_signal(staged.quotes(), WINDOW, HOUR, watermark=service.WATERMARK)
+            signals = gen_signal(
+                staged.quotes(), WINDOW, HOUR, watermark=service.WATERMARK, use_panes=use_panes
+            )
             staged.run(signals, "rsi-mac-signal", staged.sink("signals"))
     return staged.table("signals")
 
 
-def _stream_gen_signal(spark, folder):
-    return _stream_signals(spark, folder, lambda staged: staged.steps(3))
+def _stream_gen_signal(use_panes: bool) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        return _stream_signals(spark, folder, lambda staged: staged.steps(3), use_panes)
+
+    return query
 
 
 def _stream_late_data(spark, folder):
@@ -413,7 +427,8 @@ QUERIES: dict[str, Query] = {
     "backtest_segmented": _backtest(SMALL_SEGMENT),
     "stream_clean_quotes": _stream_clean(steps=1),
     "stream_restart": _stream_clean(steps=3),
-    "stream_gen_signal": _stream_gen_signal,
+    "stream_gen_signal": _stream_gen_signal(use_panes=False),
+    "stream_gen_signal_panes": _stream_gen_signal(use_panes=True),
     "stream_late_data": _stream_late_data,
     "stream_fanout": _stream_fanout,
     "stream_ols_signal": _stream_ols,
