@@ -41,12 +41,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that a smaller id has too; those of which nothing is left go."""
-    removed = remove_repeats(docs, with_text=True).where("n_removed > 0").select("doc_id", "n_words", "n_removed", "kept")
-    removed = staged(removed, "passages-removed")
-    joined = docs.join(removed, "doc_id", "left").where("n_removed is null or n_removed < n_words")
-    text = F.coalesce("kept", "text")
-    size = F.when(F.col("kept").isNotNull(), F.char_length("kept").cast("long")).otherwise(F.col("n_chars"))
-    return joined.withColumns({"n_chars": size, "text": text}).select(*COLUMNS)
+    found = remove_repeats(docs, with_text=True, carry=("lang", "source", "n_chars"))
+    found = found.where("n_removed = 0 or n_removed < n_words").withColumnRenamed("kept", "text")
+    size = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return found.withColumn("n_chars", size).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -208,7 +208,10 @@ def repeated_windows(
         known_ids = answers["known"][answers["bucket"] == COPIES]
         answers = answers[answers["bucket"] != COPIES]
         rows, block, ranks, lowest, places, digests = opened(frame, known_ids)
-        _, back, counts = np.unique(digests, return_inverse=True, return_counts=True)
+        found, back = np.unique(digests, return_inverse=True)
+        # What one text alone repeats is no repeat: count texts, not places.
+        pairs = np.unique(back.astype(np.int64) * (len(rows) + 1) + block.text_of(places))
+        counts = np.bincount(pairs // (len(rows) + 1), minlength=len(found))
         parts = [
             np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=size)
             for _, size, bits in sorted(zip(answers["bucket"], answers["size"], answers["bits"], strict=True))

@@ -34,9 +34,9 @@ def staged(frame: DataFrame, purpose: str, partition_by: str | None = None) -> D
 NO_ID = -(2**63)  # stands for a null id in Python steps: pandas would turn a column with nulls into inexact floats
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) for a Python step; ``anonymous`` puts the nulls back."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+def identified(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, text) and more columns for a Python step; ``anonymous`` puts the nulls back."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text", *more)
 
 
 def anonymous(frame: DataFrame) -> DataFrame:

@@ -32,9 +32,13 @@ NONE = "und"
 MARKUP = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
 
 
+# Digits and marks say nothing about the language: numbers, addresses and keys in a text are passed over.
+LETTERS = bytes(byte if byte >= 128 or chr(byte).isalpha() else 32 for byte in range(256))
+
+
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of all trigrams, each text with a space around it, and how many each text has."""
-    padded = [b" " + b" ".join(text.lower().split()) + b" " for text in texts]
+    """Cells of all trigrams of letters and gaps, each text with a space around it, and how many each text has."""
+    padded = [b" " + b" ".join(text.translate(LETTERS).lower().split()) + b" " for text in texts]
     data = np.frombuffer(b"".join(padded) + b"  ", dtype=np.uint8).astype(np.int32)
     cells = (data[:-2] * 7919 + data[1:-1] * 271 + data[2:] * 9173) % CELLS
     return cells, np.array([len(text) for text in padded])

@@ -70,7 +70,9 @@ def paths(found: DataFrame) -> DataFrame:
         F.slice("edges", F.lit(3), F.col("n").cast("int")).alias("after"),
     )
     steps = listed.select("stretch", "least_id", "n", F.posexplode(three).alias("place", "step"))
-    steps = steps.select("stretch", "least_id", "n", "place", "step.*")
+    # Twice the place, and one more for the last edge: rows are many, so they are kept narrow.
+    spot = F.col("place").cast("long") * 2 + F.when(F.col("place") == F.col("n") - 1, 1).otherwise(0)
+    steps = steps.select("stretch", "least_id", spot.alias("spot"), "step.*")
     graph = steps.groupBy("edge").agg(
         F.min("least_id").alias("source_id"),
         F.min("before").alias("b0"), F.max("before").alias("b1"), F.min("after").alias("a0"), F.max("after").alias("a1"),
@@ -82,7 +84,7 @@ def paths(found: DataFrame) -> DataFrame:
         ((F.col("a0") != F.col("a1")) | (F.col("a0") == 0)).alias("closes"),
     )
     marks = steps.join(graph, F.col("edge") == F.col("at_edge"))
-    marks = marks.where("opens or closes or place = 0 or place = n - 1")
+    marks = marks.where("opens or closes or spot < 2 or spot % 2 = 1").withColumn("place", F.expr("spot div 2"))
     marks = marks.groupBy("stretch").agg(
         F.collect_list(F.struct("place", "edge", "opens", "closes", "source_id")).alias("marks")
     )
@@ -125,8 +127,12 @@ def digests(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     return joined.mapInPandas(read, "path long, n long, digest binary")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256[, kept]) of every row.
+def remove_repeats(
+    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = False, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256[, kept], and the columns of ``carry``) of every row.
+
+    ``kept`` is the text as it was where nothing is removed, and else its remaining words with one space between.
 
     A word goes if a window that covers it also starts in a text with a smaller id. Null and empty texts have no words;
     rows without doc_id keep all theirs. Rows that repeat an id are no sources for each other, and if their texts
@@ -167,13 +173,23 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with
                     words = [word for word, hit in zip(words, gone, strict=True) if not hit]
                 kept = b" ".join(words)
                 row = (doc_id, total, total - len(words), sha256(kept).hexdigest())
-                rows.append((*row, kept.decode("utf-8", "surrogatepass")) if with_text else row)
+                left = kept.decode("utf-8", "surrogatepass") if len(words) < total else text
+                rows.append((*row, left) if with_text else row)
             names = ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept"] * with_text]
-            yield pd.DataFrame(rows, columns=names)
+            found = pd.DataFrame(rows, columns=names)
+            yield found.assign(carried=batch["carried"]) if carry else found
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
-    joined = identified(docs).join(lists, "doc_id", "left").select("doc_id", "text", "spans", "copy")
-    return anonymous(joined.mapInPandas(cut, schema))
+    # Carried columns pass through Python as one text, so that nulls and large numbers stay what they are.
+    carried = F.to_json(F.struct(*carry)).alias("carried") if carry else None
+    texts = identified(docs, *([carried] if carry else []))
+    joined = texts.join(lists, "doc_id", "left").select(*texts.columns, "spans", "copy")
+    found = anonymous(joined.mapInPandas(cut, schema + ", carried string" * bool(carry)))
+    if not carry:
+        return found
+    kinds = ", ".join(f"`{name}` {kind}" for name, kind in docs.select(*carry).dtypes)
+    parsed = F.from_json("carried", kinds)
+    return found.select(*[name for name in found.columns if name != "carried"], *[parsed[name].alias(name) for name in carry])
 
 
 def passages_query(spark, sf_dir: str) -> DataFrame:

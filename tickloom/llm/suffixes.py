@@ -30,7 +30,7 @@ from tickloom.llm.common import anonymous, identified, staged, text_bytes
 WINDOW = 50
 GRAM = 32
 DEALING_GRAM = 8
-COLLECTION_BYTES = 1_000_000
+COLLECTION_BYTES = 300_000
 
 
 class Column:
@@ -196,8 +196,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with
     found = staged(pieces(docs, known, window, gram), "pieces")
     listed = found.where("piece is not null")
     collections = (listed.agg(F.sum(F.octet_length("piece"))).first()[0] or 0) // COLLECTION_BYTES + 1
-    distinct = listed.groupBy("piece_id", "deal", "piece").agg(F.min("doc_id").alias("least_id"))
-    distinct = distinct.withColumn("collection", F.pmod(F.xxhash64("deal"), F.lit(collections)))
+    # Each block has listed a piece once; what it lists moves once, and is counted where its collection is.
+    listed = listed.withColumn("collection", F.pmod(F.xxhash64("deal"), F.lit(collections))).repartition("collection")
+    distinct = listed.groupBy("collection", "piece_id", "piece").agg(F.min("doc_id").alias("least_id"))
 
     def sorted_out(collection: pd.DataFrame) -> pd.DataFrame:
         return sources(collection, window)
