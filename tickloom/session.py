@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -52,6 +54,25 @@ def local_folder_if_unset(spark: SparkSession) -> None:
         spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tickloom-"))
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package, where they would not find it by themselves.
+
+    They do where it is installed or on PYTHONPATH, and in local mode from the folder that holds it.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    application = spark.sparkContext.applicationId
+    found = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if application in _SHIPPED or any(path and os.path.realpath(path) == os.path.realpath(root) for path in found):
+        return
+    package = os.path.basename(os.path.dirname(os.path.abspath(__file__)))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix=f"{package}-"), package), "zip", root, package)
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(application)
+
+
+_SHIPPED: set[str] = set()
+
+
 def fresh_folder(spark: SparkSession, purpose: str) -> str:
     """New folder name below the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/tickloom-{purpose}-{uuid.uuid4().hex}"
