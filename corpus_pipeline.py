@@ -13,6 +13,7 @@ from tickloom.llm.mixing import plan_mix
 from tickloom.llm.packing import pack_documents
 from tickloom.llm.passages import remove_repeats
 from tickloom.llm.simhash import near_duplicates
+from tickloom.session import local_folder_if_unset, ship_package
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -72,6 +73,8 @@ ORACLE_SQL = None  # SQL has neither the tokenizer nor the fitted likelihoods; t
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents."""
+    local_folder_if_unset(spark)
+    ship_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
 from tickloom.llm.embeddings import embeddings_query
 from tickloom.llm.language import language_query
 from tickloom.llm.language_model import language_model_query
@@ -12,8 +16,23 @@ from tickloom.llm.passages import passages_query
 from tickloom.llm.quality import quality_query
 from tickloom.llm.simhash import simhash_query
 from tickloom.llm.suffixes import suffixes_query
+from tickloom.session import local_folder_if_unset, ship_package
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def ready(query: Query) -> Query:
+    """The query, run in a session whose workers find this package and which has a shared folder."""
 
-QUERIES = {
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        local_folder_if_unset(spark)
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+OPERATORS: dict[str, Query] = {
     "op1_embedding_dedup": embeddings_query,
     "op2_best_fit_packing": pack_query,
     "op3_language_id": language_query,
@@ -26,4 +45,6 @@ QUERIES = {
     "op10_language_model": language_model_query,
 }
 
+QUERIES = {name: ready(query) for name, query in OPERATORS.items()}
+
 ORACLES = {"op6_source_mixing": MIX_SQL}
