@@ -5,7 +5,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.operators.windows import WINDOWS_PER_CHUNK, feature_snapshot, latest_quote, sliding_stats
+from tickloom.operators.windows import WINDOWS_PER_CHUNK, feature_snapshot, latest_quote, newest_first, sliding_stats
 from tickloom.plans.signals import gen_signal
 from tickloom.schemas import FEATURES
 from tickloom.sources import samples
@@ -135,3 +135,35 @@ def test_latest_quote_and_snapshot_take_the_newest(spark):
     snapshot = {row.ticker_symbol: row for row in feature_snapshot(frame.withColumns(others)).collect()}
     assert snapshot["A"].regular_market_price == 3.0 and snapshot["A"].regular_market_change == 4.0
     assert snapshot["A"].eps == FEATURES.index("eps") + 2.0
+
+
+def test_newest_values_are_hashed_and_not_sorted(spark, sf_dir):
+    from tickloom.plans.queries import comparable_queries
+
+    queries = comparable_queries()
+    for name in ("gen_signal", "sliding_stats", "sliding_stats_panes", "latest_quote", "feature_snapshot"):
+        plan = queries[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "HashAggregate" in plan, name
+
+
+def test_as_of_is_filtered_before_the_panes(spark, sf_dir):
+    from tickloom.plans.queries import comparable_queries
+
+    plan = comparable_queries()["gen_signal"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "2024-01-25" in plan[plan.index("Scan parquet") :] or "1706140800" in plan[plan.index("Scan parquet") :]
+
+
+def test_order_of_quotes_as_one_number(spark):
+    times = ("timestamp_micros(at) as timestamp",)
+    rows = [(1_700_000_000_000_000, 5), (1_700_000_000_000_000, -5), (1_699_999_999_999_999, 2**63 - 1), (1_700_000_000_000_001, -(2**63)), (1, None)]
+    frame = spark.createDataFrame(rows, "at BIGINT, event_id BIGINT").selectExpr("*", *times)
+    got = [(row.at, row.event_id) for row in frame.orderBy(newest_first(("event_id",))).collect()]
+    assert got == sorted(rows, key=lambda row: (row[0], row[1] if row[1] is not None else -(2**63)))
+    broker = [(7, 0, 3), (7, 1, 0), (7, 0, 10**17 - 1), (6, 99_999, 5), (8, None, None)]
+    frame = spark.createDataFrame(broker, "at BIGINT, partition INT, offset BIGINT").selectExpr("*", *times)
+    got = [tuple(row)[:3] for row in frame.orderBy(newest_first(("partition", "offset"))).collect()]
+    assert got == sorted(broker, key=lambda row: (row[0], row[1] or 0, row[2] or 0))
+    for wrong in ((7, 100_000, 1), (7, 1, 10**17), (7, -1, 1)):
+        frame = spark.createDataFrame([wrong], "at BIGINT, partition INT, offset BIGINT").selectExpr("*", *times)
+        with pytest.raises(Exception, match="no room"):
+            frame.select(newest_first(("partition", "offset"))).collect()
