@@ -108,6 +108,60 @@ def coefficient_table(spark: SparkSession, model: LinearRegressionModel) -> Data
     return spark.createDataFrame([*rows, ("intercept", float(model.intercept))], "feature STRING, coefficient DOUBLE")
 
 
+def training_moments(training: DataFrame) -> DataFrame:
+    """(feature, other, mean, deviation, correlation) of all pairs of features and the label, missing ones filled in.
+
+    Mean and deviation are the feature's. One aggregation gives them all; a fit is a function of these numbers.
+    """
+    names = [*FEATURES, "label"]
+    filled = training.select(*[F.coalesce(F.col(f"`{name}`").cast("double"), F.lit(FILL)).alias(name) for name in names])
+    pairs = [(one, other) for at, one in enumerate(names) for other in names[at:]]
+    sums = filled.agg(
+        *[F.avg(f"`{name}`").alias(f"mean {name}") for name in names],
+        *[F.stddev_pop(f"`{name}`").alias(f"deviation {name}") for name in names],
+        *[F.corr(f"`{one}`", f"`{other}`").alias(f"{one} {other}") for one, other in pairs],
+    )
+    rows = [
+        F.struct(
+            F.lit(one).alias("feature"),
+            F.lit(other).alias("other"),
+            F.col(f"`mean {one}`").alias("mean"),
+            F.col(f"`deviation {one}`").alias("deviation"),
+            F.nanvl(f"`{one} {other}`", F.lit(None).cast("double")).alias("correlation"),
+        )
+        for one, other in pairs
+    ]
+    return sums.select(F.inline(F.array(*rows)))
+
+
+def optimality(
+    training: DataFrame, model: LinearRegressionModel, reg_param: float = 0.1, elastic_net_param: float = 0.8, slack: float = 1e-5
+) -> DataFrame:
+    """(feature, optimal): whether the objective has no slope in the feature's direction at the fitted coefficients.
+
+    The objective has one optimum, as its square penalty is positive, so coefficients that are all optimal are the fit.
+    """
+    spark = training.sparkSession
+    moments = training_moments(training)
+    both = moments.union(
+        moments.where("feature != other").select(F.col("other"), F.col("feature"), F.lit(0.0), F.lit(0.0), F.col("correlation"))
+    )
+    spread = moments.where("feature = other").select(F.col("feature").alias("of"), "deviation")
+    label = F.lit(spread.where("of = 'label'").first()["deviation"])
+    weights = coefficient_table(spark, model).where("feature != 'intercept'").join(spread, F.col("feature") == F.col("of"))
+    weights = weights.select(F.col("feature").alias("of"), (F.col("coefficient") * F.col("deviation") / label).alias("weight"))
+    # Correlation with the label, less what the fit explains of it.
+    signed = F.when(F.col("other") == "label", F.col("correlation")).otherwise(-F.col("correlation") * F.coalesce("weight", F.lit(0.0)))
+    slopes = both.where("feature != 'label'").join(weights, F.col("other") == F.col("of"), "left")
+    slopes = slopes.groupBy("feature").agg(F.sum(signed).alias("slope"))
+    penalty = F.lit(reg_param) / label
+    own = slopes.join(weights, F.col("feature") == F.col("of"))
+    rest = F.col("slope") - penalty * (1 - elastic_net_param) * F.col("weight")
+    moved = F.abs(rest - penalty * elastic_net_param * F.signum("weight")) <= slack
+    still = F.abs(rest) <= penalty * elastic_net_param + slack
+    return own.select("feature", F.when(F.abs("weight") > slack, moved).otherwise(still).alias("optimal"))
+
+
 def score(
     quotes: DataFrame,
     model: LinearRegressionModel,

@@ -214,6 +214,30 @@ select * from (
     )
 
 
+def _filled() -> str:
+    """The labelled quotes that the model is fitted on."""
+    columns = ", ".join(f'coalesce(cast("{name}" as double), 0.0) as "{name}"' for name in (*FEATURES, "label"))
+    return (
+        _CLEAN
+        + f""",
+training as materialized (
+  select {columns} from (
+    select *, lag(regular_market_price, 10) over (partition by ticker_symbol order by "timestamp", event_id) as label
+    from clean) where label is not null)"""
+    )
+
+
+def _moments() -> str:
+    names = (*FEATURES, "label")
+    pairs = [(one, other) for at, one in enumerate(names) for other in names[at:]]
+    rows = (
+        f"""select '{one}' as feature, '{other}' as other, {_round(f'avg("{one}") / stddev_pop("{one}")')} as scaled_mean,
+  {_round(f'corr("{one}", "{other}")')} as correlation from training"""
+        for one, other in pairs
+    )
+    return _with(_filled(), " union all\n".join(rows))
+
+
 _STATS = _with(
     _signals(_ALL_WINDOWS),
     f"""select ticker_symbol, "end", {_rounded("regular_market_price", "moving_avg_price", "max_price", "min_price")},
@@ -374,6 +398,11 @@ where n <= 180 and "timestamp" >= newest - interval {RECENT_SECONDS} second""",
     "training_set_lead": _labelled("lead"),
     "training_set_segmented": _labelled("lag"),
     "training_set_lead_segmented": _labelled("lead"),
+    "training_moments": _moments(),
+    "elastic_net_optimality": _with(
+        _filled(),
+        "select unnest([" + ", ".join(f"'{name}'" for name in FEATURES) + "]) as feature, count(*) > 0 as optimal from training",
+    ),
     "log_returns": _with(_RETURNS, f"select ticker_symbol, date, {_rounded('close', 'returns')} from returned"),
     "direction": _with(_RETURNS, f"select ticker_symbol, date, {_rounded('returns')}, direction from returned"),
     "lag_features": _with(

@@ -204,6 +204,17 @@ def _model(spark, folder):
     return ml.train_elastic_net(ml.training_set(_clean(spark, folder)))
 
 
+def _training_moments(spark, folder):
+    moments = ml.training_moments(ml.training_set(_clean(spark, folder)))
+    scaled = (F.col("mean") / F.col("deviation")).alias("scaled_mean")
+    return moments.select("feature", "other", scaled, "correlation")
+
+
+def _optimality(spark, folder):
+    training = ml.training_set(_clean(spark, folder))
+    return ml.optimality(training, ml.train_elastic_net(training, max_iter=2000, tol=1e-13))
+
+
 def _scores(spark, folder):
     return ml.score(_clean(spark, folder), _model(spark, folder))
 
@@ -408,6 +419,8 @@ QUERIES: dict[str, Query] = {
     "training_set_segmented": _training_set(ml.LABEL_HORIZON, SMALL_SEGMENT),
     "training_set_lead_segmented": _training_set(-ml.LABEL_HORIZON, SMALL_SEGMENT),
     "train_elastic_net": lambda spark, folder: ml.coefficient_table(spark, _model(spark, folder)),
+    "training_moments": _training_moments,
+    "elastic_net_optimality": _optimality,
     "score_elastic_net": _scores,
     "ols_signal": _ols,
     "log_returns": _backtest_step(bt.log_returns, "close", "returns"),
