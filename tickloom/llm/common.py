@@ -10,14 +10,14 @@ from tickloom.session import fresh_folder, session_settings
 # A word is a run of anything but ASCII white space. ``bytes.split()`` cuts UTF-8 text at the same characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-# Rows handed to a Python worker at once: a thousand texts, so that a batch of very long ones still fits in memory.
+# Rows handed to a Python worker at once: few enough that a batch of very long texts still fits in memory.
 PYTHON_SETTINGS = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
     "spark.sql.parquet.compression.codec": "zstd",
 }
 
 
-def staged(frame: DataFrame, purpose: str, partition_by: str | None = None) -> DataFrame:
+def staged(frame: DataFrame, purpose: str) -> DataFrame:
     """The rows of ``frame``, written to the shared folder and read again.
 
     Cuts the lineage, so that a lost executor costs its running tasks only, and nothing is computed twice. The folder
@@ -25,9 +25,8 @@ def staged(frame: DataFrame, purpose: str, partition_by: str | None = None) -> D
     """
     spark = frame.sparkSession
     folder = fresh_folder(spark, purpose)
-    writer = frame.write if partition_by is None else frame.write.partitionBy(partition_by)
     with session_settings(spark, PYTHON_SETTINGS):
-        writer.parquet(folder)
+        frame.write.parquet(folder)
     return spark.read.schema(frame.schema).parquet(folder)
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import staged
-from tickloom.llm.components import components
+from tickloom.llm.components import components, forest
 from tickloom.llm.vectors import exact_cosines, matrix, shares, unit, usable
 
 SAMPLE_ROWS = 20_000  # vectors the codebooks are fitted on; every vector is indexed
@@ -73,7 +73,11 @@ def visited(vectors: np.ndarray, books: tuple[np.ndarray, np.ndarray], within: f
 
 
 def vector_links(classes: DataFrame, threshold: float = 0.98) -> DataFrame:
-    """(a, b), a < b: classes (class_id, label, embedding) with a cosine of ``threshold`` at least. Labels must agree."""
+    """(a, b, linked) of classes (class_id, label, embedding).
+
+    Linked pairs, a < b, have a cosine of ``threshold`` at least; their labels agree. The other pairs are the forests of
+    the cells' links: fewer, and with the same components.
+    """
     sizes = {row["dim"]: row["n"] for row in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
     books = {}
     for dim, rows in sizes.items():
@@ -112,9 +116,13 @@ def vector_links(classes: DataFrame, threshold: float = 0.98) -> DataFrame:
                 near = (exact_cosines(left[i], right[j]) >= threshold) & (ids[i] != other_ids[j])
                 found.append(np.stack([ids[i[near]], other_ids[j[near]]], axis=1))
         pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-        return pd.DataFrame(pairs, columns=["a", "b"])
+        names, places = np.unique(pairs, return_inverse=True)
+        members, roots = forest(len(names), *places.reshape(-1, 2).T)
+        every = np.concatenate([pairs, np.stack([names[members], names[roots]], axis=1)])
+        return pd.DataFrame(every, columns=["a", "b"]).assign(linked=np.arange(len(every)) < len(pairs))
 
-    return paired.groupBy("label", "dim", "cell", "low", "high").applyInPandas(compare, "a long, b long").distinct()
+    keys = ("label", "dim", "cell", "low", "high")
+    return paired.groupBy(*keys).applyInPandas(compare, "a long, b long, linked boolean").distinct()
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
@@ -129,8 +137,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
         F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("members")
     )
     classes = staged(classes.withColumn("dim", F.size("embedding")), "vector-classes")
-    links = staged(vector_links(classes, threshold), "vector-links")
-    found = components(links)
+    pairs = staged(vector_links(classes, threshold), "vector-links")
+    links, found = pairs.where("linked").select("a", "b"), components(pairs.where("not linked"))
     both = links.union(links.select("b", "a"))
     sizes = classes.select(F.col("class_id").alias("b"), "members")
     linked = both.join(sizes, "b").groupBy("a").agg(F.sum("members").alias("others"))

@@ -155,7 +155,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
     earlier = Window.partitionBy("length").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counted.select("length", "share", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    within = Window.partitionBy("length", "share").orderBy("doc_id", "piece", *_order(pieces))
+    within = Window.partitionBy("length", "share").orderBy("doc_id", "piece", *(["ids_crc32"] if "ids_crc32" in pieces.columns else []))
     ranked = shared.withColumn("rank", F.row_number().over(within) - 1).join(offsets, ["length", "share"])
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("before"))
     matches = (
@@ -171,11 +171,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def _order(pieces: DataFrame) -> list[str]:
-    """Further columns that make reruns agree where ids repeat."""
-    return [name for name in ("ids_crc32",) if name in pieces.columns]
-
-
 def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = CAPACITY) -> DataFrame:
     """Pieces of all rows of ``docs`` (doc_id, text) with their places.
 

@@ -32,8 +32,6 @@ PIVOT_SEED = 8
 FLIPPED_FROM = 6000  # members of a bucket from which flipping bits is cheaper than walking along the table
 BLOCK = 1 << 20  # pairs looked at together
 
-SIGN = np.uint64(1 << 63)
-
 
 def fingerprint(text: bytes, shingle_words: int) -> int:
     """A bit is 1 if it is set in over half of the hashes of the shingles."""
@@ -125,10 +123,7 @@ def fingerprint_links(distinct: DataFrame, max_bits: int) -> DataFrame:
         signed = values.view(np.int64)
         return pd.DataFrame({"a": signed[members], "b": signed[roots]})
 
-    def batches(key: tuple, bucket: pd.DataFrame) -> pd.DataFrame:
-        return linked(bucket)
-
-    return dealt.drop("members").groupBy("stretch", "bits").applyInPandas(batches, "a long, b long").distinct()
+    return dealt.drop("members").groupBy("stretch", "bits").applyInPandas(linked, "a long, b long").distinct()
 
 
 def _bits(value, low: int, number: int):

@@ -172,15 +172,17 @@ def pieces(docs: DataFrame, known: DataFrame, window: int = WINDOW, gram: int =
         new |= (np.arange(len(at)) - run) % (window - short_gram + 1) == 0  # where one gram recurs, a run could go on for ever
         begin = np.flatnonzero(new)
         first, last = at[begin], at[np.append(begin[1:], len(at)) - 1]
-        data, seen, rows = block.data.tobytes(), set(), []
-        own = texts.iloc[text[begin]]
-        columns = (own["doc_id"].to_numpy(), own["text_key"].to_numpy(), first - block.first[text[begin]], short[first].astype(np.int64))
-        for doc_id, text_mark, pos, deal, low, high in zip(*map(np.ndarray.tolist, (*columns, first, last)), strict=True):
+        data, seen, keys, listed = block.data.tobytes(), set(), [], []
+        for low, high in zip(first.tolist(), last.tolist(), strict=True):
             piece = data[low : high + window]
             key = xxh3_64_intdigest(piece) - (1 << 63)
-            rows.append((doc_id, text_mark, pos, key, deal, None if key in seen else piece))
+            keys.append(key)
+            listed.append(None if key in seen else piece)
             seen.add(key)
-        return pd.DataFrame(rows, columns=names)
+        own = texts.iloc[text[begin]]
+        columns = own["doc_id"].to_numpy(), own["text_key"].to_numpy(), first - block.first[text[begin]]
+        columns = (*columns, np.array(keys, dtype=np.int64), short[first].astype(np.int64), listed)
+        return pd.DataFrame(dict(zip(names, columns, strict=True)))
 
     schema = "doc_id long, text_key long, pos long, piece_id long, deal long, piece binary"
     return repeated_windows(docs, known, False, window, gram, emit, schema)
