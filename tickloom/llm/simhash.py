@@ -9,7 +9,7 @@ the bits fix the bits themselves: where two fingerprints have equal steps betwee
 on that stretch. With d + 1 stretches, fingerprints within d bits agree on one at least. Within a bucket of equal
 stretches a task sorts by one column, looks no further than d along it, and discards by the greatest difference in the
 others. Buckets in which that still leaves too much to compare use the flips of up to d bits instead; both ways are exact.
-Each bucket returns a forest of its links, never all pairs.
+A lot of buckets returns a forest of its links, never all pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import anonymous, identified, staged, text_bytes
@@ -29,8 +29,9 @@ BITS = 64
 HASH_SEED = 42
 PIVOTS = 32
 PIVOT_SEED = 8
-FLIPPED_FROM = 6000  # members of a bucket from which flipping bits is cheaper than walking along the table
+FLIPPED_FROM = 5000  # members of a bucket from which flipping bits is cheaper than walking along the table
 BLOCK = 1 << 20  # pairs looked at together
+LOT_ROWS = 10_000  # entries in buckets that a task takes at a time; a bucket is never split
 
 
 def fingerprint(text: bytes, shingle_words: int) -> int:
@@ -74,8 +75,10 @@ def close_pairs(values: np.ndarray, max_bits: int, references: np.ndarray) -> It
     """Places (i, j) in sorted distinct ``values`` (unsigned) within max_bits of each other, in blocks."""
     count = len(values)
     if count >= FLIPPED_FROM:
+        varying = int(np.bitwise_or.reduce(values ^ values[0]))
+        differing = [bit for bit in range(BITS) if varying >> bit & 1]  # a bucket's stretch is the same in all
         for number in range(1, max_bits + 1):
-            for bits in combinations(range(BITS), number):
+            for bits in combinations(differing, number):
                 flipped = values ^ np.uint64(sum(1 << bit for bit in bits))
                 at = np.searchsorted(values, flipped)
                 at[at == count] = 0
@@ -110,20 +113,27 @@ def fingerprint_links(distinct: DataFrame, max_bits: int) -> DataFrame:
         for at, (low, number) in enumerate(stretches(max_bits))
     ]
     dealt = distinct.select("fingerprint", F.explode(F.array(*keys)).alias("key")).select("fingerprint", "key.*")
-    alone = Window.partitionBy("stretch", "bits")
-    dealt = dealt.withColumn("members", F.count(F.lit(1)).over(alone)).where("members > 1")
+    lots = distinct.count() * len(keys) // LOT_ROWS + 1
+    dealt = dealt.withColumn("lot", F.pmod(F.xxhash64("stretch", "bits"), F.lit(lots)))
     references = pivots()
 
-    def linked(bucket: pd.DataFrame) -> pd.DataFrame:
-        values = np.sort(bucket["fingerprint"].to_numpy(np.int64).view(np.uint64))
-        pairs = list(close_pairs(values, max_bits, references))
-        left = np.concatenate([pair[0] for pair in pairs]) if pairs else np.empty(0, np.int64)
-        right = np.concatenate([pair[1] for pair in pairs]) if pairs else np.empty(0, np.int64)
-        members, roots = forest(len(values), left, right)
-        signed = values.view(np.int64)
+    def linked(lot: pd.DataFrame) -> pd.DataFrame:
+        values = lot["fingerprint"].to_numpy(np.int64).view(np.uint64)
+        stretch, bits = lot["stretch"].to_numpy(np.int64), lot["bits"].to_numpy(np.int64)
+        order = np.lexsort((values, bits, stretch))
+        values, stretch, bits = values[order], stretch[order], bits[order]
+        first = np.flatnonzero(np.concatenate([[True], (bits[1:] != bits[:-1]) | (stretch[1:] != stretch[:-1])]))
+        last = np.append(first[1:], len(values))
+        pairs = [np.empty((0, 2), dtype=np.uint64)]
+        for low, high in zip(first[last - first > 1].tolist(), last[last - first > 1].tolist(), strict=True):
+            bucket = values[low:high]
+            pairs += [np.stack([bucket[i], bucket[j]], axis=1) for i, j in close_pairs(bucket, max_bits, references)]
+        names, places = np.unique(np.concatenate(pairs), return_inverse=True)
+        members, roots = forest(len(names), *places.reshape(-1, 2).T)
+        signed = names.view(np.int64)
         return pd.DataFrame({"a": signed[members], "b": signed[roots]})
 
-    return dealt.drop("members").groupBy("stretch", "bits").applyInPandas(linked, "a long, b long").distinct()
+    return dealt.groupBy("lot").applyInPandas(linked, "a long, b long").distinct()
 
 
 def _bits(value, low: int, number: int):
