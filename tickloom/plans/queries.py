@@ -38,7 +38,8 @@ AS_OF = "2024-01-25 00:00:00"
 BARS_FROM, BARS_TO = "1993-01-01", "1998-01-01"
 RECENT_SECONDS = 232_000
 LATE_DAY = ("2024-01-02", "2024-01-03")
-SMALL_SEGMENT = 50
+# The ``*_segmented`` queries cut a table into about this many segments, so that every scale has cut keys.
+SEGMENTS = 40
 # Averages of prices in cents often lie exactly between two six-decimal numbers, give or take the last bit, which
 # depends on the order of summation. A billionth on top makes all of them go up, in Spark and in SQL.
 DECIMALS, TIE_SHIFT = 6, 1e-9
@@ -166,9 +167,14 @@ def _consensus(spark, folder):
     return _signals(spark, folder).select(TICKER, TIMESTAMP, "rsi_signal", "mac_signal", both)
 
 
-def _interpolate(rows_per_segment: int) -> Query:
+def _segment_rows(spark: SparkSession, folder: str, table: str, segmented: bool) -> int:
+    return max(1, samples.table(spark, folder, table).count() // SEGMENTS) if segmented else ROWS_PER_SEGMENT
+
+
+def _interpolate(segmented: bool) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         signals = _signals(spark, folder)
+        rows_per_segment = _segment_rows(spark, folder, "events", segmented)
         valued = interpolate_signals(samples.prices(spark, folder), signals, rows_per_segment=rows_per_segment)
         return valued.select(TICKER, TIMESTAMP, "moving_avg_price", "signal_value")
 
@@ -192,8 +198,9 @@ def _retain(spark, folder):
 # ---- model
 
 
-def _training_set(horizon: int, rows_per_segment: int = ROWS_PER_SEGMENT) -> Query:
+def _training_set(horizon: int, segmented: bool = False) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
+        rows_per_segment = _segment_rows(spark, folder, "events", segmented)
         labelled = ml.training_set(_clean(spark, folder), horizon, rows_per_segment=rows_per_segment)
         return labelled.select(TICKER, TIMESTAMP, "event_id", PRICE, "label")
 
@@ -261,9 +268,9 @@ def _coefficients(spark, folder):
     return bt.grouped_ols(features)
 
 
-def _backtest(rows_per_segment: int) -> Query:
+def _backtest(segmented: bool) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        return bt.backtest(_bars(spark, folder), rows_per_segment=rows_per_segment)
+        return bt.backtest(_bars(spark, folder), rows_per_segment=_segment_rows(spark, folder, "orders", segmented))
 
     return query
 
@@ -407,8 +414,8 @@ QUERIES: dict[str, Query] = {
     "rsi_signal": _signal_columns("rsi", "rsi_signal"),
     "gen_signal": _ended_signals,
     "consensus_signal": _consensus,
-    "interpolate_signal": _interpolate(ROWS_PER_SEGMENT),
-    "interpolate_signal_segmented": _interpolate(SMALL_SEGMENT),
+    "interpolate_signal": _interpolate(segmented=False),
+    "interpolate_signal_segmented": _interpolate(segmented=True),
     "retain_recent": _retain,
     "retain_recent_signals": _retain_signals,
     "extract_from_pages": _page_quotes,
@@ -416,8 +423,8 @@ QUERIES: dict[str, Query] = {
     "feature_snapshot": lambda spark, folder: feature_snapshot(_clean(spark, folder)).select(TICKER, *FEATURES),
     "training_set": _training_set(ml.LABEL_HORIZON),
     "training_set_lead": _training_set(-ml.LABEL_HORIZON),
-    "training_set_segmented": _training_set(ml.LABEL_HORIZON, SMALL_SEGMENT),
-    "training_set_lead_segmented": _training_set(-ml.LABEL_HORIZON, SMALL_SEGMENT),
+    "training_set_segmented": _training_set(ml.LABEL_HORIZON, segmented=True),
+    "training_set_lead_segmented": _training_set(-ml.LABEL_HORIZON, segmented=True),
     "train_elastic_net": lambda spark, folder: ml.coefficient_table(spark, _model(spark, folder)),
     "training_moments": _training_moments,
     "elastic_net_optimality": _optimality,
@@ -436,8 +443,8 @@ QUERIES: dict[str, Query] = {
     "position_changes": _backtest_step(_changed, "positions_ols_1", "positions_ols_2"),
     "cumulative_returns": _backtest_step(_grown, "cum_returns", "cum_strat_ols_1", "cum_strat_ols_2"),
     "trade_markers": _markers,
-    "backtest": _backtest(ROWS_PER_SEGMENT),
-    "backtest_segmented": _backtest(SMALL_SEGMENT),
+    "backtest": _backtest(segmented=False),
+    "backtest_segmented": _backtest(segmented=True),
     "stream_clean_quotes": _stream_clean(steps=1),
     "stream_restart": _stream_clean(steps=3),
     "stream_gen_signal": _stream_gen_signal(use_panes=False),
