@@ -5,7 +5,7 @@ import pytest
 from xxhash import xxh64_intdigest
 
 from tests.llm.cases import frame, of, plain_bytes, rows
-from tickloom.llm import simhash
+from tickloom.llm import neighbours, simhash
 from tickloom.llm.components import components, forest
 from tickloom.llm.embeddings import near_vectors, visited
 from tickloom.llm.neighbours import hadamard, nearest_neighbours
@@ -146,6 +146,19 @@ def test_nearest_neighbours(spark):
     assert of(nearest_neighbours(table.where("false"), queries)) == []
 
 
+def test_recall_with_two_hashes(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BUCKET_ROWS", 9)
+    made = np.random.default_rng(4).normal(size=(2000, 16)).astype("f4")
+    assert round(np.log(2000 / 9) / np.log(32)) == 2
+    table = spark.createDataFrame([(at, row.tolist()) for at, row in enumerate(made)], "vec_id long, embedding array<float>")
+    found = {(row["query_id"], row["vec_id"]) for row in nearest_neighbours(table, table.where("vec_id % 50 = 0"), tables=2).collect()}
+    units = made / np.linalg.norm(made, axis=1)[:, None]
+    cosines = units[::50] @ units.T
+    cosines[np.arange(40), np.arange(0, 2000, 50)] = -2
+    wanted = {(50 * at, int(vec_id)) for at, row in enumerate(cosines) for vec_id in np.argsort(-row)[:5]}
+    assert len(found & wanted) >= 0.9 * len(wanted)
+
+
 def test_hadamard():
     rows = np.random.default_rng(0).normal(size=(3, 8))
     full = np.array([[(-1) ** (i & j).bit_count() for j in range(8)] for i in range(8)]) / np.sqrt(8)

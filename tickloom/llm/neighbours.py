@@ -6,6 +6,10 @@ nearest to it, in each table, and all vectors found there are ranked by their co
 
 The number of hashes joined into a table's key grows with the logarithm of the number of vectors, so that buckets keep
 their size. Buckets that are large all the same are split into shares, each searched by every query of the bucket.
+
+How many buckets a query must look into depends on the number of hashes and on how near neighbours are, so it is
+measured: the true neighbours of a sample of the queries are found by comparing these with all vectors, and as many
+buckets are visited as find the wanted part of them. Where that is too many, a key has one hash less.
 """
 
 from __future__ import annotations
@@ -21,10 +25,14 @@ from tickloom.llm.common import staged
 from tickloom.llm.vectors import exact_cosines, matrix, shares, unit, usable
 
 TABLES = 8
-PROBES = 16
+PROBES = 16  # at least
+MOST_PROBES = 4096  # with more than one hash; with one, all buckets are visited if need be
+RECALL = 0.95  # of the sample; leaves room for its error above 0.9
+SAMPLE = 200  # queries of each length whose true neighbours are found
 BUCKET_ROWS = 400
 SEED = 5
 SLACK = 1e-9
+CHUNK_ROWS = 50_000  # that a Python step makes at once
 
 
 def hadamard(vectors: np.ndarray) -> np.ndarray:
@@ -59,34 +67,118 @@ def buckets(vectors: np.ndarray, table: int, hashes: int, probes: int) -> np.nda
         if keys is None:
             keys, losses = nearest, loss
             continue
-        keys = (keys[:, :, None] * axes.shape[1] + nearest[:, None, :]).reshape(len(vectors), -1)
-        losses = (losses[:, :, None] + loss[:, None, :]).reshape(len(vectors), -1)
+        # Both are sorted: a pair with ``probes`` pairs or more below it in both is not among the nearest.
+        i, j = np.nonzero(np.outer(np.arange(keys.shape[1]) + 1, np.arange(nearest.shape[1]) + 1) <= probes)
+        keys, losses = keys[:, i] * axes.shape[1] + nearest[:, j], losses[:, i] + loss[:, j]
         order = np.argsort(losses, axis=1, kind="stable")[:, :probes]
         keys, losses = np.take_along_axis(keys, order, axis=1), np.take_along_axis(losses, order, axis=1)
     return keys
 
 
-def hashed(vectors: DataFrame, tables: int, hashes: dict[int, int], probes: int) -> DataFrame:
+def hashed(vectors: DataFrame, tables: int, hashes: dict[int, int], probes: dict[int, int]) -> DataFrame:
     """Rows (class_id, dim, embedding) once for each table and probe, with table and bucket."""
 
     def enter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for dim, part in batch.groupby("dim"):
-                units = unit(matrix(part["embedding"]))
-                for table in range(tables):
-                    keys = buckets(units, table, hashes[dim], probes)
-                    rows = np.repeat(np.arange(len(part)), keys.shape[1])
-                    yield part.iloc[rows].assign(table=table, bucket=keys.ravel())
+            for dim, whole in batch.groupby("dim"):
+                step = max(1, CHUNK_ROWS // probes[dim])
+                for at in range(0, len(whole), step):
+                    part = whole.iloc[at : at + step]
+                    units = unit(matrix(part["embedding"]))
+                    for table in range(tables):
+                        keys = buckets(units, table, hashes[dim], probes[dim])
+                        rows = np.repeat(np.arange(len(part)), keys.shape[1])
+                        yield part.iloc[rows].assign(table=table, bucket=keys.ravel())
 
     schema = "class_id long, dim int, embedding array<float>, table int, bucket long"
     return vectors.select("class_id", "dim", "embedding").mapInPandas(enter, schema)
 
 
+def buckets_before(queries: np.ndarray, others: np.ndarray, tables: int, hashes: int) -> np.ndarray:
+    """For each row, how many buckets its query visits before the one of the other vector, in the best table."""
+    least = np.full(len(queries), np.iinfo(np.int64).max)
+    for table in range(tables):
+        losses, own = [], 0.0
+        for place in range(hashes):
+            axes = turned(queries, table, place)
+            losses.append(axes.max(axis=1)[:, None] - axes)
+            axis = turned(others, table, place).argmax(axis=1)[:, None]
+            own = own + np.take_along_axis(losses[-1], axis, axis=1)[:, 0]
+        for at in range(len(queries)):
+            inner = np.zeros(1)
+            for loss in losses[1:]:
+                inner = (inner[:, None] + loss[at]).ravel()
+            before = np.searchsorted(np.sort(inner), own[at] - losses[0][at] - SLACK).sum()
+            least[at] = min(least[at], before)
+    return least
+
+
+def true_neighbours(classes: DataFrame, asked: DataFrame, neighbours: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: units of sampled queries, and of their nearest vectors, row for row. Found by comparing with all."""
+    some = asked.select("class_id", "dim", "embedding").dropDuplicates(["class_id"])
+    place = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("class_id"), "class_id"))
+    some = some.withColumn("place", place).where(F.col("place") <= SAMPLE).drop("place").toPandas()
+    sample = {dim: (part["class_id"].to_numpy(), unit(matrix(part["embedding"]))) for dim, part in some.groupby("dim")}
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for dim, part in batch.groupby("dim"):
+                if dim not in sample:
+                    continue
+                ids, queries = sample[dim]
+                given = unit(matrix(part["embedding"]))
+                scores = np.where(ids[:, None] == part["class_id"].to_numpy(), -np.inf, queries @ given.T)
+                vectors = np.broadcast_to(given, (len(ids), *given.shape))
+                if dim in best:
+                    scores = np.concatenate([best[dim][0], scores], axis=1)
+                top = np.argsort(-scores, axis=1, kind="stable")[:, :neighbours]
+                held = best[dim][1].shape[1] if dim in best else 0
+                new = np.take_along_axis(vectors, np.maximum(top - held, 0)[:, :, None], axis=1)
+                if held:
+                    old = np.take_along_axis(best[dim][1], np.minimum(top, held - 1)[:, :, None], axis=1)
+                    new = np.where((top < held)[:, :, None], old, new)
+                best[dim] = np.take_along_axis(scores, top, axis=1), new
+        for dim, (scores, found) in best.items():
+            query, spot = np.nonzero(scores > -np.inf)
+            yield pd.DataFrame(
+                {"dim": dim, "query": query, "score": scores[query, spot], "found": list(found[query, spot])}
+            )
+
+    found = classes.select("class_id", "dim", "embedding").mapInPandas(
+        nearest, "dim int, query int, score double, found array<double>"
+    )
+    order = Window.partitionBy("dim", "query").orderBy(F.desc("score"), "found")
+    found = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= neighbours)
+    found = found.select("dim", "query", "found").toPandas()
+    return {
+        dim: (sample[dim][1][part["query"].to_numpy()], matrix(part["found"])) for dim, part in found.groupby("dim")
+    }
+
+
+def plan_probes(
+    sizes: dict[int, int], pairs: dict[int, tuple[np.ndarray, np.ndarray]], tables: int, probes: int
+) -> tuple[dict[int, int], dict[int, int]]:
+    """Hashes and probes of each length that find the part RECALL of ``pairs``."""
+    hashes, visits = {}, {}
+    for dim, n in sizes.items():
+        width = 1 << max(1, int(dim - 1).bit_length())
+        hashes[dim], visits[dim] = max(1, round(np.log(n / BUCKET_ROWS) / np.log(2 * width))), probes
+        while dim in pairs:
+            before = np.sort(buckets_before(*pairs[dim], tables, hashes[dim]))
+            visits[dim] = max(probes, int(before[int(np.ceil(RECALL * len(before))) - 1]) + 1)
+            if hashes[dim] == 1 or visits[dim] <= MOST_PROBES:
+                break
+            hashes[dim] -= 1
+    return hashes, visits
+
+
 def nearest_neighbours(
     vectors: DataFrame, queries: DataFrame, neighbours: int = 5, tables: int = TABLES, probes: int = PROBES
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest other rows found for each row of ``queries`` (vec_id, embedding).
 
+    ``probes`` buckets of each table are visited at least, and as many more as the wanted recall takes.
     Nearness is the cosine; ties go to the smaller vec_id. Vectors that are null, empty, zero or not finite, and rows
     without vec_id, take no part. Rows that repeat in full are one. Vectors of different length are never near.
     """
@@ -100,18 +192,15 @@ def nearest_neighbours(
     )
     classes = staged(classes.withColumn("dim", F.size("embedding")), "neighbour-classes")
     sizes = {row["dim"]: row["n"] for row in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
-    hashes = {
-        dim: max(1, round(np.log(n / BUCKET_ROWS) / np.log(2 << max(1, int(dim - 1).bit_length()))))
-        for dim, n in sizes.items()
-    }
     asked = queries.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select("vec_id", "embedding").distinct()
     asked = asked.join(classes.select("embedding", "class_id", "dim"), "embedding")
     asked = staged(asked.withColumnRenamed("vec_id", "query_id"), "neighbour-queries")
+    hashes, visits = plan_probes(sizes, true_neighbours(classes, asked, neighbours), tables, probes)
     keys = ["dim", "table", "bucket"]
-    entries = staged(hashed(classes, tables, hashes, 1), "neighbour-tables")
+    entries = staged(hashed(classes, tables, hashes, dict.fromkeys(sizes, 1)), "neighbour-tables")
     entries = staged(shares(entries, keys, "class_id"), "neighbour-shares")
     split = entries.select(*[F.col(key).alias(f"of_{key}") for key in [*keys, "share"]]).distinct()
-    searched = hashed(asked.select("class_id", "dim", "embedding").dropDuplicates(["class_id"]), tables, hashes, probes)
+    searched = hashed(asked.select("class_id", "dim", "embedding").dropDuplicates(["class_id"]), tables, hashes, visits)
     searched = searched.join(split, [searched[key] == split[f"of_{key}"] for key in keys])
     searched = searched.select("class_id", "embedding", *keys, F.col("of_share").alias("share"))
 
