@@ -136,6 +136,20 @@ def test_language(spark):
     assert {row["lang"] for row in language.identify_pages(table, known.where("false")).collect()} == {"und"}
 
 
+def test_languages_of_many_labels(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    marks = ["w", "zq", "ß", "xv", "kj"]
+    told = [(words(at, 60, 90).replace("w", mark), f"l{n}") for n, mark in enumerate(marks) for at in range(6 - n)]
+    known = spark.createDataFrame(told, "text string, lang string")
+    pages = [(n, f"http://h{n}.example/p", words(80 + n, 60, 90).replace("w", mark)) for n, mark in enumerate(marks)]
+    table = spark.createDataFrame([*pages, pages[0]], "page_id long, url string, html string")
+    found = sorted((row["page_id"], row["text_lang"], row["lang"]) for row in language.identify_pages(table, known).collect())
+    assert found == sorted((n, f"l{n}", f"l{n}") for n in [*range(5), 0])
+    docs = [(at, text, lang, "s", None) for at, (text, lang) in enumerate(told)]
+    judged = language.decide_documents(*[frame(spark, [*docs, docs[0]])] * 2).collect()
+    assert sorted(row["lang_found"] for row in judged) == sorted(lang for _, lang in told)
+
+
 def test_quality(spark):
     good = [(at, words(at, 40 + at, 500), None, None, None) for at in range(60)]
     bad = [(100 + at, words(at, 20, 500) + " spam!!" * (30 + at) + " " + words(at + 1, 90, 500), None, None, None) for at in range(60)]

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import staged, text_bytes
 
 CELLS = 1 << 14  # counts of trigrams, hashed
-LANGUAGES = 100  # at most, the most frequent labels
+LANGUAGES = 100  # scored at once; more are scored in several blocks
 ENOUGH_GRAMS = 300  # more text than this adds no more certainty
 PSEUDO = 5.0  # rows that smoothing adds at each level
 LEAST_POSTERIOR = 0.5
@@ -53,6 +53,12 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
             for lang, texts in batch.groupby("lang")["text"]:
                 cells, _ = grams([text_bytes(text) for text in texts])
                 totals[lang] = totals.get(lang, 0) + np.bincount(cells, minlength=CELLS)
+                if len(totals) >= LANGUAGES:
+                    yield from listed(totals)
+                    totals = {}
+        yield from listed(totals)
+
+    def listed(totals: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
         for lang, counts in totals.items():
             at = np.flatnonzero(counts)
             yield pd.DataFrame({"lang": lang, "cell": at.astype(np.int32), "n": counts[at]})
@@ -62,18 +68,24 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "cell").agg(F.sum("n").alias("n"))
 
 
-def likelihoods(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages, and for each cell the logarithm of its share in them; bounded by LANGUAGES * CELLS numbers."""
-    names = labelled.where("lang is not null and text is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    names = [row["lang"] for row in names.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    counts = np.zeros((len(names), CELLS))
-    found = staged(gram_counts(labelled.where(F.col("lang").isin(names))), "language-grams").toPandas()
-    counts[found["lang"].map({name: at for at, name in enumerate(names)}).to_numpy(int), found["cell"].to_numpy(int)] = found["n"]
-    return names, np.log((counts + 0.5) / (counts.sum(axis=1) + 0.5 * CELLS)[:, None])
-
+def likelihoods(labelled: DataFrame) -> Iterator[tuple[list[str], np.ndarray, bool]]:
+    """Blocks of all languages, for each cell the logarithm of its share in them, and whether it is the last block.
 
-def text_evidence(rows: DataFrame, names: list[str], shares: np.ndarray, markup: bool) -> DataFrame:
-    """Adds ``evidence``, log-likelihoods by language, the last one of bytes at random; all zero for no text."""
+    The most frequent come first; a block is bounded by LANGUAGES * CELLS numbers.
+    """
+    names = labelled.where("lang is not null and text is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    names = [row["lang"] for row in names.orderBy(F.desc("n"), "lang").collect()]
+    grams_found = staged(gram_counts(labelled), "language-grams") if names else None
+    for begin in range(0, len(names), LANGUAGES):
+        block = names[begin : begin + LANGUAGES]
+        counts = np.zeros((len(block), CELLS))
+        found = grams_found.where(F.col("lang").isin(block)).toPandas()
+        counts[found["lang"].map({name: at for at, name in enumerate(block)}).to_numpy(int), found["cell"].to_numpy(int)] = found["n"]
+        yield block, np.log((counts + 0.5) / (counts.sum(axis=1) + 0.5 * CELLS)[:, None]), begin + LANGUAGES >= len(names)
+
+
+def text_evidence(rows: DataFrame, shares: np.ndarray, markup: bool, chance: bool) -> DataFrame:
+    """Adds ``evidence``, log-likelihoods by language and with ``chance`` that of bytes at random; all zero for no text."""
     columns = [name for name in rows.columns if name != "text"]
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -83,7 +95,8 @@ def text_evidence(rows: DataFrame, names: list[str], shares: np.ndarray, markup:
             texts = [MARKUP.sub(" ", text) if markup and text else text for text in batch["text"]]
             cells, each = grams([text_bytes(text) for text in texts])
             begins = np.cumsum(each) - each
-            sums = np.stack([np.add.reduceat(share[cells], begins) for share in shares] + [each * -np.log(CELLS)], axis=1)
+            at_random = [each * -np.log(CELLS)] * chance
+            sums = np.stack([np.add.reduceat(share[cells], begins) for share in shares] + at_random, axis=1)
             sums *= (np.minimum(each, ENOUGH_GRAMS) / each)[:, None]
             sums[each <= 2] = 0
             yield batch[columns].assign(evidence=list(sums))
@@ -100,13 +113,21 @@ def identify(rows: DataFrame, labelled: DataFrame, markup: bool = False) -> Data
     accepted if a language, and not chance, has more than LEAST_POSTERIOR; otherwise ``lang`` is "und".
     Without any labelled text nothing is accepted.
     """
-    names, shares = likelihoods(labelled)
     keys = ["row_id", "declared", "suffix", "host", "domain"]
-    if not names:
+    names, read = [], None
+    for block, shares, last in likelihoods(labelled):
+        names += block
+        if read is None:
+            read = staged(text_evidence(rows.select(*keys, "text"), shares, markup, last), "language-evidence")
+            continue
+        more = text_evidence(rows.select("row_id", "text").dropDuplicates(["row_id"]), shares, markup, last)
+        more = more.withColumnRenamed("evidence", "more")
+        read = read.join(more, "row_id").withColumn("evidence", F.concat("evidence", "more")).drop("more")
+        read = staged(read, "language-evidence")
+    if read is None:
         return rows.select(
             "row_id", F.lit(NONE).alias("text_lang"), F.lit(NONE).alias("lang"), F.lit(0.0).alias("posterior"), F.lit(False).alias("accepted")
         )
-    read = staged(text_evidence(rows.select(*keys, "text"), names, shares, markup), "language-evidence")
     labels = F.array(*[F.lit(name) for name in [*names, NONE]])
     best = F.array_position(F.col("evidence"), F.array_max("evidence")).cast("int")
     blank = F.forall("evidence", lambda x: x == 0)
