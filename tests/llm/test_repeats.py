@@ -8,7 +8,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tests.llm.cases import frame, of, plain_bytes, rows
+from tests.llm.cases import frame, of, plain_bytes, rows, words
 from tickloom.llm import passages, suffixes
 from tickloom.llm.anchors import Block, sliding
 
@@ -51,6 +51,19 @@ def test_words(spark):
     assert sum(row[2] for row in found) > 500
 
 
+def one_id_with_two_texts():
+    copied, own = words(20, 90), words(21, 90)
+    texts = [(1, copied), (2, copied), (2, own), (2, None), (3, f"{words(22, 20)} {own}"), (3, copied), (4, words(23, 60))]
+    return [(doc_id, text, None, None, None) for doc_id, text in texts]
+
+
+def test_copies_are_rows_and_not_ids(spark):
+    given = one_id_with_two_texts()
+    found = of(passages.remove_repeats(frame(spark, given)))
+    assert found == sorted(by_words(given, 50), key=repr) and (2, 90, 0) in {row[:3] for row in found}
+    assert of(suffixes.remove_repeats(frame(spark, given))) == sorted(by_bytes(given, 50), key=repr)
+
+
 def test_words_of_short_windows(spark):
     source = random.Random(5)
     given = [(at, " ".join(source.choice("abc") for _ in range(source.randrange(40))), None, None, None) for at in range(60)]

@@ -8,7 +8,7 @@ anchors costs a small part of looking at each.
 Texts are dealt into blocks by their id. A block sends the distinct hashes of its anchors, a few bytes each, to buckets
 by hash; a bucket answers each block with one bit a hash. Anchors that repeat inside a block are sent once, so a passage
 that a third of all texts share sends a row per block and not per text. Exact copies of a text with a smaller id are
-known beforehand and take no part.
+known beforehand and take no part; other texts of their ids do.
 """
 
 from __future__ import annotations
@@ -51,6 +51,14 @@ def text_key(text: bytes) -> int:
     return xxh3_64_intdigest(text) - (1 << 63)
 
 
+def copy_mark(text: bytes) -> int:
+    """What Spark's xxhash64 gives for the text."""
+    from xxhash import xxh64_intdigest
+
+    mark = xxh64_intdigest(text, 42)
+    return mark - (1 << 64) if mark >> 63 else mark
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     values = (values ^ (values >> np.uint64(32))) * np.uint64(MULTIPLIER)
     return values ^ (values >> np.uint64(29))
@@ -132,11 +140,11 @@ def chosen_anchors(ranks: np.ndarray, lowest: np.ndarray, width: int) -> np.ndar
 
 
 def copies(docs: DataFrame) -> DataFrame:
-    """doc_id of rows whose text is also that of a smaller doc_id; each once."""
-    marked = docs.where("doc_id is not null and text is not null").select("doc_id", F.sha2("text", 256).alias("text_hash"))
+    """(doc_id, copy_mark) of rows whose text is also that of a smaller doc_id; each once. The mark is that of the text."""
+    marked = docs.where("doc_id is not null and text is not null").select("doc_id", F.sha2("text", 256).alias("text_hash"), F.xxhash64("text").alias("copy_mark"))
     first = marked.groupBy("text_hash").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows"))
     again = marked.join(first.where("rows > 1"), "text_hash").where("doc_id > first_id")
-    return again.select("doc_id").distinct()
+    return again.select("doc_id", "copy_mark").distinct()
 
 
 def repeated_windows(
@@ -165,8 +173,12 @@ def repeated_windows(
 
     known = known.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
 
-    def opened(frame: pd.DataFrame, known_ids: pd.Series):
-        frame = frame[~frame["doc_id"].isin(known_ids)]
+    def opened(frame: pd.DataFrame, known_rows: pd.DataFrame):
+        copied = set(zip(known_rows["doc_id"].tolist(), known_rows["copy_mark"].tolist(), strict=True))
+        maybe = frame["doc_id"].isin(known_rows["doc_id"]).to_numpy(dtype=bool)
+        for at in np.flatnonzero(maybe):
+            maybe[at] = (int(frame["doc_id"].iloc[at]), copy_mark(text_bytes(frame["text"].iloc[at]))) in copied
+        frame = frame[~maybe]
         frame = frame.drop_duplicates(["doc_id", "text"]).sort_values(["doc_id", "text"], kind="stable")
         texts = [text_bytes(text) for text in frame["text"]]
         block = Block(texts, words)
@@ -177,7 +189,7 @@ def repeated_windows(
         return rows, block, ranks, lowest, places, digests
 
     def send(frame: pd.DataFrame, known_rows: pd.DataFrame) -> pd.DataFrame:
-        digests = np.unique(opened(frame, known_rows["doc_id"])[-1])
+        digests = np.unique(opened(frame, known_rows)[-1])
         bucket = ((digests >> np.uint64(max(0, 8 * digest_bytes - 32))).astype(np.int64) * buckets) >> 32
         edges = np.searchsorted(bucket, np.arange(buckets + 1))
         packed = np.ascontiguousarray(digests.view(np.uint8).reshape(-1, 8)[:, :digest_bytes])
@@ -205,9 +217,9 @@ def repeated_windows(
         return pd.DataFrame({"block": frame["block"], "bucket": frame["bucket"], "size": sizes, "bits": bits})
 
     def receive(frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        known_ids = answers["known"][answers["bucket"] == COPIES]
+        known_rows = answers[answers["bucket"] == COPIES][["known", "copy_mark"]].rename(columns={"known": "doc_id"})
         answers = answers[answers["bucket"] != COPIES]
-        rows, block, ranks, lowest, places, digests = opened(frame, known_ids)
+        rows, block, ranks, lowest, places, digests = opened(frame, known_rows)
         found, back = np.unique(digests, return_inverse=True)
         # What one text alone repeats is no repeat: count texts, not places.
         pairs = np.unique(back.astype(np.int64) * (len(rows) + 1) + block.text_of(places))
@@ -226,10 +238,11 @@ def repeated_windows(
     by_block = dealt.groupBy("block")
     sent = by_block.cogroup(known.groupBy("block")).applyInPandas(send, "block long, bucket long, digests binary")
     answered = sent.groupBy("bucket").applyInPandas(answer, "block long, bucket long, size long, bits binary")
-    replies = answered.withColumn("known", F.lit(0).cast("long")).unionByName(
+    nothing = F.lit(0).cast("long")
+    replies = answered.withColumn("known", nothing).withColumn("copy_mark", nothing).unionByName(
         known.select(
             "block", F.lit(COPIES).cast("long").alias("bucket"), F.lit(0).cast("long").alias("size"),
-            F.lit(b"").alias("bits"), F.col("doc_id").alias("known"),
+            F.lit(b"").alias("bits"), F.col("doc_id").alias("known"), "copy_mark",
         )
     )
     return by_block.cogroup(replies.groupBy("block")).applyInPandas(receive, schema)

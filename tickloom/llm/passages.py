@@ -1,6 +1,6 @@
 """Substring dedup on words by compaction of a De Bruijn graph.
 
-Exact copies of a smaller id go whole and take no part in the rest. A run of ``window`` words is an edge from its first ``window - 1`` words to its last; texts are walks. Only edges that
+Exact copies of a smaller id's text go whole and take no part in the rest. A run of ``window`` words is an edge from its first ``window - 1`` words to its last; texts are walks. Only edges that
 can repeat matter, and only those are made (see ``anchors``). They come as stretches, runs of edges that share their
 anchor; equal stretches are one row from then on. Edges are grouped to count what comes before and after each: where an
 edge has one follower, and that one has one forerunner, every text that holds either holds both. Joining this back cuts
@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.anchors import Block, copies, repeated_windows, text_key
+from tickloom.llm.anchors import Block, copies, copy_mark, repeated_windows, text_key
 from tickloom.llm.common import anonymous, identified, staged, text_bytes
 
 WINDOW = 50
@@ -149,7 +149,8 @@ def remove_repeats(
     proofs = digests(docs, needed, window).dropDuplicates(["path", "n"])
     proven = repeats.join(proofs, ["path", "n"]).select("doc_id", "text_key", "pos", "n", "digest")
     lists = proven.groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "pos", "n", "digest")).alias("spans"))
-    lists = lists.join(known.withColumn("copy", F.lit(True)), "doc_id", "full_outer")
+    copied = known.groupBy("doc_id").agg(F.collect_list("copy_mark").alias("copy"))
+    lists = lists.join(copied, "doc_id", "full_outer")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh3_128_digest
@@ -160,7 +161,7 @@ def remove_repeats(
             for doc_id, text, spans, copy in zip(*columns, strict=True):
                 words = text_bytes(text).split()
                 total = len(words)
-                if copy is True:
+                if copy is not None and copy_mark(text_bytes(text)) in copy:
                     words = words if total < window else []
                 elif spans is not None:
                     gone, mark = bytearray(total), text_key(text_bytes(text))

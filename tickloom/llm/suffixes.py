@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.anchors import Block, anchors, copies, repeated_windows, text_key
+from tickloom.llm.anchors import Block, anchors, copies, copy_mark, repeated_windows, text_key
 from tickloom.llm.common import anonymous, identified, staged, text_bytes
 
 WINDOW = 50
@@ -211,7 +211,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with
     hits = found.select("doc_id", "text_key", "pos", "piece_id").join(first, "piece_id").where("doc_id > source_id")
     low, high = (F.col("pos") + F.col("low")).alias("low"), (F.col("pos") + F.col("high")).alias("high")
     lists = hits.groupBy("doc_id").agg(F.collect_list(F.struct("text_key", low, high)).alias("spans"))
-    lists = lists.join(known.withColumn("copy", F.lit(True)), "doc_id", "full_outer")
+    copied = known.groupBy("doc_id").agg(F.collect_list("copy_mark").alias("copy"))
+    lists = lists.join(copied, "doc_id", "full_outer")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -220,9 +221,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with
             for doc_id, text, hits, copy in zip(*columns, strict=True):
                 data, runs = text_bytes(text), 0
                 kept = data
-                if copy is True and len(data) >= window:
+                copied = copy is not None and copy_mark(data) in copy
+                if copied and len(data) >= window:
                     kept, runs = b"", 1
-                elif copy is not True and hits is not None:
+                elif not copied and hits is not None:
                     mark = text_key(data)
                     hits = [hit for hit in hits if hit["text_key"] == mark]
                     steps = np.zeros(len(data) + 1, dtype=np.int32)
