@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tickloom.llm.embeddings import embeddings_query
 from tickloom.llm.language import language_query
 from tickloom.llm.language_model import language_model_query
+from tickloom.llm.lines import LINES_SQL, lines_query
 from tickloom.llm.mixing import MIX_SQL, mix_query
 from tickloom.llm.neighbours import neighbours_query
 from tickloom.llm.packing import pack_query
@@ -43,8 +44,9 @@ OPERATORS: dict[str, Query] = {
     "op8_simhash": simhash_query,
     "op9_suffix_dedup": suffixes_query,
     "op10_language_model": language_model_query,
+    "op12_line_dedup": lines_query,
 }
 
 QUERIES = {name: ready(query) for name, query in OPERATORS.items()}
 
-ORACLES = {"op6_source_mixing": MIX_SQL}
+ORACLES = {"op6_source_mixing": MIX_SQL, "op12_line_dedup": LINES_SQL}
