@@ -78,15 +78,20 @@ def fresh_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/tickloom-{purpose}-{uuid.uuid4().hex}"
 
 
-def discard_folder(spark: SparkSession, folder: str) -> None:
-    """Delete a folder that ``fresh_folder`` named, with all in it. Whoever still reads it fails, so this is for tables
-    whose last reader has written its result."""
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in whatever store it lies. Whoever still reads it fails."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    if not re.match(r"tickloom-.+-[0-9a-f]{32}$", folder.removeprefix(shared_folder(spark).rstrip("/")).strip("/").split("/")[0]):
-        raise ValueError(f"not a folder of this library: {folder}")
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def discard_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that ``fresh_folder`` named, or one in it, once its last reader has written its result."""
+    inside = folder.removeprefix(shared_folder(spark).rstrip("/")).strip("/").split("/")[0]
+    if not re.fullmatch(r"tickloom-.+-[0-9a-f]{32}", inside):
+        raise ValueError(f"not a folder of this library: {folder}")
+    delete_folder(spark, folder)
+
+
 @contextmanager
 def session_settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
     """Apply settings for the duration of a block, then restore what was there."""
