@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.session import fresh_folder, session_settings
@@ -17,17 +17,18 @@ PYTHON_SETTINGS = {
 }
 
 
-def staged(frame: DataFrame, purpose: str) -> DataFrame:
+def staged(frame: DataFrame, purpose: str, reader: SparkSession | None = None) -> DataFrame:
     """The rows of ``frame``, written to the shared folder and read again.
 
     Cuts the lineage, so that a lost executor costs its running tasks only, and nothing is computed twice. The folder
-    lies below ``spark.checkpoint.dir``, where every executor reaches it.
+    lies below ``spark.checkpoint.dir``, where every executor reaches it. Rows of a micro-batch can be read again by
+    another session, ``reader``: the one of the stream plans without adaptive execution.
     """
     spark = frame.sparkSession
     folder = fresh_folder(spark, purpose)
     with session_settings(spark, PYTHON_SETTINGS):
         frame.write.parquet(folder)
-    return spark.read.schema(frame.schema).parquet(folder)
+    return (reader or spark).read.schema(frame.schema).parquet(folder)
 
 
 NO_ID = -(2**63)  # stands for a null id in Python steps: pandas would turn a column with nulls into inexact floats

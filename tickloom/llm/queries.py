@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.llm.embeddings import embeddings_query
+from tickloom.llm.filter_audit import AUDIT_SQL, audit_query
 from tickloom.llm.language import language_query
 from tickloom.llm.language_model import language_model_query
 from tickloom.llm.lines import LINES_SQL, lines_query
@@ -44,9 +45,10 @@ OPERATORS: dict[str, Query] = {
     "op8_simhash": simhash_query,
     "op9_suffix_dedup": suffixes_query,
     "op10_language_model": language_model_query,
+    "op11_filter_audit": audit_query,
     "op12_line_dedup": lines_query,
 }
 
 QUERIES = {name: ready(query) for name, query in OPERATORS.items()}
 
-ORACLES = {"op6_source_mixing": MIX_SQL, "op12_line_dedup": LINES_SQL}
+ORACLES = {"op6_source_mixing": MIX_SQL, "op11_filter_audit": AUDIT_SQL, "op12_line_dedup": LINES_SQL}
