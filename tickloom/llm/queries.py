@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tickloom.llm.alignment import alignment_query
 from tickloom.llm.embeddings import embeddings_query
 from tickloom.llm.filter_audit import AUDIT_SQL, audit_query
 from tickloom.llm.language import language_query
@@ -47,6 +48,7 @@ OPERATORS: dict[str, Query] = {
     "op10_language_model": language_model_query,
     "op11_filter_audit": audit_query,
     "op12_line_dedup": lines_query,
+    "op13_token_alignment": alignment_query,
 }
 
 QUERIES = {name: ready(query) for name, query in OPERATORS.items()}
