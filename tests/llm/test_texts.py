@@ -70,7 +70,7 @@ def test_packing(spark):
 
 def test_ids_and_round_trip(spark):
     tokenizer = Tokenizer.from_file(WORD)
-    texts = ["İstanbul Straße don't 'S can'T.. a.b,, É x́.  z ﬁ", "<|endoftext|>a <|startoftext|>.", "12,3. ΑΣ. ſ  K", "l'été. a,"]
+    texts = ["İstanbul Straße don't 'S can'T.. a.b,, É x́.  z ﬁ", "<|endoftext|>a <|startoftext|>.", "<|ENDOFTEXT|> <|EndOfText|>B <|StartOfText|> A<|endoftext|>B <|x", "12,3. ΑΣ. ſ  K", "l'été. a,"]
     given = [(at, text, None, None, None) for at, text in enumerate(texts)]
     found = packing.tokenize(frame(spark, given), "word_bpe_49k.json", 5, with_ids=True).collect()
     for at, text in enumerate(texts):
@@ -250,6 +250,16 @@ def test_language_model_without_texts(spark):
     assert language_model.score(frame(spark, []), model).count() == 0
 
 
+def test_counts_beyond_four_bytes(tmp_path):
+    model = language_model.Model(str(tmp_path), 1, 0, 0, 0, (0, 0, 0), 1.0, (0, 0, 0), np.zeros(0, np.uint64), np.zeros((0, 4)))
+    keys = np.arange(3, dtype="<u8")
+    for name, counts in (("small", np.array([[1, 2], [3, 4], [5, 2**32 - 1]])), ("large", np.array([[1, 2], [3, 4], [2**32, 2**40]]))):
+        language_model.store(str(tmp_path), f"{name}-keys-0", keys)
+        language_model.store(str(tmp_path), f"{name}-counts-0", language_model.narrowest(counts))
+        found = language_model.Reader(model).look_up(keys, np.zeros(3, np.int64), (f"{name}-keys", f"{name}-counts"), None, 2)
+        assert np.array_equal(found, counts)
+
+
 def test_packed_arrays():
     found = np.array([0, 1, 2**48 - 1, 12345678901234], dtype=np.uint64)
     assert language_model.wide(language_model.narrow(found)).tolist() == found.tolist()

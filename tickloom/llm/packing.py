@@ -24,6 +24,7 @@ END_ID = 1
 ID_BYTES = 4
 CACHED_WORDS = 600_000  # words that a worker remembers, the first it meets; they are the frequent ones
 CACHED_WORD_BYTES = 64
+SPECIAL = b"<|"  # how the tokenizer's special tokens begin
 RANKED_TOGETHER = 200_000  # pieces of a length that one task puts in order
 
 
@@ -64,7 +65,11 @@ class WordTokens(dict):
         return ids
 
     def of(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.lower().split()))
+        if SPECIAL not in text:
+            return b"".join(map(self.__getitem__, text.lower().split()))
+        # Special tokens are found in their own spelling only, before case is dropped.
+        words = [word if SPECIAL in word else word.lower() for word in text.split()]
+        return b"".join(map(self.__getitem__, words))
 
 
 TOKENIZERS: dict[str, WordTokens] = {}  # one in each worker process
