@@ -119,9 +119,9 @@ def ordered_windows(strings: list[bytes], window: int, folder: str) -> tuple[np.
         prefixes.write(merged)
         at = put
         if length >= window:
-            kept = np.empty(len(old), dtype=np.int32)
+            kept = np.empty(len(old), dtype=np.int64)
             kept[old] = -1 if owners is None else owners
-            kept[put] = active * (longest + 1) + lengths[active] - length
+            kept[put] = active.astype(np.int64) * (longest + 1) + lengths[active] - length
             owners = kept
     found = np.flatnonzero(owners >= 0)
     new = prefixes.read()[found] < window
