@@ -185,6 +185,11 @@ def store(folder: str, name: str, array: np.ndarray) -> None:
         out.write(np.ascontiguousarray(array).tobytes())
 
 
+def narrowest(counts: np.ndarray) -> np.ndarray:
+    """The counts in four bytes each if all of them fit, else in eight; a reader sees which by the array's size."""
+    return counts.astype("<u4" if counts.max(initial=0) < 2**32 else "<u8")
+
+
 FOLDERS: dict[str, str] = {}  # of each worker: local place of a model
 
 
@@ -265,7 +270,7 @@ def train(docs: DataFrame) -> Model:
         at = order[first]
         before, follow, keys = before[at], follow[at], keys[at]
         store(folder, f"pair-keys-{shard}", keys)
-        store(folder, f"pair-counts-{shard}", np.minimum(counts, 2**32 - 1).astype("<u4"))
+        store(folder, f"pair-counts-{shard}", narrowest(counts))
         order = np.argsort(before, kind="stable")
         begins = np.flatnonzero(np.concatenate([[True], np.diff(before[order]) != 0]))
         ordered = counts[order]
@@ -274,7 +279,7 @@ def train(docs: DataFrame) -> Model:
         names = before[order][begins]
         split = np.isin(names, frequent)
         store(folder, f"context-keys-{shard}", names[~split])
-        store(folder, f"context-stats-{shard}", stats[~split].astype("<u4"))
+        store(folder, f"context-stats-{shard}", narrowest(stats[~split]))
         heads = [("context", int(w), *map(int, s), 0, b"", b"") for w, s in zip(names[split], stats[split], strict=True)]
         heads.append(("tally", shard, *tally(counts), len(counts), b"", b""))
         seen, times = np.unique(follow, return_counts=True)
@@ -322,16 +327,19 @@ class Reader:
         self.model, self.folder = model, local(model.folder)
         self.open: dict[str, np.ndarray] = {}
 
-    def array(self, name: str, shard: int, kind: str, width: int = 1) -> np.ndarray:
+    def array(self, name: str, shard: int, kind: str | None, width: int = 1, rows: int = 0) -> np.ndarray:
+        """An array with so many numbers a row; where the kind is not given, that of ``narrowest`` for these rows."""
         name = f"{name}-{shard}"
         if name not in self.open:
             path = os.path.join(self.folder, name)
             filled = os.path.exists(path) and os.path.getsize(path)
+            if kind is None:
+                kind = f"<u{filled // (rows * width)}" if filled else "<u4"
             flat = np.memmap(path, dtype=kind, mode="r") if filled else np.empty(0, dtype=kind)
             self.open[name] = flat.reshape(-1, width) if width > 1 else flat
         return self.open[name]
 
-    def look_up(self, keys: np.ndarray, shard: np.ndarray, names: tuple[str, str], kind: str, width: int) -> np.ndarray:
+    def look_up(self, keys: np.ndarray, shard: np.ndarray, names: tuple[str, str], kind: str | None, width: int) -> np.ndarray:
         """Stored numbers of each key, zeros where it is unknown. ``shard`` in any order."""
         found = np.zeros((len(keys), width))
         order = np.lexsort((keys, shard))
@@ -342,7 +350,7 @@ class Reader:
             own = order[part]
             place = np.minimum(np.searchsorted(known, keys[own]), len(known) - 1)
             hit = known[place] == keys[own]
-            found[own[hit]] = self.array(names[1], at, kind, width)[place[hit]].reshape(-1, width)
+            found[own[hit]] = self.array(names[1], at, kind, width, len(known))[place[hit]].reshape(-1, width)
         return found
 
     def words(self, words: np.ndarray) -> np.ndarray:
@@ -354,14 +362,14 @@ class Reader:
         """Total, and followers with count 1, 2 and more, of each."""
         model = self.model
         shard = shard_of_pairs(before, np.zeros_like(before), model.frequent[:0], model.shards)
-        found = self.look_up(before, shard, ("context-keys", "context-stats"), "<u4", 4)
+        found = self.look_up(before, shard, ("context-keys", "context-stats"), None, 4)
         split = np.isin(before, model.frequent)
         found[split] = model.frequent_stats[np.searchsorted(model.frequent, before[split])]
         return found
 
     def pairs(self, before: np.ndarray, words: np.ndarray, keys: np.ndarray) -> np.ndarray:
         shard = shard_of_pairs(before, keys, self.model.frequent, self.model.shards)
-        return self.look_up(keys, shard, ("pair-keys", "pair-counts"), "<u4", 1)[:, 0]
+        return self.look_up(keys, shard, ("pair-keys", "pair-counts"), None, 1)[:, 0]
 
     def probabilities(self, before: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each word behind its context, and how often each word was counted."""
