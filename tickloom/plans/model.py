@@ -8,13 +8,13 @@ from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions.signals import ratio_signal
 from tickloom.operators.ordered import ROWS_PER_SEGMENT, lagged, plan_layout
 from tickloom.operators.windows import feature_snapshot
+from tickloom.plans.elastic import ElasticNet, fit, moments
 from tickloom.schemas import FEATURES, PRICE, TICKER, TIMESTAMP
 from tickloom.sources.messages import FILE_SEQUENCE
 
@@ -69,43 +69,45 @@ def missing_features(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~has_all_features()).alias("incomplete"))
 
 
+def filled(rows: DataFrame, missing: str = FILL_IN) -> DataFrame:
+    """The features as numbers, and the label if there is one, by the rule for rows that lack a feature."""
+    if missing not in (FAIL, FILL_IN, LEAVE_OUT):
+        raise ValueError(f"no such rule: {missing}")
+    if missing == LEAVE_OUT:
+        rows = rows.where(has_all_features())
+    return rows.withColumns({name: feature_value(name, missing) for name in FEATURES})
+
+
+def feature_value(name: str, missing: str = FILL_IN) -> Column:
+    value = F.col(f"`{name}`").cast("double")
+    if missing == FILL_IN:
+        return F.coalesce(value, F.lit(FILL))
+    return F.coalesce(value, F.raise_error(F.lit(f"{name} is missing"))) if missing == FAIL else value
+
+
 def train_elastic_net(
     training: DataFrame,
-    max_iter: int = 100,
+    max_iter: int = 100_000,
     reg_param: float = 0.1,
     elastic_net_param: float = 0.8,
     missing: str = FILL_IN,
-    tol: float = 1e-6,
-) -> LinearRegressionModel:
+    tol: float = 1e-12,
+) -> ElasticNet:
     """One model over all tickers. Rows left out for a missing feature are counted in the log.
 
-    The normal solver sums one small matrix on the executors, however many iterations follow, and the fit then reads
-    the data once more for its summary. So the feature vectors are kept, on disk where memory is short, for the
-    second reading.
+    One aggregation gives the moments of features and label, a small table however many rows there are, and the fit
+    follows from it. Without rows the model is zero throughout.
     """
-    regression = LinearRegression(
-        maxIter=max_iter,
-        regParam=reg_param,
-        elasticNetParam=elastic_net_param,
-        solver="normal",
-        tol=tol,
-        featuresCol="features",
-        labelCol="label",
-    )
     if missing == LEAVE_OUT:
         found = missing_features(training).first()
         logging.getLogger(__name__).warning("%d of %d rows left out: a feature is missing", found.incomplete, found.rows)
-    vectors = assemble(training, missing).select("features", "label").persist()
-    try:
-        return regression.fit(vectors)
-    finally:
-        vectors.unpersist()
+    model = fit(moments(filled(training, missing)), reg_param, elastic_net_param, max_iter, tol)
+    return model or ElasticNet((0.0,) * len(FEATURES), 0.0)
 
 
-def coefficient_table(spark: SparkSession, model: LinearRegressionModel) -> DataFrame:
+def coefficient_table(spark: SparkSession, model: ElasticNet) -> DataFrame:
     """One row per feature and one for the intercept."""
-    rows = [(name, float(value)) for name, value in zip(FEATURES, model.coefficients)]
-    return spark.createDataFrame([*rows, ("intercept", float(model.intercept))], "feature STRING, coefficient DOUBLE")
+    return model.table(spark)
 
 
 def training_moments(training: DataFrame) -> DataFrame:
@@ -135,7 +137,7 @@ def training_moments(training: DataFrame) -> DataFrame:
 
 
 def optimality(
-    training: DataFrame, model: LinearRegressionModel, reg_param: float = 0.1, elastic_net_param: float = 0.8, slack: float = 1e-5
+    training: DataFrame, model: ElasticNet, reg_param: float = 0.1, elastic_net_param: float = 0.8, slack: float = 1e-5
 ) -> DataFrame:
     """(feature, optimal): whether the objective has no slope in the feature's direction at the fitted coefficients.
 
@@ -164,7 +166,7 @@ def optimality(
 
 def score(
     quotes: DataFrame,
-    model: LinearRegressionModel,
+    model: ElasticNet,
     sequence: Sequence[str] = FILE_SEQUENCE,
     missing: str = FILL_IN,
 ) -> DataFrame:
@@ -173,9 +175,9 @@ def score(
     Every ticker comes out; where rows with a missing feature are to be left out, one has no prediction.
     """
     snapshot = feature_snapshot(quotes, sequence)
-    predicted = model.transform(assemble(snapshot, FAIL if missing == FAIL else FILL_IN))
-    if missing == LEAVE_OUT:
-        predicted = predicted.withColumn("prediction", F.when(has_all_features(), F.col("prediction")))
+    rule = FAIL if missing == FAIL else FILL_IN
+    prediction = model.predict([feature_value(name, rule) for name in FEATURES])
+    predicted = snapshot.withColumn("prediction", F.when(has_all_features(), prediction) if missing == LEAVE_OUT else prediction)
     return predicted.select(TICKER, PRICE, "prediction", F.try_divide("prediction", PRICE).alias("ratio"))
 
 
@@ -210,7 +212,7 @@ class ModelStore:
             raise
         return announced.orderBy(F.desc("stored_at")).first()
 
-    def save(self, model: LinearRegressionModel, version: int, run: str = "") -> None:
+    def save(self, model: ElasticNet, version: int, run: str = "") -> None:
         """Store the model of batch ``version`` of a run, the identity of the query that trains."""
         newest = self._newest()
         slot, stored_at = 0, time.time_ns()
@@ -218,7 +220,7 @@ class ModelStore:
             again = (newest.run, newest.version) == (run, version)
             slot = newest.slot if again else (newest.slot + 1) % self._kept
             stored_at = max(stored_at, newest.stored_at + 1)
-        model.write().overwrite().save(f"{self._models}/{slot}")
+        model.table(self._spark).coalesce(1).write.mode("overwrite").parquet(f"{self._models}/{slot}")
         row = (run, version, stored_at, slot)
         announced = self._spark.createDataFrame([row], "run STRING, version BIGINT, stored_at BIGINT, slot INT")
         announced.coalesce(1).write.mode("overwrite").parquet(f"{self._announced}/slot={slot}")
@@ -227,6 +229,6 @@ class ModelStore:
         newest = self._newest()
         return None if newest is None else newest.version
 
-    def newest(self) -> LinearRegressionModel | None:
+    def newest(self) -> ElasticNet | None:
         newest = self._newest()
-        return None if newest is None else LinearRegressionModel.load(f"{self._models}/{newest.slot}")
+        return None if newest is None else ElasticNet.of_table(self._spark.read.parquet(f"{self._models}/{newest.slot}"))

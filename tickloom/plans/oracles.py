@@ -295,6 +295,120 @@ select ticker_symbol, event_id, "timestamp", {_names(CLEAN_FIELDS)} from (
 where n = 1""",
 )
 
+# Rounds of descent after which the signs of all coefficients stand; the equations for these signs do the rest.
+SWEEPS = 6000
+
+
+def _fits(training: str) -> str:
+    """Tables that end with ``weights`` (fit, i, weight) and ``fitted`` (fit, feature, coefficient), an elastic net for
+    each ``fit`` of the training rows (fit, features, label), by coordinate descent and Gaussian elimination."""
+    size = len(FEATURES)
+    at = range(1, size + 1)
+    names = [*FEATURES, "label"]
+    pairs = [(i, j) for i in range(1, size + 2) for j in range(i + 1, size + 2)]
+    numbers = ", ".join(f"""avg("{name}") as m{i}, stddev_pop("{name}") as d{i}""" for i, name in enumerate(names, 1))
+    related = ", ".join(
+        f"""coalesce(nullif(corr("{names[i - 1]}", "{names[j - 1]}"), 'nan'::double), 0) as c{i}_{j}""" for i, j in pairs
+    )
+
+    def c(i: int, j: int) -> str:
+        return f"c{min(i, j)}_{max(i, j)}"
+
+    level = f"(select cd.*, {', '.join(f'c{i}_{j}' for i, j in pairs)}, edge, ridge from cd join moments using (fit) where sweep < {SWEEPS})"
+    for j in at:
+        others = "".join(f" - {c(k, j)} * {'v' if k < j else 'w'}{k}" for k in at if k != j)
+        level = f"(select *, {c(j, size + 1)}{others} as g{j} from {level})"
+        level = f"(select *, sign(g{j}) * greatest(abs(g{j}) - edge, 0) / (1 + ridge) as v{j} from {level})"
+    matrix = ", ".join("[" + ", ".join("1.0" if i == j else c(i, j) for j in range(1, size + 2)) + "]" for i in at)
+    entry = f"""case when signs[i] = 0 then case when i = j then 1.0 else 0.0 end
+      when j = {size + 1} then matrix[i][j] - edge * signs[i]
+      when signs[j] = 0 then 0.0 when i = j then 1 + ridge else matrix[i][j] end"""
+    spread = "[" + ", ".join(f"d{i}" for i in at) + "]"
+    mean = "[" + ", ".join(f"m{i}" for i in at) + "]"
+    label = size + 1
+    return f"""{training},
+moments as materialized (
+  select *, 0.8 * 0.1 / d{label} as edge, 0.2 * 0.1 / d{label} as ridge
+  from (select fit, {numbers}, {related} from training group by fit)
+),
+cd as (
+  select fit, 0 as sweep, {", ".join(f"cast(0 as double) as w{j}" for j in at)} from moments
+  union all
+  select fit, sweep + 1, {", ".join(f"v{j}" for j in at)} from {level}
+),
+signed as materialized (
+  select fit, edge, ridge, [{matrix}] as matrix, [{", ".join(f"sign(w{j})" for j in at)}] as signs
+  from cd join moments using (fit) where sweep = {SWEEPS}
+),
+equations as (
+  select 0 as k, fit, i, j, cast({entry} as double) as v
+  from signed, (select unnest(range(1, {size + 1})) as i), (select unnest(range(1, {size + 2})) as j)
+  union all
+  select k + 1, fit, i, j, case when i = k + 1 then vkj / vkk else v - vik * vkj / vkk end from (
+    select *, max(case when i = k + 1 then v end) over (partition by fit, j) as vkj,
+      max(case when j = k + 1 then v end) over (partition by fit, i) as vik,
+      max(case when i = k + 1 and j = k + 1 then v end) over (partition by fit) as vkk
+    from equations where k < {size})
+),
+weights as materialized (
+  select fit, i, v * d{label} / {spread}[i] as weight, {mean}[i] as mean, m{label} as label_mean
+  from equations join moments using (fit) where k = {size} and j = {size + 1}
+),
+fitted as (
+  select fit, [{", ".join(f"'{name}'" for name in FEATURES)}][i] as feature, weight as coefficient from weights
+  union all
+  select fit, 'intercept', max(label_mean) - sum(weight * mean) from weights group by fit
+)"""
+
+
+def _training(labelled: str) -> str:
+    """The training rows of ``labelled`` (fit, features, label) with missing features filled in."""
+    columns = ", ".join(f'coalesce(cast("{name}" as double), 0.0) as "{name}"' for name in (*FEATURES, "label"))
+    return f"training as materialized (select fit, {columns} from {labelled} where label is not null)"
+
+
+_LAG_LABEL = 'lag(regular_market_price, 10) over (partition by {by}ticker_symbol order by "timestamp", event_id) as label'
+
+# One fit over all quotes.
+_WHOLE_FIT = _CLEAN + "," + _fits(_training(f"(select *, 0 as fit, {_LAG_LABEL.format(by='')} from clean)"))
+
+
+def _predicted(by: str = "") -> str:
+    """Scores of a snapshot per ticker (and ``by``, the fit) by the fitted weights."""
+    features = ", ".join(f'{_snapshot_of(name)} as "{name}"' for name in FEATURES)
+    total = " + ".join(f"""coalesce("{name}", 0) * w[{i}]""" for i, name in enumerate(FEATURES, 1))
+    return f""",
+model as (
+  select fit, list(weight order by i) as w, max(label_mean) - sum(weight * mean) as intercept from weights group by fit
+),
+scored_fits as (
+  select fit, ticker_symbol, price as regular_market_price, intercept + {total} as prediction
+  from (select {by}, ticker_symbol, {features}, max_by(regular_market_price, row("timestamp", event_id)) as price from {"clean" if by == "0 as fit" else "batched"} group by all)
+    join model using (fit)
+),
+signalled as (
+  select *, prediction / nullif(regular_market_price, 0) as ratio from scored_fits
+)"""
+
+
+_OLS = 'case when ratio > 1.0005 then 1 when ratio < 0.9995 then -1 else 0 end as ols_signal'
+
+
+def _batches(steps: int) -> str:
+    """Quotes with the number of the micro-batch that each comes in."""
+    cuts = " + ".join(
+        f"""case when epoch_us("timestamp") >= low + (high + 1 - low) * {i} // {steps} then 1 else 0 end""" for i in range(1, steps)
+    )
+    return f"""batched as materialized (
+  select clean.*, cast({cuts} as int) as fit
+  from clean, (select epoch_us(min("timestamp")) as low, epoch_us(max("timestamp")) as high from clean)
+)"""
+
+
+def _recursive(tables: str, select: str) -> str:
+    return f"with recursive {tables.strip()}\n{select.strip()}"
+
+
 _EXTRACTED = _with(
     _RAW,
     f"""
@@ -399,6 +513,38 @@ where n <= 180 and "timestamp" >= newest - interval {RECENT_SECONDS} second""",
     "training_set_segmented": _labelled("lag"),
     "training_set_lead_segmented": _labelled("lead"),
     "training_moments": _moments(),
+    "train_elastic_net": _recursive(_WHOLE_FIT, f"select feature, {_round('coefficient')} as coefficient from fitted"),
+    "score_elastic_net": _recursive(
+        _WHOLE_FIT + _predicted("0 as fit"), f"""select ticker_symbol, {_rounded("regular_market_price", "prediction", "ratio")} from signalled"""
+    ),
+    "ols_signal": _recursive(
+        _WHOLE_FIT + _predicted("0 as fit"),
+        f"""select ticker_symbol, {_UNTIL_AS_OF} as "timestamp", {_rounded("regular_market_price", "prediction", "ratio")}, {_OLS}
+from signalled""",
+    ),
+    "encode_ols": _recursive(
+        _WHOLE_FIT + _predicted("0 as fit") + f", stamped as (select *, {_UNTIL_AS_OF} as \"timestamp\" from signalled)",
+        f"""select ticker_symbol, {_JSON_TIME} as "timestamp", {_rounded("regular_market_price", "prediction", "ratio")}, {_OLS}
+from stamped""",
+    ),
+    "stream_ols_signal": _recursive(
+        _CLEAN + "," + _batches(2) + "," + _fits(_training(f"(select *, {_LAG_LABEL.format(by='fit, ')} from batched)")) + _predicted("fit"),
+        f"""select fit as batch_id, ticker_symbol, {_rounded("regular_market_price", "prediction", "ratio")}, {_OLS} from signalled""",
+    ),
+    "stream_training_set": _labelled("lag"),
+    "stream_training_set_lead": _labelled("lead"),
+    "stream_elastic_net": _recursive(
+        _CLEAN
+        + ","
+        + _batches(2)
+        + """,
+labelled as materialized (select *, """
+        + _LAG_LABEL.format(by="")
+        + """ from batched)"""
+        + ","
+        + _fits(_training("(select * from labelled where fit = 0 union all select * replace (1 as fit) from labelled)")),
+        f"select fit as batch_id, feature, {_round('coefficient')} as coefficient from fitted",
+    ),
     "elastic_net_optimality": _with(
         _filled(),
         "select unnest([" + ", ".join(f"'{name}'" for name in FEATURES) + "]) as feature, count(*) > 0 as optimal from training",

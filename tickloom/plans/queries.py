@@ -31,6 +31,7 @@ from tickloom.sources.messages import decode_messages, read_messages
 from tickloom.sources.pages import extract_quotes
 from tickloom.streaming import service
 from tickloom.streaming.sinks import fan_out, file_sink, start_query
+from tickloom.streaming.training import TrainingState
 
 HOUR = 3600
 WINDOW = 6 * HOUR
@@ -38,6 +39,7 @@ AS_OF = "2024-01-25 00:00:00"
 BARS_FROM, BARS_TO = "1993-01-01", "1998-01-01"
 RECENT_SECONDS = 232_000
 LATE_DAY = ("2024-01-02", "2024-01-03")
+ALL_MINUTES = 60 * 24 * 366 * 10  # longer than the events last
 # The ``*_segmented`` queries cut a table into about this many segments, so that every scale has cut keys.
 SEGMENTS = 40
 # Averages of prices in cents often lie exactly between two six-decimal numbers, give or take the last bit, which
@@ -386,6 +388,45 @@ def _stream_ols(spark, folder):
     return staged.table("collection").select("batch_id", TICKER, PRICE, "prediction", "ratio", "ols_signal")
 
 
+def _stream_training_set(horizon: int) -> Query:
+    """Labels that reach into earlier batches, and one batch that is taken twice."""
+
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        staged = _Staged(spark, folder, "training-set")
+        state = TrainingState(spark, f"{staged.root}/state", horizon=horizon)
+        sink = staged.sink("training")
+
+        def take(rows: DataFrame, batch_id: int) -> None:
+            rows.persist()
+            for _ in range(2 if batch_id == 1 else 1):
+                sink.write_batch(state.training_rows(rows, batch_id), batch_id)
+            rows.unpersist()
+
+        for messages in staged.steps(4):
+            staged.lay_down(messages)
+            staged.run(staged.quotes(), "training", take)
+        return staged.table("training").select(TICKER, TIMESTAMP, "event_id", PRICE, "label")
+
+    return query
+
+
+def _stream_model(spark, folder):
+    """The model of each batch, from kept moments: all quotes so far."""
+    staged = _Staged(spark, folder, "model")
+    state = TrainingState(spark, f"{staged.root}/state", minutes=ALL_MINUTES)
+
+    def take(rows: DataFrame, batch_id: int) -> None:
+        rows.persist()
+        model = state.model(rows, batch_id)
+        ml.coefficient_table(spark, model).write.parquet(f"{staged.root}/models/batch_id={batch_id}")
+        rows.unpersist()
+
+    for messages in staged.steps(2):
+        staged.lay_down(messages)
+        staged.run(staged.quotes(), "training", take)
+    return staged.table("models").select(F.col("batch_id").cast("int").alias("batch_id"), "feature", "coefficient")
+
+
 QUERIES: dict[str, Query] = {
     "decode_messages": lambda spark, folder: decode_messages(samples.quote_messages(spark, folder)),
     "extract_quote_fields": _extract,
@@ -452,6 +493,9 @@ QUERIES: dict[str, Query] = {
     "stream_late_data": _stream_late_data,
     "stream_fanout": _stream_fanout,
     "stream_ols_signal": _stream_ols,
+    "stream_training_set": _stream_training_set(ml.LABEL_HORIZON),
+    "stream_training_set_lead": _stream_training_set(-ml.LABEL_HORIZON),
+    "stream_elastic_net": _stream_model,
 }
 
 

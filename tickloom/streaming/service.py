@@ -18,6 +18,7 @@ from tickloom.schemas import CLEAN_TOPIC, OLS_TOPIC, SIGNAL_TOPIC, TICKER, TIMES
 from tickloom.session import session_settings
 from tickloom.sources.messages import BROKER_SEQUENCE, FILE_SEQUENCE, broker_options, decode_messages, read_messages
 from tickloom.streaming.sinks import DATE, Sink, collection_sink, fan_out, file_sink, run_of, start_query, topic_sink
+from tickloom.streaming.training import TrainingState
 
 # Seconds between batches of each kind of query, window length and late-data allowance.
 CLEAN_INTERVAL = 3
@@ -46,9 +47,13 @@ def train_on_batch(
     history: str | None = None,
     minutes: int = 60,
     missing: str = FILL_IN,
+    state: TrainingState | None = None,
 ) -> Callable[[DataFrame, int], None]:
     """Micro-batch function: fit a model on the batch's own rows and store it under the batch number.
 
+    With ``state`` labels reach into earlier batches, and the model is that of all quotes of the state's last minutes,
+    from the moments that were kept; the settings of labels are then the state's.
+
     With ``history``, the path of clean quotes laid out by date, the batch only sets the time, and the model is fit on
     the stored quotes of the last ``minutes``. Without a labelled row the stored models stay as they are.
     """
@@ -56,6 +61,12 @@ def train_on_batch(
     def train(rows: DataFrame, batch_id: int) -> None:
         rows.persist()
         try:
+            if state is not None:
+                run = run_of(rows.sparkSession)
+                model = state.model(rows, batch_id, run)
+                if model is not None:
+                    store.save(model, batch_id, run)
+                return
             recent = rows if history is None else recent_history(rows, history, minutes)
             training = training_set(recent, horizon, sequence, rows_per_segment)
             if not training.isEmpty():
@@ -107,7 +118,8 @@ class Service:
 
     ``use_panes`` aggregates quotes to panes before windows: far less state work for busy tickers, and windows that
     may come out one batch later. With ``history``, the path of a ``by_date`` file sink among the quote sinks, models are
-    trained on the stored quotes of the last ``minutes`` and not on the batch alone. ``horizon`` is the label's.
+    trained on the stored quotes of the last ``minutes`` and not on the batch alone. ``horizon`` is the label's. With
+    ``training_state`` they are trained on the last minutes without reading any quote again.
     """
 
     quotes: DataFrame
@@ -121,6 +133,7 @@ class Service:
     history: str | None = None
     minutes: int = 60
     horizon: int = LABEL_HORIZON
+    training_state: TrainingState | None = None
     state_settings: dict[str, str] = field(default_factory=lambda: stateful_settings(200))
 
     def start(self) -> list[StreamingQuery]:
@@ -131,7 +144,9 @@ class Service:
             start_query(
                 quotes,
                 "training",
-                train_on_batch(self.models, self.horizon, self.sequence, history=self.history, minutes=self.minutes),
+                train_on_batch(
+                    self.models, self.horizon, self.sequence, history=self.history, minutes=self.minutes, state=self.training_state
+                ),
                 checkpoints,
                 seconds(TRAINING_INTERVAL),
             ),
@@ -169,15 +184,18 @@ def broker_service(
     minutes: int = 60,
     horizon: int = LABEL_HORIZON,
     most_per_batch: int | None = None,
+    training_state: str | None = None,
 ) -> Service:
     """The service over a message broker and a document store. Their connectors must be on the classpath.
 
     ``most_per_batch`` is how many messages a batch takes at most, so that the first one after an outage is not all that
     has piled up; the rest follow in later batches. With ``history`` clean quotes are also stored there by date.
+    ``training_state`` is a folder for what training keeps between batches.
     """
     limit = {} if most_per_batch is None else {"maxOffsetsPerTrigger": str(most_per_batch)}
     messages = read_messages(spark, "kafka", broker_options(servers, **limit))
     named = (TICKER, TIMESTAMP)
+    kept = None if training_state is None else TrainingState(spark, training_state, minutes, horizon, BROKER_SEQUENCE)
     stored = [] if history is None else [file_sink("history", history, by_date=True)]
     return Service(
         quotes=clean_quotes(decode_messages(messages, BROKER_SEQUENCE)),
@@ -194,6 +212,7 @@ def broker_service(
         history=history,
         minutes=minutes,
         horizon=horizon,
+        training_state=kept,
     )
 
 
