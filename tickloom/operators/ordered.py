@@ -114,21 +114,26 @@ def plan_layout(
     order: Sequence[str],
     rows_per_segment: int = ROWS_PER_SEGMENT,
 ) -> Layout:
-    """Cut the keys that have about ``rows_per_segment`` rows or more, in one aggregation over the rows.
+    """Cut the keys that have about ``rows_per_segment`` rows or more.
 
-    Split points come from a sample picked by a hash of whole rows, so they are the same on every retry, whatever the
-    order leaves equal. A segment gets ``_SAMPLES_PER_SEGMENT`` sampled rows, so a key's list of them has one entry for
-    each ``rows_per_segment / _SAMPLES_PER_SEGMENT`` rows. Split points are a table in the shared folder: a lost
+    Rows are counted per key first, which reads no other column; where no key has more, that is all. Only the rows of
+    longer keys are sampled, picked by a hash of whole rows, so that split points are the same on every retry, whatever
+    the order leaves equal. A segment gets ``_SAMPLES_PER_SEGMENT`` sampled rows, so a key's list of them has one entry
+    for each ``rows_per_segment / _SAMPLES_PER_SEGMENT`` rows. Split points are a table in the shared folder: a lost
     executor cannot change them.
     """
     order, tied_by = tuple(order), tuple(rows.columns)
+    counts = rows.groupBy(F.col(key).alias("_long_key")).agg(F.count(F.lit(1)).alias("_rows"))
+    long_keys = counts.where(F.col("_rows") > rows_per_segment).select("_long_key")
+    if long_keys.isEmpty():
+        return Layout(key, order)
     one_in = max(1, rows_per_segment // _SAMPLES_PER_SEGMENT)
     tied = rows.select(key, *[name for name in order if name != key], F.xxhash64(*tied_by).alias(TIE))
-    sampled = F.pmod(F.xxhash64(TIE), F.lit(one_in)) == 0
-    points = F.sort_array(F.collect_list(F.when(sampled, F.struct(*order, TIE))))
+    sampled = tied.where(F.pmod(F.xxhash64(TIE), F.lit(one_in)) == 0)
+    sampled = sampled.join(long_keys, F.col(key).eqNullSafe(F.col("_long_key")), "left_semi")
+    points = F.sort_array(F.collect_list(F.struct(*order, TIE)))
     every_nth = F.array_distinct(F.filter(points, lambda point, i: i % _SAMPLES_PER_SEGMENT == _SAMPLES_PER_SEGMENT - 1))
-    cut = tied.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"), every_nth.alias("_splits"))
-    cut = cut.where((F.col("_rows") > rows_per_segment) & (F.size("_splits") > 0)).drop("_rows")
+    cut = sampled.groupBy(key).agg(every_nth.alias("_splits")).where(F.size("_splits") > 0)
     folder = fresh_folder(rows.sparkSession, "splits")
     cut.write.parquet(folder)
     splits = rows.sparkSession.read.schema(cut.schema).parquet(folder)

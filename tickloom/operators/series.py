@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.ordered import ROWS_PER_SEGMENT, Layout, plan_layout
 from tickloom.schemas import PRICE, TICKER, TIMESTAMP
+from tickloom.session import fresh_folder
 from tickloom.sources.messages import FILE_SEQUENCE
 
 # How much of a series a chart keeps, in points and in seconds.
@@ -27,23 +28,27 @@ def interpolate_signals(
     It is the price at exactly that time, else the straight line between the prices around it, else, where one side
     has no price or the ticker has a single one, the signal's moving average.
 
-    Prices and signals are sorted together once in each direction, and each signal takes the last price seen. One
-    shuffle, no range join. Both passes read running frames: a frame that ends at the partition's end would be
-    computed anew for every row.
+    Prices and signals are stored as one table, so that neither is computed twice, and sorted together once in each
+    direction; each signal takes the last price seen. One shuffle, no range join. Both passes read running frames: a
+    frame that ends at the partition's end would be computed anew for every row.
     """
+    spark = prices.sparkSession
     prices = prices.where(F.col(PRICE).isNotNull()).select(TICKER, TIMESTAMP, *sequence, PRICE)
     types = dict(prices.dtypes)
-    placed = signals.withColumn("_signal", F.struct(*signals.columns)).select(TICKER, TIMESTAMP, "_signal")
-    placed = placed.withColumns({name: F.lit(None).cast(types[name]) for name in sequence})
-    # Signals count as well: a ticker can have far more of them than prices.
-    place = (TICKER, TIMESTAMP, *sequence)
-    layout = plan_layout(prices.select(*place).union(placed.select(*place)), TICKER, place[1:], rows_per_segment)
     point = F.struct(F.unix_micros(TIMESTAMP).alias("at"), F.col(PRICE).alias("price"))
-    price_points = layout.assign(prices).select(
-        layout.by, TIMESTAMP, *sequence, F.lit(0).alias("_kind"), point.alias("_point")
-    )
-    signal_points = layout.assign(placed).withColumn("_kind", F.lit(1))
+    price_points = prices.select(TICKER, TIMESTAMP, *sequence, F.lit(0).alias("_kind"), point.alias("_point"))
+    signal_points = signals.select(
+        TICKER, TIMESTAMP, *[F.lit(None).cast(types[name]).alias(name) for name in sequence],
+        F.lit(1).alias("_kind"), F.struct(*signals.columns).alias("_signal"),
+    )
     points = price_points.unionByName(signal_points, allowMissingColumns=True)
+    folder = fresh_folder(spark, "points")
+    points.write.parquet(folder)
+    points = spark.read.schema(points.schema).parquet(folder)
+    # Signals count as well: a ticker can have far more of them than prices.
+    layout = plan_layout(points, TICKER, (TIMESTAMP, *sequence), rows_per_segment)
+    points = layout.assign(points)
+    price_points = points.where("_kind = 0")
 
     running = (Window.unboundedPreceding, Window.currentRow)
     keys = Window.partitionBy(layout.by)

@@ -17,6 +17,9 @@ NEWEST_FEATURES = ("regular_market_price", "regular_market_change", "regular_mar
 # Windows are put together from panes in chunks of time this many window lengths long.
 WINDOWS_PER_CHUNK = 64
 
+# A frame looks at all panes of a window again for each window. Windows of more panes than this are made of two halves.
+FRAME_PANES = 64
+
 
 # Digits of an order value behind the time: a whole number for one sequence column; for two, PARTITION_DIGITS of the
 # first and the rest for the second.
@@ -138,7 +141,7 @@ def _from_pane_stream(points: DataFrame, length_seconds: int, slide_seconds: int
 
 
 def _from_panes(points: DataFrame, length_seconds: int, slide_seconds: int) -> DataFrame:
-    """Quotes to panes by a combining aggregation, and panes to windows by a range frame.
+    """Quotes to panes by a combining aggregation, and panes to windows by a range frame or, if long, from halves.
 
     Panes are named by the second they begin at, and a window by that of its last pane. Windows are put together per
     ticker and chunk of time. A chunk has a fixed number of panes, whatever the number of quotes, so no group grows
@@ -162,25 +165,82 @@ def _from_panes(points: DataFrame, length_seconds: int, slide_seconds: int) -> D
         F.lead("begin").over(group.orderBy("begin")) - slide_seconds,
         (F.col("chunk") + 1) * chunk_seconds - slide_seconds,
     )
+    placed = placed.withColumn("until", until)
+    together = _from_halves if length_seconds // slide_seconds > FRAME_PANES else _from_frames
+    windows = together(placed, length_seconds, slide_seconds)
+    windows = windows.where(F.col("last_pane") >= F.col("chunk") * chunk_seconds)
+    windows = windows.select("*", F.col("newest.price").alias(PRICE), F.col("newest.second").alias("second"))
+    return _as_stats(windows, F.timestamp_seconds(F.col("last_pane") + slide_seconds))
+
+
+def _from_frames(placed: DataFrame, length_seconds: int, slide_seconds: int) -> DataFrame:
+    """Each window from a range frame over its panes: work grows with the panes of a window."""
     own = F.col("last_pane") == F.col("begin")
-    opened = placed.withColumn("until", until).select(
+    opened = placed.select(
         "*", F.explode(F.sequence("begin", "until", F.lit(slide_seconds).cast("bigint"))).alias("last_pane")
     )
-    frame = group.orderBy("last_pane").rangeBetween(-reach, 0)
+    frame = Window.partitionBy(TICKER, "chunk").orderBy("last_pane").rangeBetween(slide_seconds - length_seconds, 0)
     newest = F.last(F.when(own, F.struct("price", "second")), ignorenulls=True).over(frame)
-    windows = opened.select(
+    total, n = F.sum(F.when(own, F.col("total"))).over(frame), F.sum(F.when(own, F.col("n"))).over(frame)
+    return opened.select(
         TICKER,
+        "chunk",
         "last_pane",
-        (F.col("last_pane") >= F.col("chunk") * chunk_seconds).alias("of_chunk"),
         newest.alias("newest"),
-        F.try_divide(F.sum(F.when(own, F.col("total"))).over(frame), F.sum(F.when(own, F.col("n"))).over(frame)).alias(
-            "moving_avg_price"
-        ),
+        F.try_divide(total, n).alias("moving_avg_price"),
         F.max(F.when(own, F.col("highest"))).over(frame).alias("max_price"),
         F.min(F.when(own, F.col("lowest"))).over(frame).alias("min_price"),
-    ).where("of_chunk")
-    windows = windows.select("*", F.col("newest.price").alias(PRICE), F.col("newest.second").alias("second"))
-    return _as_stats(windows, F.timestamp_seconds(F.col("last_pane") + slide_seconds))
+    )
+
+
+def _from_halves(placed: DataFrame, length_seconds: int, slide_seconds: int) -> DataFrame:
+    """Each window from two halves, with the same work whatever the number of its panes.
+
+    Time is cut into blocks of a window's length, so a window is the end of one block and the beginning of the next.
+    Running values from a block's beginning give the one half, and running values from its end the other; nothing is
+    subtracted. A window is a row at its last pane, for the first, and a row at its first pane, for the second.
+    """
+    reach, step = length_seconds - slide_seconds, F.lit(slide_seconds).cast("bigint")
+    PANE, LAST, FIRST = 0, 1, 2
+
+    def row(kind: int, at: Column, last_pane: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), at.alias("at"), last_pane.alias("last_pane"))
+
+    ends = F.transform(F.sequence("begin", "until", step), lambda pane: F.array(row(LAST, pane, pane), row(FIRST, pane - reach, pane)))
+    own = row(PANE, F.col("begin"), F.lit(None).cast("bigint"))
+    rows = placed.select("*", F.inline(F.concat(F.array(own), F.flatten(ends))))
+
+    def block_of(second: Column) -> Column:
+        return F.floor(second / length_seconds)
+
+    # A window that is a whole block has no second half.
+    rows = rows.withColumn("block", block_of(F.col("at"))).where((F.col("kind") != FIRST) | (F.col("block") != block_of(F.col("last_pane"))))
+    is_pane = F.col("kind") == PANE
+    block = Window.partitionBy(TICKER, "chunk", "block")
+    forward = block.orderBy(F.asc("at"), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    backward = block.orderBy(F.desc("at"), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def running(newest, frame) -> Column:
+        def of(name: str, function) -> Column:
+            return function(F.when(is_pane, F.col(name))).over(frame).alias(name)
+
+        value = newest(F.when(is_pane, F.struct("price", "second")), ignorenulls=True).over(frame)
+        return F.struct(
+            value.alias("newest"), of("total", F.sum), of("n", F.sum), of("highest", F.max), of("lowest", F.min)
+        )
+
+    halves = rows.select(
+        TICKER, "chunk", "kind", "last_pane", running(F.last, forward).alias("until_last"), running(F.first, backward).alias("from_first")
+    ).where(~is_pane)
+    half = F.when(F.col("kind") == LAST, F.col("until_last")).otherwise(F.col("from_first"))
+    halves = halves.select(TICKER, "chunk", "last_pane", "kind", half.alias("half"))
+    # The rows of a window lie in one task already.
+    return halves.groupBy(TICKER, "chunk", "last_pane").agg(
+        F.min_by("half.newest", F.when(F.col("half.newest").isNotNull(), F.col("kind"))).alias("newest"),
+        F.try_divide(F.sum("half.total"), F.sum("half.n")).alias("moving_avg_price"),
+        F.max("half.highest").alias("max_price"),
+        F.min("half.lowest").alias("min_price"),
+    )
 
 
 def feature_snapshot(quotes: DataFrame, sequence: Sequence[str] = FILE_SEQUENCE) -> DataFrame:

@@ -12,7 +12,9 @@ from tickloom.plans.queries import (
     BARS_TO,
     COLUMN_DECIMALS,
     DECIMALS,
+    HOUR,
     LATE_DAY,
+    LONG_WINDOW,
     RECENT_SECONDS,
     TIE_SHIFT,
 )
@@ -134,16 +136,16 @@ tested as (
 )
 
 
-def _signals(until: str, where: str = "true", price: str = "value") -> str:
+def _signals(until: str, where: str = "true", price: str = "value", hours: int = 6) -> str:
     """Signals of all windows that end by ``until``, from the events that meet a condition."""
     return f"""
 spread as (
   select event_type as ticker_symbol, {price} as p, ts, event_id, date_trunc('second', ts) as s,
-    unnest(generate_series(0, 5)) as k
+    unnest(generate_series(0, {hours - 1})) as k
   from events where {where}
 ),
 stats as (
-  select ticker_symbol, date_trunc('hour', s) - k * interval 1 hour + interval 6 hour as "end",
+  select ticker_symbol, date_trunc('hour', s) - k * interval 1 hour + interval {hours} hour as "end",
     max_by(p, row(ts, event_id)) as regular_market_price, avg(p) as moving_avg_price,
     max(p) as max_price, min(p) as min_price, max(s) as "timestamp"
   from spread group by 1, 2
@@ -238,11 +240,14 @@ def _moments() -> str:
     return _with(_filled(), " union all\n".join(rows))
 
 
-_STATS = _with(
-    _signals(_ALL_WINDOWS),
-    f"""select ticker_symbol, "end", {_rounded("regular_market_price", "moving_avg_price", "max_price", "min_price")},
+def _stats(hours: int) -> str:
+    return _with(
+        _signals(_ALL_WINDOWS, hours=hours),
+        f"""select ticker_symbol, "end", {_rounded("regular_market_price", "moving_avg_price", "max_price", "min_price")},
   "timestamp" from stats""",
-)
+    )
+
+
 
 _INTERPOLATED = _with(
     _signals(_ALL_WINDOWS)
@@ -472,8 +477,9 @@ where date >= date '{BARS_FROM}' and date < date '{BARS_TO}'""",
     ),
     "multiplex_messages": _merged("topic", CLEAN_TOPIC, SIGNAL_TOPIC),
     "dispatch_messages": _merged("kind", "quote", "signal"),
-    "sliding_stats": _STATS,
-    "sliding_stats_panes": _STATS,
+    "sliding_stats": _stats(6),
+    "sliding_stats_panes": _stats(6),
+    "sliding_stats_long": _stats(LONG_WINDOW // HOUR),
     "mac_signal": _with(
         _signals(_ALL_WINDOWS),
         f"""select ticker_symbol, "timestamp", {_rounded("regular_market_price", "moving_avg_price")}, mac_signal

@@ -35,6 +35,7 @@ from tickloom.streaming.training import TrainingState
 
 HOUR = 3600
 WINDOW = 6 * HOUR
+LONG_WINDOW = 240 * HOUR
 AS_OF = "2024-01-25 00:00:00"
 BARS_FROM, BARS_TO = "1993-01-01", "1998-01-01"
 RECENT_SECONDS = 232_000
@@ -147,6 +148,11 @@ def _stats(use_panes: bool) -> Query:
     return query
 
 
+def _long_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows of ten days, by the hour."""
+    return sliding_stats(samples.prices(spark, folder), LONG_WINDOW, HOUR)
+
+
 def _signals(spark, folder):
     """All windows of the quotes."""
     return gen_signal(samples.prices(spark, folder), WINDOW, HOUR)
@@ -450,6 +456,7 @@ QUERIES: dict[str, Query] = {
     "dispatch_messages": _dispatch,
     "sliding_stats": _stats(use_panes=False),
     "sliding_stats_panes": _stats(use_panes=True),
+    "sliding_stats_long": _long_stats,
     "mac_signal": _signal_columns(PRICE, "moving_avg_price", "mac_signal"),
     "rsi": _signal_columns("rsi"),
     "rsi_signal": _signal_columns("rsi", "rsi_signal"),
