@@ -20,9 +20,10 @@ from tickloom.schemas import (
 TOPIC_FIELDS = {CLEAN_TOPIC: QUOTE_MESSAGE, SIGNAL_TOPIC: SIGNAL_MESSAGE, OLS_TOPIC: OLS_MESSAGE}
 
 
-def encode(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """``value`` JSON of the fields and ``key`` JSON of the ticker. Null fields are left out of the JSON."""
+def encode(rows: DataFrame, fields: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """``value`` JSON of the fields and ``key`` JSON of the ticker, behind columns to keep. Null fields are left out of the JSON."""
     return rows.select(
+        *keep,
         F.to_json(F.struct(*[F.col(f"`{name}`") for name in fields])).alias("value"),
         F.to_json(F.struct(TICKER)).alias("key"),
     )

@@ -12,6 +12,7 @@ from tickloom.plans.queries import (
     BARS_TO,
     COLUMN_DECIMALS,
     DECIMALS,
+    HISTORY_UNTIL,
     HOUR,
     LATE_DAY,
     LONG_WINDOW,
@@ -537,6 +538,19 @@ from stamped""",
         _CLEAN + "," + _batches(2) + "," + _fits(_training(f"(select *, {_LAG_LABEL.format(by='fit, ')} from batched)")) + _predicted("fit"),
         f"""select fit as batch_id, ticker_symbol, {_rounded("regular_market_price", "prediction", "ratio")}, {_OLS} from signalled""",
     ),
+    "stream_multiplex": _merged("kind", "quote", "signal"),
+    "stream_late_rows": f"""
+select 'late-rows' as query_name, count(*) as late_rows from (
+  select distinct event_type, date_trunc('hour', ts) - k * interval 1 hour from events, (select unnest(generate_series(0, 5)) as k)
+  where not ({_ON_TIME}))""".strip(),
+    "stream_history": _CLEAN_ALL + f"""\nwhere "timestamp" < timestamp '{HISTORY_UNTIL}' + interval 1 day""",
+    "stream_quarantine": _with(
+        _CLEAN,
+        f"""
+select event_id, problem, case when problem is null then {_round('regular_market_price')} end as regular_market_price from (
+  select *, case when event_id % 23 = 0 then 'no value' when event_id % 11 = 0 then 'not JSON' when event_id % 7 = 0 then 'not an object'
+    when event_id % 13 = 0 then 'no ticker' end as problem from clean)""",
+    ),
     "stream_training_set": _labelled("lag"),
     "stream_training_set_lead": _labelled("lead"),
     "stream_elastic_net": _recursive(

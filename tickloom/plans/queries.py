@@ -27,10 +27,12 @@ from tickloom.schemas import CLEAN_TYPES, FEATURES, PRICE, TICKER, TIMESTAMP
 from tickloom.session import QUERY_SETTINGS, apply_settings, fresh_folder, local_folder_if_unset, session_settings
 from tickloom.sources import samples
 from tickloom.sources.bars import daily_close
-from tickloom.sources.messages import decode_messages, read_messages
+from tickloom.sources.messages import check_messages, decode_messages, read_messages
 from tickloom.sources.pages import extract_quotes
-from tickloom.streaming import service
-from tickloom.streaming.sinks import fan_out, file_sink, start_query
+from tickloom.streaming import live, service
+from tickloom.streaming.history import HistoryTable
+from tickloom.streaming.monitor import ProgressLog
+from tickloom.streaming.sinks import fan_out, file_sink, quarantine, start_query
 from tickloom.streaming.training import TrainingState
 
 HOUR = 3600
@@ -40,6 +42,7 @@ AS_OF = "2024-01-25 00:00:00"
 BARS_FROM, BARS_TO = "1993-01-01", "1998-01-01"
 RECENT_SECONDS = 232_000
 LATE_DAY = ("2024-01-02", "2024-01-03")
+HISTORY_UNTIL = "2024-01-20"
 ALL_MINUTES = 60 * 24 * 366 * 10  # longer than the events last
 # The ``*_segmented`` queries cut a table into about this many segments, so that every scale has cut keys.
 SEGMENTS = 40
@@ -433,6 +436,79 @@ def _stream_model(spark, folder):
     return staged.table("models").select(F.col("batch_id").cast("int").alias("batch_id"), "feature", "coefficient")
 
 
+def _stream_multiplex(spark, folder):
+    """Quotes and signals merged live: the signals are silent at first, and some quotes come twice."""
+    staged = _Staged(spark, folder, "multiplex")
+    kept = (TIMESTAMP, "event_id")
+    signals = _signals(spark, folder).withColumn("event_id", F.xxhash64(TICKER, TIMESTAMP))
+    signals = msg.encode(signals, msg.SIGNAL_MESSAGE, kept)
+    quotes = [msg.encode(clean_quotes(decode_messages(part)), msg.QUOTE_MESSAGE, kept) for part in staged.steps(2)]
+    again = quotes[0].where("event_id % 3 = 0")
+    sinks = {kind: [staged.sink(kind)] for kind in ("quote", "signal")}
+    with session_settings(spark, {**_state(spark), **live.merge_settings(live.WAIT)}):
+        for new_quotes, new_signals in ((quotes[0], signals.limit(0)), (quotes[1].union(again), signals)):
+            new_quotes.write.mode("append").parquet(f"{staged.root}/quotes")
+            new_signals.write.mode("append").parquet(f"{staged.root}/signals")
+            inputs = [read_messages(spark, "parquet", path=f"{staged.root}/{name}") for name in ("quotes", "signals")]
+            staged.run(live.live_merge(*inputs), "live", live.dispatch_to(sinks))
+    shown = (TICKER, TIMESTAMP, PRICE, "moving_avg_price", "rsi_signal", "mac_signal")
+    both = [staged.table(kind).select("key", "value").withColumn("kind", F.lit(kind)) for kind in sinks]
+    return _read_back(both[0].unionByName(both[1]), "kind").select("kind", *shown)
+
+
+def _stream_late_rows(spark, folder):
+    """What the running query reports of quotes that came too late: each ticker and window of theirs."""
+    late = (F.col(TIMESTAMP) >= LATE_DAY[0]) & (F.col(TIMESTAMP) < LATE_DAY[1])
+    staged, log = _Staged(spark, folder, "late-rows"), ProgressLog()
+    spark.streams.addListener(log)
+    try:
+        with session_settings(spark, _state(spark)):
+            for messages in (*[part.where(~late) for part in staged.steps(2)], staged.source.where(late)):
+                staged.lay_down(messages)
+                signals = gen_signal(staged.quotes(), WINDOW, HOUR, watermark=service.WATERMARK, use_panes=False)
+                query = start_query(signals, "late-rows", staged.sink("signals"), f"{staged.root}/checkpoints")
+                query.awaitTermination()
+                log.wait_for(query)
+    finally:
+        spark.streams.removeListener(log)
+    return log.table(spark).where("query_name = 'late-rows'").groupBy("query_name").agg(F.sum("late_rows").alias("late_rows"))
+
+
+def _stream_history(spark, folder):
+    """Clean quotes stored by day, a few hours a batch, and read back by day."""
+    staged = _Staged(spark, folder, "history")
+    table = HistoryTable(spark, f"{staged.root}/history", compact_after=3)
+    for messages in staged.steps(6):
+        staged.lay_down(messages)
+        staged.run(staged.quotes(), "history", lambda rows, batch_id: [table.write_batch(rows, batch_id) for _ in range(2)] and None)
+    return table.days("2000-01-01", HISTORY_UNTIL).select(TICKER, TIMESTAMP, "event_id", *CLEAN_TYPES)
+
+
+def _damaged(spark: SparkSession, folder: str) -> DataFrame:
+    """The messages, some of them cut short, of another shape, without a ticker or without a value."""
+    event = F.col("event_id")
+    value = (
+        F.when(event % 23 == 0, F.lit(None))
+        .when(event % 11 == 0, F.expr("left(value, length(value) - 5)"))
+        .when(event % 7 == 0, F.concat(F.lit("["), F.col("value"), F.lit("]")))
+        .otherwise(F.col("value"))
+    )
+    key = F.when(event % 13 == 0, F.lit("{}")).otherwise(F.col("key"))
+    return samples.quote_messages(spark, folder).withColumns({"value": value, "key": key})
+
+
+def _stream_quarantine(spark, folder):
+    """Messages that cannot be read, by reason, and those that can: together as many as came."""
+    staged = _Staged(spark, folder, "quarantine")
+    staged.lay_down(_damaged(spark, folder))
+    good = fan_out([staged.sink("good")])
+    checked = check_messages(read_messages(spark, "parquet", path=f"{staged.root}/messages"))
+    target = quarantine(lambda rows, batch_id: good(clean_quotes(decode_messages(rows)), batch_id), [staged.sink("bad")])
+    staged.run(checked, "quarantine", target)
+    good_rows = staged.table("good").select("event_id", F.lit(None).cast("string").alias("problem"), PRICE)
+    return good_rows.unionByName(staged.table("bad").select("event_id", "problem", F.lit(None).cast("double").alias(PRICE)))
+
+
 QUERIES: dict[str, Query] = {
     "decode_messages": lambda spark, folder: decode_messages(samples.quote_messages(spark, folder)),
     "extract_quote_fields": _extract,
@@ -500,6 +576,10 @@ QUERIES: dict[str, Query] = {
     "stream_late_data": _stream_late_data,
     "stream_fanout": _stream_fanout,
     "stream_ols_signal": _stream_ols,
+    "stream_multiplex": _stream_multiplex,
+    "stream_late_rows": _stream_late_rows,
+    "stream_history": _stream_history,
+    "stream_quarantine": _stream_quarantine,
     "stream_training_set": _stream_training_set(ml.LABEL_HORIZON),
     "stream_training_set_lead": _stream_training_set(-ml.LABEL_HORIZON),
     "stream_elastic_net": _stream_model,

@@ -53,3 +53,26 @@ def decode_messages(messages: DataFrame, sequence: Sequence[str] = FILE_SEQUENCE
     return messages.select(TIMESTAMP, *sequence, key.alias("key"), value.alias("value")).select(
         TIMESTAMP, *sequence, "key.*", "value.*"
     )
+
+
+# Why a message cannot be read.
+NO_VALUE, NOT_JSON, NO_OBJECT, NO_TICKER = "no value", "not JSON", "not an object", "no ticker"
+PROBLEM = "problem"
+
+
+def check_messages(messages: DataFrame) -> DataFrame:
+    """Add ``problem``: why a message cannot be decoded, null if it can.
+
+    Text is parsed to a variant, which tells broken JSON from JSON of another shape. Fields that lack or are null are no
+    problem, as pages leave some out. In the same pass as ``decode_messages`` with ``problem`` among its kept columns.
+    """
+    key, value = (F.try_parse_json(F.col(name).cast("string")) for name in ("key", "value"))
+    kind = F.schema_of_variant(value)
+    ticker = F.try_variant_get(key, f"$.{KEY_SCHEMA.names[0]}", "string")
+    problem = (
+        F.when(F.col("value").isNull(), NO_VALUE)
+        .when(value.isNull(), NOT_JSON)
+        .when(~kind.startswith("OBJECT"), NO_OBJECT)
+        .when(ticker.isNull(), NO_TICKER)
+    )
+    return messages.withColumn(PROBLEM, problem)

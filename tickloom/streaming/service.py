@@ -17,7 +17,9 @@ from tickloom.plans.signals import gen_signal
 from tickloom.schemas import CLEAN_TOPIC, OLS_TOPIC, SIGNAL_TOPIC, TICKER, TIMESTAMP
 from tickloom.session import session_settings
 from tickloom.sources.messages import BROKER_SEQUENCE, FILE_SEQUENCE, broker_options, decode_messages, read_messages
-from tickloom.streaming.sinks import DATE, Sink, collection_sink, fan_out, file_sink, run_of, start_query, topic_sink
+from tickloom.streaming.history import HistoryTable
+from tickloom.streaming.monitor import ProgressLog
+from tickloom.streaming.sinks import DATE, Sink, collection_sink, fan_out, run_of, start_query, topic_sink
 from tickloom.streaming.training import TrainingState
 
 # Seconds between batches of each kind of query, window length and late-data allowance.
@@ -44,7 +46,7 @@ def train_on_batch(
     horizon: int = LABEL_HORIZON,
     sequence: Sequence[str] = FILE_SEQUENCE,
     rows_per_segment: int = ROWS_PER_SEGMENT,
-    history: str | None = None,
+    history: str | HistoryTable | None = None,
     minutes: int = 60,
     missing: str = FILL_IN,
     state: TrainingState | None = None,
@@ -54,7 +56,7 @@ def train_on_batch(
     With ``state`` labels reach into earlier batches, and the model is that of all quotes of the state's last minutes,
     from the moments that were kept; the settings of labels are then the state's.
 
-    With ``history``, the path of clean quotes laid out by date, the batch only sets the time, and the model is fit on
+    With ``history``, clean quotes laid out by date, the batch only sets the time, and the model is fit on
     the stored quotes of the last ``minutes``. Without a labelled row the stored models stay as they are.
     """
 
@@ -77,22 +79,28 @@ def train_on_batch(
     return train
 
 
-def recent_history(rows: DataFrame, history: str, minutes: int) -> DataFrame:
+def recent_history(rows: DataFrame, history: str | HistoryTable, minutes: int) -> DataFrame:
     """Stored clean quotes of the ``minutes`` up to the newest of the rows, or the rows as long as nothing is stored.
 
-    Only the days in question are read.
+    Only the days in question are read, and of a ``HistoryTable`` only they are listed.
     """
     newest = rows.agg(F.unix_micros(F.max(TIMESTAMP))).first()[0]
+    if newest is None:
+        return rows
     until = F.timestamp_micros(F.lit(newest))
     since = F.timestamp_micros(F.lit(newest) - F.lit(minutes * 60_000_000))
+    in_time = (F.col(TIMESTAMP) > since) & (F.col(TIMESTAMP) <= until)
+    if isinstance(history, HistoryTable):
+        first, last = rows.sparkSession.range(1).select(F.to_date(since).cast("string"), F.to_date(until).cast("string")).first()
+        stored = history.days(first, last)
+        return rows if stored is None else stored.where(in_time)
     try:
         stored = rows.sparkSession.read.parquet(history)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return rows
         raise
-    in_days = (F.col(DATE) >= F.to_date(since)) & (F.col(DATE) <= F.to_date(until))
-    return stored.where(in_days & (F.col(TIMESTAMP) > since) & (F.col(TIMESTAMP) <= until))
+    return stored.where((F.col(DATE) >= F.to_date(since)) & (F.col(DATE) <= F.to_date(until)) & in_time)
 
 
 def score_batch(
@@ -117,9 +125,10 @@ class Service:
     """What the service reads, where it writes, and where it keeps its progress and models.
 
     ``use_panes`` aggregates quotes to panes before windows: far less state work for busy tickers, and windows that
-    may come out one batch later. With ``history``, the path of a ``by_date`` file sink among the quote sinks, models are
-    trained on the stored quotes of the last ``minutes`` and not on the batch alone. ``horizon`` is the label's. With
-    ``training_state`` they are trained on the last minutes without reading any quote again.
+    may come out one batch later. With ``history``, a ``HistoryTable`` among the quote sinks or the path of a ``by_date``
+    file sink there, models are trained on the stored quotes of the last ``minutes`` and not on the batch alone. ``horizon`` is the label's. With
+    ``training_state`` they are trained on the last minutes without reading any quote again. ``monitor`` counts late rows,
+    state and batches of all four queries.
     """
 
     quotes: DataFrame
@@ -130,15 +139,18 @@ class Service:
     ols_sinks: Sequence[Sink]
     sequence: Sequence[str] = FILE_SEQUENCE
     use_panes: bool = True
-    history: str | None = None
+    history: str | HistoryTable | None = None
     minutes: int = 60
     horizon: int = LABEL_HORIZON
+    monitor: ProgressLog | None = None
     training_state: TrainingState | None = None
     state_settings: dict[str, str] = field(default_factory=lambda: stateful_settings(200))
 
     def start(self) -> list[StreamingQuery]:
         """Start the four queries. Each reads the source once per batch, however many sinks it has."""
         quotes, checkpoints = self.quotes, self.checkpoints
+        if self.monitor is not None:
+            quotes.sparkSession.streams.addListener(self.monitor)
         seconds = "{} seconds".format
         queries = [
             start_query(
@@ -196,7 +208,7 @@ def broker_service(
     messages = read_messages(spark, "kafka", broker_options(servers, **limit))
     named = (TICKER, TIMESTAMP)
     kept = None if training_state is None else TrainingState(spark, training_state, minutes, horizon, BROKER_SEQUENCE)
-    stored = [] if history is None else [file_sink("history", history, by_date=True)]
+    table = None if history is None else HistoryTable(spark, history)
     return Service(
         quotes=clean_quotes(decode_messages(messages, BROKER_SEQUENCE)),
         checkpoints=checkpoints,
@@ -204,14 +216,15 @@ def broker_service(
         quote_sinks=[
             topic_sink(servers, CLEAN_TOPIC),
             collection_sink(database, "real-time-stock-data", uri, (*named, *BROKER_SEQUENCE)),
-            *stored,
+            *([] if table is None else [table]),
         ],
         signal_sinks=[topic_sink(servers, SIGNAL_TOPIC), collection_sink(database, SIGNAL_TOPIC, uri, named)],
         ols_sinks=[topic_sink(servers, OLS_TOPIC), collection_sink(database, OLS_TOPIC, uri, named)],
         sequence=BROKER_SEQUENCE,
-        history=history,
+        history=table,
         minutes=minutes,
         horizon=horizon,
+        monitor=ProgressLog(),
         training_state=kept,
     )
 

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tickloom.operators.messages import encode_for_topic
 from tickloom.schemas import TIMESTAMP
+from tickloom.sources.messages import PROBLEM
 
 DATE = "date"
 FILE_FORMATS = ("parquet", "orc", "json", "csv")
@@ -97,6 +98,22 @@ def fan_out(sinks: Sequence[Sink]) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def quarantine(readable: Callable[[DataFrame, int], None], unreadable: Sequence[Sink]) -> Callable[[DataFrame, int], None]:
+    """Micro-batch function for checked messages (``problem``): those without a problem go on, the others to sinks of
+    their own as they came, with the reason. The batch is computed once."""
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        rows.persist()
+        try:
+            readable(rows.where(F.col(PROBLEM).isNull()).drop(PROBLEM), batch_id)
+            for sink in unreadable:
+                sink.write_batch(rows.where(F.col(PROBLEM).isNotNull()), batch_id)
+        finally:
+            rows.unpersist()
+
+    return write
+
+
 def start_query(
     rows: DataFrame,
     name: str,
