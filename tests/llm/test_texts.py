@@ -168,6 +168,21 @@ def test_quality(spark):
     assert quality.score(docs.where("false"), model).count() == 0
 
 
+def test_quality_sample_takes_texts_whole(spark, monkeypatch):
+    """Bad texts are told by one passage far inside a long text; texts beyond the bound are left out of the fit."""
+    monkeypatch.setattr(quality, "SAMPLE_PASSAGES", 1300)
+    good = [words(at, 64 * 40, 900) for at in range(40)]
+    bad = [f"{words(at, 64 * 20, 900)} {'$$ ## !! ' * 40} {words(at + 1, 64 * 20, 900)}" for at in range(100, 140)]
+    docs = frame(spark, [(at, text, None, None, None) for at, text in enumerate(good + bad)] + [(99, words(9, 64 * 1400), None, None, None)])
+    labels = spark.createDataFrame([(at, int(at < 40)) for at in range(80)] + [(99, 1)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    scores = {row.doc_id: row.score for row in quality.score(docs, model).collect()}
+    right = [(scores[at] >= 0.5) == (at < 40) for at in range(80)]
+    assert sum(right) >= 76
+    monkeypatch.setattr(quality, "SAMPLE_PASSAGES", 3)
+    assert quality.train(docs, labels) == 41 / 81
+
+
 def test_quality_gradients():
     random = np.random.default_rng(0)
     model = quality.Attention(6)

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.anchors import Block, mixed
@@ -20,7 +20,7 @@ from tickloom.llm.common import anonymous, identified, remainder, staged, text_b
 
 PASSAGE_WORDS = 64
 SAMPLE_TEXTS = 3000  # of each label
-MOST_PASSAGES = 400  # of a text of the sample, spread over all of it; scoring takes every passage
+SAMPLE_PASSAGES = 150_000  # of each label: texts are sampled, whole, as long as their passages come to no more
 GRAMS = 48
 CODE, GATE = 24, 12
 EPOCHS, BATCH, RATE = 40, 128, 0.01
@@ -150,7 +150,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Attention | float:
     """Fitted on rows of ``docs`` with a label (doc_id, quality 0 or 1); the share of ones where only one kind is there.
 
     Without any label that share is taken as a half. Null labels and ids are none; of several labels of an id the
-    smallest counts. The sample is the first SAMPLE_TEXTS of each label by hash of the id.
+    smallest counts. The sample is the first SAMPLE_TEXTS of each label by hash of the id, as far as their passages come
+    to SAMPLE_PASSAGES; a text of the sample is taken whole. A longer text than that is not sampled, and if a label has
+    only such texts nothing is fitted: the score is the share of ones.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = staged(docs.select("doc_id").join(known, "doc_id"), "quality-labels")
@@ -171,13 +173,17 @@ def train(docs: DataFrame, labels: DataFrame) -> Attention | float:
         for batch in batches:
             found, each = encode([text_bytes(text) for text in batch["text"]])
             bags = np.split(found, np.cumsum(each)[:-1])
-            bags = [bag[np.unique(np.linspace(0, len(bag) - 1, min(len(bag), MOST_PASSAGES)).astype(int))] for bag in bags]
             packed = [bag.astype("<f4").tobytes() for bag in bags]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "bag": packed})
 
     schema = "doc_id long, quality int, bag binary"
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(numbers, schema)
-    sample = first(staged(sample, "quality-sample"), "bag").toPandas()
+    sample = staged(sample, "quality-sample").withColumn("passages", F.octet_length("bag") / F.lit(4 * NUMBERS))
+    sofar = Window.partitionBy("quality").orderBy(by_hash, "doc_id", "bag").rowsBetween(Window.unboundedPreceding, 0)
+    fitting = sample.where(F.col("passages") <= SAMPLE_PASSAGES).withColumn("sofar", F.sum("passages").over(sofar))
+    sample = first(fitting.where(F.col("sofar") <= SAMPLE_PASSAGES).drop("passages", "sofar"), "bag").toPandas()
+    if sample["quality"].nunique() < 2:
+        return sizes[1] / (sizes[0] + sizes[1])
     sample = sample.sort_values(["quality", "doc_id", "bag"], kind="stable")
     bags = [np.frombuffer(bag, dtype="<f4").reshape(-1, NUMBERS).astype(np.float64) for bag in sample["bag"]]
     label = sample["quality"].to_numpy(np.float64)
