@@ -37,15 +37,16 @@ def test_stages(spark):
     assert len(stages) == 5
 
     found = stages["language_id"](spark, docs, "")
-    lang = {row[0]: "de" if 100 <= row[0] < 120 else "en" for row in documents() if row[0] is not None}
-    wanted = [(*row[:2], lang[row[0]], *row[3:]) for row in documents() if row[0] not in (None, 303)]
+    lang = {row[0]: "de" if row[0] is not None and 100 <= row[0] < 120 else "en" for row in documents()}
+    wanted = [(*row[:2], lang[row[0]], *row[3:]) for row in documents() if row[0] != 303]
     assert found.columns == list(corpus_pipeline.COLUMNS) and table(found) == sorted(wanted, key=repr)
 
     kept, wanted = stages["simhash_near_dedup"](spark, found, ""), {}
-    marks = {row[0]: plain_fingerprint(row[1]) for row in table(found)}
+    marks = {row[0]: plain_fingerprint(row[1]) for row in table(found) if row[0] is not None}
     links = [(a, b) for a in marks for b in marks if (marks[a] ^ marks[b]).bit_count() <= 2]
     group = smallest(marks, links)
-    wanted = sorted({row for row in table(found) if group[row[0]] == row[0]}, key=repr)
+    # The row without an id is a copy of one with an id.
+    wanted = sorted({row for row in table(found) if row[0] is not None and group[row[0]] == row[0]}, key=repr)
     assert table(kept) == wanted and len(wanted) < len(marks)
 
     cut, given = stages["substring_dedup"](spark, kept, ""), table(kept)
@@ -73,6 +74,20 @@ def test_stages(spark):
     check_places([(row["sequence_id"], row["offset"], row["length"]) for row in packed], 4096)
 
 
+def test_a_row_stands_for_itself_and_not_for_its_id(spark):
+    """Of an id with a copy and a text of its own the copy goes, and rows without an id stay if nothing equals them."""
+    one, two, three, four = (words(500 + at, 70, 3000) for at in range(4))
+    docs = [(1, one, "en", "s0", 5), (2, one, "en", "s0", 5), (2, two, "en", "s0", 5), (None, three, "en", "s1", 5), (None, four, "en", "s1", 5)]
+    docs += [(None, three, "en", "s1", 5), (None, two, "en", "s1", 5)]
+    stages = dict(corpus_pipeline.STAGES)
+    assert len(table(stages["language_id"](spark, frame(spark, docs), ""))) == len(docs)
+    kept = stages["simhash_near_dedup"](spark, frame(spark, docs), "")
+    assert table(kept) == sorted([docs[0], docs[2], docs[3], docs[4]], key=repr)
+    mixed = Counter(table(stages["source_mixing"](spark, frame(spark, docs + [docs[0]]), "")))
+    taken = {row: times for row, times in mixed.items()}
+    assert set(taken) <= set(docs) and taken[docs[0]] <= 6 and sum(times for row, times in taken.items() if row[3] == "s1") >= 4
+
+
 def test_stages_without_documents(spark):
     docs = frame(spark, [])
     for _, stage in corpus_pipeline.STAGES[:-1]:

@@ -47,15 +47,17 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs
     return settled.select("source", "source_size", target.alias("target"))
 
 
-def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 7) -> DataFrame:
-    """(source, doc_id, size, source_size, target, repeats) of every row of ``docs``.
+def plan_mix(
+    docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 7, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """(source, doc_id, size, source_size, target, repeats, and the columns of ``carry``) of every row of ``docs``.
 
     Size is the number of words; null and empty texts have none and are taken as often as any of their source. Rows
     that repeat are counted, and placed, one by one. Other columns are ignored. Runs agree: the order is
     ``md5(seed:doc_id)``, then doc_id and size. Only whole documents are taken.
     """
     place = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), place.alias("place"))
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), place.alias("place"), *carry)
     sized = staged(sized.withColumn("part", F.substring("place", 1, PREFIX_DIGITS)), "mix-sizes")
     parts = staged(sized.groupBy("source", "part").agg(F.sum("size").alias("part_size")), "mix-parts")
     totals = parts.groupBy("source").agg(F.sum("part_size").alias("source_size"))
@@ -72,7 +74,7 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs:
     ratio = F.col("target") / F.col("source_size")
     whole = F.when(F.col("source_size") > 0, F.floor(ratio)).otherwise(0)
     placed = joined.withColumn("whole", whole).select(
-        "source", "doc_id", "size", "source_size", "target", "whole", "place",
+        "source", "doc_id", "size", "source_size", "target", "whole", "place", *carry,
         (F.col("part_start") + F.col("end")).alias("end"),
         (F.col("target") - F.col("whole") * F.col("source_size")).alias("need"),
     )
@@ -90,7 +92,7 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs:
     chosen = placed.join(last, F.col("source").eqNullSafe(F.col("in_source")), "left")
     again = (F.col("end") <= F.col("need")) | ((F.col("end") == F.col("last_end")) & (F.col("size") > 0))
     repeats = F.least(F.col("whole") + F.coalesce(again, F.lit(False)).cast("int"), F.lit(max_epochs)).cast("int")
-    return chosen.select("source", "doc_id", "size", "source_size", "target", repeats.alias("repeats"))
+    return chosen.select("source", "doc_id", "size", "source_size", "target", repeats.alias("repeats"), *carry)
 
 
 def mix_query(spark, sf_dir: str) -> DataFrame:

@@ -49,16 +49,17 @@ def fingerprint(text: bytes, shingle_words: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
-    """(doc_id, fingerprint long with the bits of the unsigned value) of every row."""
+def fingerprints(docs: DataFrame, shingle_words: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fingerprint long with the bits of the unsigned value, and the texts of ``carry``) of every row."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             values = [fingerprint(text_bytes(text), shingle_words) for text in batch["text"]]
             signed = np.array(values, dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fingerprint": signed})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "fingerprint": signed, **{name: batch[name] for name in carry}})
 
-    return anonymous(identified(docs).mapInPandas(of, "doc_id long, fingerprint long"))
+    schema = ", ".join(["doc_id long", "fingerprint long", *[f"{name} string" for name in carry]])
+    return anonymous(identified(docs, *carry).mapInPandas(of, schema))
 
 
 def pivots(number: int = PIVOTS, seed: int = PIVOT_SEED) -> np.ndarray:
@@ -140,21 +141,24 @@ def _bits(value, low: int, number: int):
     return F.shiftrightunsigned(value, low).bitwiseAND(F.lit((1 << number) - 1))
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2) -> DataFrame:
-    """(doc_id, fingerprint long, component_id) of every row; component_id is the smallest doc_id reachable by links.
+def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fingerprint long, component_id, component) of every row, and the texts of ``carry``.
+
+    ``component_id`` is the smallest doc_id reachable by links; ``component``, a fingerprint, names the group even if
+    none of its rows has an id.
 
     Null and empty texts have the fingerprint zero and link with each other like any other; rows that repeat get equal
     results; a null doc_id never names a component unless nothing else is in it. Other columns are ignored.
     """
-    marked = staged(fingerprints(docs, shingle_words), "fingerprints")
+    marked = staged(fingerprints(docs, shingle_words, carry), "fingerprints")
     classes = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"))
     classes = staged(classes, "fingerprint-classes")
     found = components(fingerprint_links(classes.select("fingerprint"), max_bits))
     grouped = classes.join(found, classes["fingerprint"] == found["node"], "left")
     grouped = grouped.select("fingerprint", "first_id", F.coalesce("component", "fingerprint").alias("component"))
     smallest = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = grouped.join(smallest, "component").select("fingerprint", "component_id")
-    return marked.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    named = grouped.join(smallest, "component").select("fingerprint", "component_id", "component")
+    return marked.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id", "component", *carry)
 
 
 def simhash_query(spark, sf_dir: str) -> DataFrame:
