@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import staged
@@ -18,13 +18,19 @@ from tickloom.session import local_folder_if_unset, ship_package
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def document_key() -> Column:
+    """128 bits of all columns, null or not: what tells two rows apart where ids lack or repeat."""
+    parts = [part for name in COLUMNS for part in (F.col(name), F.col(name).isNull())]
+    return F.concat(F.hex(F.xxhash64(*parts)), F.lit(":"), F.hex(F.xxhash64(F.lit(1), *parts)))
+
+
 def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that the corpus declares, with the language found.
 
-    Those that fit chance better than any language go, and those without doc_id, which no later stage could name.
+    Those that fit chance better than any language go. Rows without an id are judged like any other.
     """
     found = decide_documents(docs, docs)
-    known = docs.where("doc_id is not null").select(*COLUMNS, row_key().alias("row_key"))
+    known = docs.select(*COLUMNS, row_key().alias("row_key"))
     languages = known.select("row_key", "lang").distinct().withColumnRenamed("lang", "lang_before")
     changed = found.join(languages, "row_key").where(~F.col("accepted") | ~F.col("lang_found").eqNullSafe(F.col("lang_before")))
     changed = staged(changed.select("row_key", "lang_found", "accepted"), "language-changes")
@@ -33,11 +39,15 @@ def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints link, the one with the smallest id; of rows that share it, the first by text."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    first = docs.join(kept, "doc_id", "left_semi").withColumn("place", place).where("place = 1")
-    return first.select(*COLUMNS)
+    """Of rows whose fingerprints link, the one with the smallest id; rows without an id come last, and ties go by key.
+
+    A row stands for itself and not for its id, so of an id with two texts each can be the one that its group keeps.
+    """
+    keyed = docs.select(*COLUMNS, document_key().alias("row_key"))
+    found = near_duplicates(keyed, carry=("row_key",))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key"))
+    kept = found.groupBy("component").agg(first.alias("first")).select("first.row_key")
+    return keyed.join(kept, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,10 +59,12 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; those it does not take go."""
-    repeats = plan_mix(docs).where("repeats > 0").select("doc_id", "repeats")
-    times = F.explode(F.sequence(F.lit(1), F.col("repeats")))
-    return docs.join(repeats, "doc_id").select(*COLUMNS, times.alias("time")).drop("time")
+    """Documents as often as the mix takes them; those it does not take go. Rows that agree in all columns are one row
+    that is taken as often as all of them."""
+    keyed = docs.select(*COLUMNS, document_key().alias("row_key"))
+    repeats = plan_mix(keyed, carry=("row_key",)).groupBy("row_key").agg(F.sum("repeats").cast("int").alias("repeats"))
+    taken = keyed.dropDuplicates(["row_key"]).join(repeats.where("repeats > 0"), "row_key")
+    return taken.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("time")).drop("time")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
