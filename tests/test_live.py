@@ -5,12 +5,15 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from tickloom.operators.series import retain_recent
+from tickloom.operators.windows import latest_quote
 from tickloom.schemas import CLEAN_TOPIC, SIGNAL_TOPIC
 from tickloom.session import fresh_folder, session_settings
 from tickloom.sources.messages import check_messages, read_messages
 from tickloom.streaming import live, service
 from tickloom.streaming.history import HistoryTable
 from tickloom.streaming.monitor import ProgressLog
+from tickloom.streaming.running import RunningView
 from tickloom.streaming.sinks import file_sink, start_query
 
 START = datetime(2024, 3, 1, tzinfo=timezone.utc)
@@ -67,6 +70,60 @@ def test_time_can_go_on_without_a_silent_input(spark, folder):
         live.merge_settings("sometimes")
 
 
+def test_live_interpolation_keeps_little(spark, folder):
+    """Signals come out when both streams have passed them, and what they need no more is forgotten."""
+    schemas = {
+        "prices": "ticker_symbol STRING, timestamp TIMESTAMP, event_id LONG, regular_market_price DOUBLE",
+        "signals": "ticker_symbol STRING, timestamp TIMESTAMP, moving_avg_price DOUBLE",
+    }
+    with session_settings(spark, service.stateful_settings(2)):
+        for step in range(4):
+            at = [START + timedelta(seconds=1000 * step + second) for second in range(0, 1000, 10)]
+            rows = {
+                "prices": [("A", when, 100 * step + number, float(when.timestamp() % 1000)) for number, when in enumerate(at)],
+                "signals": [("A", when + timedelta(seconds=5), -1.0) for when in at[::5]],
+            }
+            inputs = []
+            for name, schema in schemas.items():
+                spark.createDataFrame(rows[name], schema).coalesce(1).write.mode("append").parquet(f"{folder}/{name}")
+                inputs.append(spark.readStream.schema(schema).parquet(f"{folder}/{name}"))
+            query = start_query(live.interpolate_live(*inputs, reach_seconds=60), "valued", file_sink("valued", f"{folder}/valued"), f"{folder}/checkpoints")
+            query.awaitTermination()
+            state = [sum(part.numRowsTotal for part in progress.stateOperators) for progress in query.recentProgress]
+            assert state[-1] < 60
+    found = spark.read.parquet(f"{folder}/valued").collect()
+    newest = START + timedelta(seconds=3990)
+    assert len({row.timestamp for row in found}) == len(found) >= 78
+    # Between two prices ten seconds apart lies half their sum, but for where the price falls back to 0.
+    fits = [abs(row.signal_value - (row.timestamp.timestamp() % 1000)) < 1e-6 or row.timestamp.timestamp() % 1000 > 990 for row in found]
+    assert all(fits) and max(row.timestamp.replace(tzinfo=timezone.utc) for row in found) < newest
+
+
+def test_views_follow_all_rows_and_forget_idle_tickers(spark, folder):
+    schema = "ticker_symbol STRING, timestamp TIMESTAMP, event_id LONG, regular_market_price DOUBLE"
+    steps = [[("A", 0), ("A", 5), ("B", 1), (None, 2)], [("A", 3), ("B", 9)], [], [("A", 700), ("B", 690), ("A", 650)], [(None, 705), ("A", 500)]]
+
+    def keep(rows):
+        return retain_recent(rows, count=3, seconds=100)
+
+    frames, number = [], 0
+    for step in steps:
+        rows = [(ticker, START + timedelta(seconds=second), number + at, float(second)) for at, (ticker, second) in enumerate(step)]
+        number += len(step)
+        frames.append(spark.createDataFrame(rows, schema))
+    whole = RunningView(spark, f"{folder}/whole", frames[0].schema, keep)
+    newest = RunningView(spark, f"{folder}/newest", frames[0].schema, latest_quote)
+    idle = RunningView(spark, f"{folder}/idle", frames[0].schema, keep, idle_minutes=5)
+    sofar = spark.createDataFrame([], schema)
+    for at, rows in enumerate(frames):
+        sofar = sofar.union(rows)
+        for _ in range(2):
+            assert sorted(map(str, whole.take(rows, at).collect())) == sorted(map(str, keep(sofar).collect()))
+            assert sorted(map(str, newest.take(rows, at).collect())) == sorted(map(str, latest_quote(sofar).select(*sofar.columns).collect()))
+            shown = {row.ticker_symbol for row in idle.take(rows, at).collect()}
+        assert shown == ({"A", "B", None} if at != 3 else {"A", "B"})
+
+
 def rows_of(spark, first, number, hours=0):
     start = int((START + timedelta(hours=hours)).timestamp())
     return spark.range(first, first + number).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(start) + F.col("id") % 60).alias("timestamp"))

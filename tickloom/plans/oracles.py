@@ -15,6 +15,7 @@ from tickloom.plans.queries import (
     HISTORY_UNTIL,
     HOUR,
     LATE_DAY,
+    LIVE_REACH,
     LONG_WINDOW,
     RECENT_SECONDS,
     TIE_SHIFT,
@@ -270,6 +271,25 @@ select ticker_symbol, "timestamp", {_rounded("moving_avg_price", "signal_value")
   from matched)""",
 )
 
+_INTERPOLATED_LIVE = _with(
+    _signals(_ALL_WINDOWS)
+    + f""",
+prices as (select event_type as ticker_symbol, ts, event_id, value, epoch_us(ts) as micros from events),
+near as (
+  select s.ticker_symbol, s."timestamp", max(s.moving_avg_price) as moving_avg_price, epoch_us(s."timestamp") as x, count(p.ts) as n,
+    max(row(micros, event_id, value)) filter (p.ts <= s."timestamp") as before, min(row(micros, event_id, value)) filter (p.ts >= s."timestamp") as after
+  from signals s left join prices p on p.ticker_symbol = s.ticker_symbol
+    and p.ts between s."timestamp" - interval {LIVE_REACH} second and s."timestamp" + interval {LIVE_REACH} second
+  group by all
+)""",
+    f"""
+select ticker_symbol, "timestamp", {_rounded("moving_avg_price", "signal_value")} from (
+  select *, case when n < 2 then moving_avg_price when after[1] = x then after[3]
+    when before is null or after is null then moving_avg_price
+    else before[3] + (after[3] - before[3]) * (cast(x - before[1] as double) / (after[1] - before[1])) end as signal_value
+  from near)""",
+)
+
 _RETAINED = f"""
 select ticker_symbol, "timestamp", event_id, regular_market_price from (
   select event_type as ticker_symbol, ts as "timestamp", event_id, value as regular_market_price,
@@ -539,6 +559,17 @@ from stamped""",
         f"""select fit as batch_id, ticker_symbol, {_rounded("regular_market_price", "prediction", "ratio")}, {_OLS} from signalled""",
     ),
     "stream_multiplex": _merged("kind", "quote", "signal"),
+    "stream_latest_quote": _LATEST,
+    "stream_retain_recent": _with(
+        _CLEAN,
+        f"""
+select ticker_symbol, "timestamp", event_id, regular_market_price from (
+  select *, row_number() over (partition by ticker_symbol order by "timestamp" desc, event_id desc) as n,
+    max("timestamp") over (partition by ticker_symbol) as newest
+  from clean)
+where n <= 180 and "timestamp" >= newest - interval {RECENT_SECONDS} second""",
+    ),
+    "stream_interpolate": _INTERPOLATED_LIVE,
     "stream_late_rows": f"""
 select 'late-rows' as query_name, count(*) as late_rows from (
   select distinct event_type, date_trunc('hour', ts) - k * interval 1 hour from events, (select unnest(generate_series(0, 5)) as k)

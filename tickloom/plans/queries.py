@@ -32,6 +32,7 @@ from tickloom.sources.pages import extract_quotes
 from tickloom.streaming import live, service
 from tickloom.streaming.history import HistoryTable
 from tickloom.streaming.monitor import ProgressLog
+from tickloom.streaming.running import RunningView
 from tickloom.streaming.sinks import fan_out, file_sink, quarantine, start_query
 from tickloom.streaming.training import TrainingState
 
@@ -42,6 +43,7 @@ AS_OF = "2024-01-25 00:00:00"
 BARS_FROM, BARS_TO = "1993-01-01", "1998-01-01"
 RECENT_SECONDS = 232_000
 LATE_DAY = ("2024-01-02", "2024-01-03")
+LIVE_REACH, CLOCK = 2 * HOUR, "~clock"
 HISTORY_UNTIL = "2024-01-20"
 ALL_MINUTES = 60 * 24 * 366 * 10  # longer than the events last
 # The ``*_segmented`` queries cut a table into about this many segments, so that every scale has cut keys.
@@ -456,6 +458,46 @@ def _stream_multiplex(spark, folder):
     return _read_back(both[0].unionByName(both[1]), "kind").select("kind", *shown)
 
 
+def _stream_view(keep: Callable[[DataFrame], DataFrame], *names: str) -> Query:
+    """A view that follows the quotes, as the last of four batches has left it."""
+
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        staged = _Staged(spark, folder, "view")
+        quotes = staged.quotes if not names else lambda: staged.quotes().select(*names)
+        view = None
+
+        def take(rows: DataFrame, batch_id: int) -> None:
+            nonlocal view
+            view = view or RunningView(spark, f"{staged.root}/view", rows.schema, keep)
+            view.take(rows, batch_id).write.mode("overwrite").parquet(f"{staged.root}/shown")
+
+        for messages in staged.steps(4):
+            staged.lay_down(messages)
+            staged.run(quotes(), "view", take)
+        return staged.table("shown")
+
+    return query
+
+
+def _stream_interpolate(spark, folder):
+    """Signals and prices as two streams. Last comes a price and a signal of another ticker, by which all others are closed."""
+    staged = _Staged(spark, folder, "interpolate")
+    prices, signals = samples.prices(spark, folder), _signals(spark, folder).select(TICKER, TIMESTAMP, "moving_avg_price")
+    later = (F.max(TIMESTAMP) + F.expr("interval 10 days")).alias(TIMESTAMP)
+    closing = prices.groupBy(F.lit(CLOCK).alias(TICKER)).agg(later, F.lit(0).cast("long").alias("event_id"), F.lit(1.0).alias(PRICE))
+    clock = closing.select(TICKER, TIMESTAMP, F.lit(1.0).alias("moving_avg_price"))
+    spans = samples.event_span(spark, folder, 3)
+    parts = [[rows.where((F.col(TIMESTAMP) >= a) & ((F.col(TIMESTAMP) < b) | F.lit(at == 2))) for rows in (prices, signals)] for at, (a, b) in enumerate(spans)]
+    with session_settings(spark, _state(spark)):
+        for some_prices, some_signals in (*parts, (closing, clock)):
+            inputs = []
+            for name, rows in (("prices", some_prices), ("signals", some_signals)):
+                rows.coalesce(1).write.mode("append").parquet(f"{staged.root}/{name}")
+                inputs.append(spark.readStream.schema(rows.schema).parquet(f"{staged.root}/{name}"))
+            staged.run(live.interpolate_live(*inputs, reach_seconds=LIVE_REACH), "interpolate", staged.sink("valued"))
+    return staged.table("valued").select(TICKER, TIMESTAMP, "moving_avg_price", "signal_value").where(F.col(TICKER) != CLOCK)
+
+
 def _stream_late_rows(spark, folder):
     """What the running query reports of quotes that came too late: each ticker and window of theirs."""
     late = (F.col(TIMESTAMP) >= LATE_DAY[0]) & (F.col(TIMESTAMP) < LATE_DAY[1])
@@ -577,6 +619,11 @@ QUERIES: dict[str, Query] = {
     "stream_fanout": _stream_fanout,
     "stream_ols_signal": _stream_ols,
     "stream_multiplex": _stream_multiplex,
+    "stream_latest_quote": _stream_view(latest_quote),
+    "stream_retain_recent": _stream_view(
+        lambda rows: retain_recent(rows, seconds=RECENT_SECONDS), TICKER, TIMESTAMP, "event_id", PRICE
+    ),
+    "stream_interpolate": _stream_interpolate,
     "stream_late_rows": _stream_late_rows,
     "stream_history": _stream_history,
     "stream_quarantine": _stream_quarantine,

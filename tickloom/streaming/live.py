@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.messages import dispatch, multiplex
-from tickloom.schemas import TIMESTAMP
+from tickloom.schemas import PRICE, TICKER, TIMESTAMP
 from tickloom.sources.messages import FILE_SEQUENCE
 from tickloom.streaming.sinks import Sink
 
@@ -51,3 +51,43 @@ def dispatch_to(sinks: Mapping[str, Sequence[Sink]]) -> Callable[[DataFrame, int
             told.unpersist()
 
     return write
+
+
+def interpolate_live(
+    prices: DataFrame,
+    signals: DataFrame,
+    reach_seconds: int = 180,
+    delay: str = "10 seconds",
+    sequence: Sequence[str] = FILE_SEQUENCE,
+) -> DataFrame:
+    """Add ``signal_value`` to a stream of signals: the height of the price stream's line at each signal's time.
+
+    As ``operators.series.interpolate_signals``, for prices up to ``reach_seconds`` away: the price at exactly that time,
+    else the straight line between the prices around it, else, where one side has none in reach or there is only one,
+    the moving average. A signal comes out once, when both streams have passed it by the reach and ``delay``; until then
+    the join keeps it, and prices are kept as long as a signal could need them, so state is bounded by rate and reach.
+    """
+    point = F.struct(F.unix_micros(TIMESTAMP).alias("at"), *[F.col(name) for name in sequence], F.col(PRICE).alias("price"))
+    points = prices.where(F.col(PRICE).isNotNull()).select(F.col(TICKER).alias("_ticker"), F.col(TIMESTAMP).alias("_time"), point.alias("_point"))
+    points = points.withWatermark("_time", delay)
+    reach = F.expr(f"interval {int(reach_seconds)} seconds")
+    near = (
+        F.col(TICKER).eqNullSafe(F.col("_ticker"))
+        & (F.col("_time") >= F.col(TIMESTAMP) - reach)
+        & (F.col("_time") <= F.col(TIMESTAMP) + reach)
+    )
+    # Prices go on as plain numbers: the signal's time is the only one that the next step follows.
+    joined = signals.withWatermark(TIMESTAMP, delay).join(points, near, "left").select(*signals.columns, "_point")
+    at, own = F.unix_micros(TIMESTAMP), F.col("_point")
+    around = joined.groupBy(*signals.columns).agg(
+        F.max(F.when(own["at"] <= at, own)).alias("_before"), F.min(F.when(own["at"] >= at, own)).alias("_after"), F.count("_point").alias("_prices")
+    )
+    before, after, average = F.col("_before"), F.col("_after"), F.col("moving_avg_price")
+    share = F.try_divide(at - before["at"], after["at"] - before["at"])
+    value = (
+        F.when(F.col("_prices") < 2, average)
+        .when(after["at"] == at, after["price"])
+        .when(before.isNull() | after.isNull(), average)
+        .otherwise(before["price"] + (after["price"] - before["price"]) * share)
+    )
+    return around.select(*signals.columns, value.alias("signal_value"))
