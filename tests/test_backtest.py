@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.plans import backtest as bt
-from tickloom.sources.bars import daily_close
+from tickloom.session import fresh_folder
+from tickloom.sources import samples
+from tickloom.sources.bars import daily_close, store_bars
 
 SCHEMA = "ticker_symbol STRING, day INT, close DOUBLE"
 
@@ -117,3 +119,16 @@ def test_bars_without_a_ticker_are_a_series_of_their_own(spark):
 def test_more_lags_shorten_the_series(spark):
     two, four = (bt.backtest(bars(spark, walks()), lags=n).count() for n in (2, 4))
     assert two - four == 2 * 3
+
+
+def test_stored_bars_need_no_shuffle_and_no_sort(spark, sf_dir):
+    place = fresh_folder(spark, "bars")
+    name = place.rpartition("/")[2].replace("-", "_")
+    bars = samples.daily_bars(spark, sf_dir)
+    stored = store_bars(bars, name, place, 4)
+    assert sorted(map(tuple, stored.select(*bars.columns).collect())) == sorted(map(tuple, bars.collect()))
+    laid_out, layout = bt.lay_out(stored)
+    plan = bt.log_returns(laid_out, layout)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "Exchange" not in plan and "Sort [" not in plan
+    counted = stored.groupBy("ticker_symbol").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in counted

@@ -12,7 +12,7 @@ from tickloom.session import fresh_folder, session_settings
 from tickloom.sources.messages import check_messages, read_messages
 from tickloom.streaming import live, service
 from tickloom.streaming.history import HistoryTable
-from tickloom.streaming.monitor import ProgressLog
+from tickloom.streaming.monitor import ProgressLog, audit_state, state_keys
 from tickloom.streaming.running import RunningView
 from tickloom.streaming.sinks import file_sink, start_query
 
@@ -192,3 +192,14 @@ def test_problems_of_messages(spark):
     assert [row.problem for row in found] == [
         None, None, "no value", "not JSON", "not JSON", "not an object", "not an object", "not an object", "no ticker", "no ticker", "no ticker",
     ]
+
+
+def test_state_of_a_stopped_query(spark, folder):
+    with session_settings(spark, service.stateful_settings(3)):
+        lay_down(spark, f"{folder}/quotes", [quote(ticker, second, second) for second in (0, 500, 505, 520) for ticker in "AB"])
+        rows = read_messages(spark, "parquet", path=f"{folder}/quotes").withWatermark("timestamp", "10 seconds")
+        windows = rows.groupBy("key", F.window("timestamp", "10 seconds")).count()
+        start_query(windows, "counted", file_sink("counts", f"{folder}/counts"), f"{folder}/checkpoints").awaitTermination()
+    (row,) = audit_state(spark, f"{folder}/checkpoints/counted").collect()
+    assert (row.operator, row.partitions, row.keys) == ("stateStoreSave", 3, 2) and 1 <= row.most_keys <= 2 and row.empty in (1, 2)
+    assert state_keys(spark, f"{folder}/checkpoints/counted").select("key.window.start").distinct().count() == 1

@@ -570,6 +570,11 @@ select ticker_symbol, "timestamp", event_id, regular_market_price from (
 where n <= 180 and "timestamp" >= newest - interval {RECENT_SECONDS} second""",
     ),
     "stream_interpolate": _INTERPOLATED_LIVE,
+    "stream_open_windows": """
+select ticker_symbol, count(*) as open_windows, min("end") as first_end from (
+  select distinct event_type as ticker_symbol, date_trunc('hour', ts) - k * interval 1 hour + interval 6 hour as "end"
+  from events, (select unnest(generate_series(0, 5)) as k))
+where "end" > (select max(date_trunc('second', ts)) - interval 1 second from events) group by 1""".strip(),
     "stream_late_rows": f"""
 select 'late-rows' as query_name, count(*) as late_rows from (
   select distinct event_type, date_trunc('hour', ts) - k * interval 1 hour from events, (select unnest(generate_series(0, 5)) as k)
@@ -622,6 +627,7 @@ from coefficients""",
     "trade_markers": _MARKED,
     "backtest": _TESTED,
     "backtest_segmented": _TESTED,
+    "backtest_stored": _TESTED,
     "stream_clean_quotes": _CLEAN_ALL,
     "stream_restart": _CLEAN_ALL,
     "stream_gen_signal": _closed(),

@@ -26,12 +26,12 @@ from tickloom.plans.signals import gen_signal
 from tickloom.schemas import CLEAN_TYPES, FEATURES, PRICE, TICKER, TIMESTAMP
 from tickloom.session import QUERY_SETTINGS, apply_settings, fresh_folder, local_folder_if_unset, session_settings
 from tickloom.sources import samples
-from tickloom.sources.bars import daily_close
+from tickloom.sources.bars import daily_close, store_bars
 from tickloom.sources.messages import check_messages, decode_messages, read_messages
 from tickloom.sources.pages import extract_quotes
 from tickloom.streaming import live, service
 from tickloom.streaming.history import HistoryTable
-from tickloom.streaming.monitor import ProgressLog
+from tickloom.streaming.monitor import ProgressLog, state_keys
 from tickloom.streaming.running import RunningView
 from tickloom.streaming.sinks import fan_out, file_sink, quarantine, start_query
 from tickloom.streaming.training import TrainingState
@@ -42,6 +42,7 @@ LONG_WINDOW = 240 * HOUR
 AS_OF = "2024-01-25 00:00:00"
 BARS_FROM, BARS_TO = "1993-01-01", "1998-01-01"
 RECENT_SECONDS = 232_000
+BAR_BUCKETS = 8
 LATE_DAY = ("2024-01-02", "2024-01-03")
 LIVE_REACH, CLOCK = 2 * HOUR, "~clock"
 HISTORY_UNTIL = "2024-01-20"
@@ -498,6 +499,27 @@ def _stream_interpolate(spark, folder):
     return staged.table("valued").select(TICKER, TIMESTAMP, "moving_avg_price", "signal_value").where(F.col(TICKER) != CLOCK)
 
 
+def _backtest_stored(spark, folder):
+    """The backtest over bars that are stored by ticker."""
+    place = fresh_folder(spark, "bars")
+    name = place.rpartition("/")[2].replace("-", "_")
+    return bt.backtest(store_bars(_bars(spark, folder), name, place, BAR_BUCKETS))
+
+
+def _stream_open_windows(spark, folder):
+    """What a windowed query holds after its last restart: the windows that its watermark has not passed."""
+    staged = _Staged(spark, folder, "open-windows")
+    with session_settings(spark, _state(spark)):
+        for messages in staged.steps(2):
+            staged.lay_down(messages)
+            signals = gen_signal(staged.quotes(), WINDOW, HOUR, watermark=service.WATERMARK, use_panes=False)
+            staged.run(signals, "signals", staged.sink("signals"))
+    keys = state_keys(spark, f"{staged.root}/checkpoints/signals")
+    return keys.groupBy(F.col(f"key.{TICKER}").alias(TICKER)).agg(
+        F.count(F.lit(1)).alias("open_windows"), F.min("key.window.end").alias("first_end")
+    )
+
+
 def _stream_late_rows(spark, folder):
     """What the running query reports of quotes that came too late: each ticker and window of theirs."""
     late = (F.col(TIMESTAMP) >= LATE_DAY[0]) & (F.col(TIMESTAMP) < LATE_DAY[1])
@@ -611,6 +633,7 @@ QUERIES: dict[str, Query] = {
     "trade_markers": _markers,
     "backtest": _backtest(segmented=False),
     "backtest_segmented": _backtest(segmented=True),
+    "backtest_stored": _backtest_stored,
     "stream_clean_quotes": _stream_clean(steps=1),
     "stream_restart": _stream_clean(steps=3),
     "stream_gen_signal": _stream_gen_signal(use_panes=False),
@@ -624,6 +647,7 @@ QUERIES: dict[str, Query] = {
         lambda rows: retain_recent(rows, seconds=RECENT_SECONDS), TICKER, TIMESTAMP, "event_id", PRICE
     ),
     "stream_interpolate": _stream_interpolate,
+    "stream_open_windows": _stream_open_windows,
     "stream_late_rows": _stream_late_rows,
     "stream_history": _stream_history,
     "stream_quarantine": _stream_quarantine,

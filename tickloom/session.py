@@ -17,6 +17,8 @@ from pyspark.sql import SparkSession
 QUERY_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Bucketed tables of this library have one file a bucket, so a scan has the order they were written in.
+    "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
 }
 
 # For a large cluster: plan again with real sizes at run time, split what is skewed, and aim at partitions that fit
@@ -57,12 +59,14 @@ def local_folder_if_unset(spark: SparkSession) -> None:
 def ship_package(spark: SparkSession) -> None:
     """Let Python workers import this package, where they would not find it by themselves.
 
-    They do where it is installed or on PYTHONPATH, and in local mode from the folder that holds it.
+    In local mode they do from the driver's working folder or PYTHONPATH. On a cluster neither need be theirs, so it is
+    sent to them.
     """
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     application = spark.sparkContext.applicationId
+    local = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
     found = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
-    if application in _SHIPPED or any(path and os.path.realpath(path) == os.path.realpath(root) for path in found):
+    if application in _SHIPPED or local and any(path and os.path.realpath(path) == os.path.realpath(root) for path in found):
         return
     package = os.path.basename(os.path.dirname(os.path.abspath(__file__)))
     archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix=f"{package}-"), package), "zip", root, package)

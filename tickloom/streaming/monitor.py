@@ -8,8 +8,10 @@ from collections import deque
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+AUDIT = "operator_id LONG, operator STRING, batch_id LONG, partitions LONG, keys LONG, most_keys LONG, empty LONG"
 PROGRESS = "query_name STRING, batch_id LONG, input_rows LONG, late_rows LONG, state_rows LONG, millis LONG"
 
 
@@ -24,6 +26,32 @@ class Totals:
     recent: deque = field(default_factory=lambda: deque(maxlen=1000))
 
 
+def state_keys(spark: SparkSession, checkpoint: str, operator: int = 0) -> DataFrame:
+    """(partition_id, key, value) of what a stateful step of a stopped or running query has committed last."""
+    return spark.read.format("statestore").option("operatorId", operator).load(checkpoint)
+
+
+def audit_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """One row per stateful step of a query: operator_id, operator, batch_id, partitions, keys, most_keys and empty.
+
+    ``partitions`` is what the first start has fixed, ``most_keys`` the number of keys in the fullest of them and
+    ``empty`` how many hold none: a few full ones among empty ones are keys that were not dealt evenly, or partitions that
+    are too few for a larger load or too many for this one.
+    """
+    rows = spark.read.format("state-metadata").load(checkpoint).collect()
+    found = None
+    for row in rows:
+        own = state_keys(spark, checkpoint, row.operatorId).groupBy("partition_id").agg(F.count(F.lit(1)).alias("n"))
+        counted = own.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("keys"), F.coalesce(F.max("n"), F.lit(0)).alias("most_keys"), F.count(F.lit(1)).alias("used"))
+        told = counted.select(
+            F.lit(row.operatorId).cast("long").alias("operator_id"), F.lit(row.operatorName).alias("operator"),
+            F.lit(row.maxBatchId).cast("long").alias("batch_id"), F.lit(row.numPartitions).cast("long").alias("partitions"),
+            "keys", "most_keys", (F.lit(row.numPartitions) - F.col("used")).alias("empty"),
+        )
+        found = told if found is None else found.unionByName(told)
+    return spark.createDataFrame([], AUDIT) if found is None else found
+
+
 class ProgressLog(StreamingQueryListener):
     """Counts per named query, and the last thousand batches of each.
 
