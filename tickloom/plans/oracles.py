@@ -580,6 +580,7 @@ select 'late-rows' as query_name, count(*) as late_rows from (
   select distinct event_type, date_trunc('hour', ts) - k * interval 1 hour from events, (select unnest(generate_series(0, 5)) as k)
   where not ({_ON_TIME}))""".strip(),
     "stream_history": _CLEAN_ALL + f"""\nwhere "timestamp" < timestamp '{HISTORY_UNTIL}' + interval 1 day""",
+    "stream_once": _CLEAN_ALL,
     "stream_quarantine": _with(
         _CLEAN,
         f"""

@@ -32,6 +32,7 @@ from tickloom.sources.pages import extract_quotes
 from tickloom.streaming import live, service
 from tickloom.streaming.history import HistoryTable
 from tickloom.streaming.monitor import ProgressLog, state_keys
+from tickloom.streaming.once import publish_once, published
 from tickloom.streaming.running import RunningView
 from tickloom.streaming.sinks import fan_out, file_sink, quarantine, start_query
 from tickloom.streaming.training import TrainingState
@@ -548,6 +549,16 @@ def _stream_history(spark, folder):
     return table.days("2000-01-01", HISTORY_UNTIL).select(TICKER, TIMESTAMP, "event_id", *CLEAN_TYPES)
 
 
+def _stream_once(spark, folder):
+    """Clean quotes published batch by batch, each as a whole and once."""
+    staged = _Staged(spark, folder, "once")
+    for messages in staged.steps(3):
+        staged.lay_down(messages)
+        quotes = staged.quotes().select(TICKER, TIMESTAMP, "event_id", *CLEAN_TYPES)
+        publish_once(quotes, "once", f"{staged.root}/once", f"{staged.root}/checkpoints").awaitTermination()
+    return published(spark, f"{staged.root}/once", quotes.schema)
+
+
 def _damaged(spark: SparkSession, folder: str) -> DataFrame:
     """The messages, some of them cut short, of another shape, without a ticker or without a value."""
     event = F.col("event_id")
@@ -650,6 +661,7 @@ QUERIES: dict[str, Query] = {
     "stream_open_windows": _stream_open_windows,
     "stream_late_rows": _stream_late_rows,
     "stream_history": _stream_history,
+    "stream_once": _stream_once,
     "stream_quarantine": _stream_quarantine,
     "stream_training_set": _stream_training_set(ml.LABEL_HORIZON),
     "stream_training_set_lead": _stream_training_set(-ml.LABEL_HORIZON),
