@@ -183,6 +183,74 @@ def test_quality_sample_takes_texts_whole(spark, monkeypatch):
     assert quality.train(docs, labels) == 41 / 81
 
 
+def plain_score(model, passages):
+    """One text, a passage and a number at a time."""
+    w = {name: value.tolist() for name, value in model.layers.items()}
+    codes, raws = [], []
+    for passage in passages:
+        x = [min(8, max(-8, (value - mean) / spread)) for value, mean, spread in zip(passage, model.mean, model.deviation)]
+        code = [math.tanh(sum(a * row[k] for a, row in zip(x, w["code"])) + w["code_bias"][k]) for k in range(len(w["code_bias"]))]
+        value = [math.tanh(sum(a * row[k] for a, row in zip(code, w["value"]))) for k in range(len(w["gate_bias"]))]
+        gate = [1 / (1 + math.exp(-sum(a * row[k] for a, row in zip(code, w["gate"])) - w["gate_bias"][k])) for k in range(len(w["gate_bias"]))]
+        codes.append(code)
+        raws.append(sum(a * b * c for a, b, c in zip(value, gate, w["weight"])))
+    shares = [math.exp(raw - max(raws)) for raw in raws]
+    whole = [sum(share * code[k] for share, code in zip(shares, codes)) / sum(shares) for k in range(len(w["out"]))]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(whole, w["out"])) - w["bias"][0]))
+
+
+def test_scores_like_one_text_at_a_time(spark):
+    texts = [words(1, 300), words(2, 64), "", None, "A b! " * 70, words(3, 65) + " ü|"]
+    bags = [quality.encode([plain_bytes(text)])[0].astype(float) for text in [words(at, 30 + 9 * at) for at in range(30)]]
+    model = quality.Attention(quality.NUMBERS).fit(bags, np.arange(30) % 2 * 1.0, np.ones(30))
+    found = quality.score(frame(spark, [(at, text, None, None, None) for at, text in enumerate(texts)]), model).collect()
+    for row in found:
+        passages = quality.encode([plain_bytes(texts[row["doc_id"]])])[0].tolist()
+        assert row["score"] == pytest.approx(plain_score(model, passages), abs=1e-6)
+
+
+def test_fused_evidence_like_one_row_at_a_time(spark):
+    """The posterior of every row from counts over the other rows, in plain Python; text likelihoods as they are read."""
+    german = str.maketrans("w", "ß")
+    told = [(words(at, 80, 300), "en") for at in range(8)] + [(words(at, 80, 300).translate(german), "de") for at in range(8)]
+    source, given = np.random.default_rng(3), []
+    for at in range(40):
+        text = None if at % 9 == 0 else words(50 + at, 3 + at % 20, 300).translate(german if at % 3 else {})
+        pick = lambda *some: some[source.integers(len(some))]
+        given.append((f"r{at}", text, pick("en", "de", None), pick("com", "de", None), pick("a.x", "b.x", "c.y", None), pick("x", "y", None)))
+    rows = spark.createDataFrame(given, "row_id string, text string, declared string, suffix string, host string, domain string")
+    labelled = spark.createDataFrame(told, "text string, lang string")
+    found = {row["row_id"]: row for row in language.identify(rows, labelled).collect()}
+    ((names, shares, last),) = language.likelihoods(labelled)
+    evidence = {row["row_id"]: list(row["evidence"]) for row in language.text_evidence(rows, shares, False, last).collect()}
+    names, texts = [*names, language.NONE], {}
+    for row_id, own in evidence.items():
+        texts[row_id] = None if not any(own) else names[own.index(max(own))]
+    sure = [(row, texts[row[0]]) for row in given if texts[row[0]]]
+    for row in given:
+        others = [(other, lang) for other, lang in sure if other[0] != row[0]]
+
+        def counted(keys, lang=None):
+            return sum(all(other[key] == row[key] for key in keys) and lang in (None, own) for other, own in others)
+
+        scores = []
+        for place, lang in enumerate(names):
+            share = (counted([], lang) + language.PSEUDO / len(names)) / (counted([]) + language.PSEUDO)
+            for keys in ([5], [4, 5]):
+                share = (counted(keys, lang) + language.PSEUDO * share) / (counted(keys) + language.PSEUDO)
+            score = evidence[row[0]][place] + math.log(share)
+            for key in (2, 3):
+                if row[key] is not None:
+                    score += math.log((counted([key], lang) + 0.5) / (counted([], lang) + 0.5 * language.PSEUDO))
+            scores.append(score)
+        posterior = 1 / sum(math.exp(score - max(scores)) for score in scores)
+        best = max(zip(scores, names))[1]
+        accepted = best != language.NONE and posterior > language.LEAST_POSTERIOR
+        one = found[row[0]]
+        assert one["posterior"] == pytest.approx(posterior, rel=1e-9) and one["accepted"] == accepted
+        assert one["lang"] == (best if accepted else language.NONE)
+
+
 def test_quality_gradients():
     random = np.random.default_rng(0)
     model = quality.Attention(6)
