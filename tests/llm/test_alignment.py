@@ -109,6 +109,13 @@ def test_pointers_reach_the_last_token_of_a_group():
         assert np.array_equal(ends[1][last_b], both)
 
 
+def test_very_long_white_space():
+    tokenizer = alignment.ByteTokenizer(public_tokenizers.path(NAMES[0]))
+    whole = Tokenizer.from_file(public_tokenizers.path(NAMES[0]))
+    for text in (" " * 1_000_000, " " * 300_000 + "x", "a b" + "\n" * 400_000):
+        assert tokenizer.encode([text]) == [whole.encode(text, add_special_tokens=False).ids]
+
+
 def test_words_join_to_the_text():
     for text in texts():
         if text:

@@ -73,16 +73,29 @@ class ByteTokenizer:
             import tiktoken  # merges by rank, and the ranks are the ids here
 
             own = tiktoken.Encoding("own", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
-            self._encode = lambda texts: [own.encode_ordinary(text) for text in texts]
+            self._one = own.encode_ordinary
         else:
+            self._one = None
+        self._path, self._whole = path, None
+
+    def _by_whole_tokenizer(self, texts: Sequence[str]) -> list[list[int]]:
+        if self._whole is None:
             from tokenizers import Tokenizer
 
-            whole = Tokenizer.from_file(path)
-            whole.encode_special_tokens = True
-            self._encode = lambda texts: [found.ids for found in whole.encode_batch(texts, add_special_tokens=False)]
+            self._whole = Tokenizer.from_file(self._path)
+            self._whole.encode_special_tokens = True
+        return [found.ids for found in self._whole.encode_batch(texts, add_special_tokens=False)]
+
+    def _careful(self, text: str) -> list[int]:
+        try:
+            return self._one(text)
+        except BaseException as error:  # white space without end overflows the stack that cuts the text, as a panic
+            if type(error).__name__ not in ("PanicException", "ValueError"):
+                raise
+            return self._by_whole_tokenizer([text])[0]
 
     def encode(self, texts: Sequence[str]) -> list[list[int]]:
-        return self._encode(texts)
+        return self._by_whole_tokenizer(texts) if self._one is None else [self._careful(text) for text in texts]
 
 
 class PieceTokenizer:
