@@ -485,6 +485,8 @@ def _stream_interpolate(spark, folder):
     """Signals and prices as two streams. Last comes a price and a signal of another ticker, by which all others are closed."""
     staged = _Staged(spark, folder, "interpolate")
     prices, signals = samples.prices(spark, folder), _signals(spark, folder).select(TICKER, TIMESTAMP, "moving_avg_price")
+    signals.write.parquet(f"{staged.root}/all-signals")  # read for each part
+    signals = spark.read.schema(signals.schema).parquet(f"{staged.root}/all-signals")
     later = (F.max(TIMESTAMP) + F.expr("interval 10 days")).alias(TIMESTAMP)
     closing = prices.groupBy(F.lit(CLOCK).alias(TICKER)).agg(later, F.lit(0).cast("long").alias("event_id"), F.lit(1.0).alias(PRICE))
     clock = closing.select(TICKER, TIMESTAMP, F.lit(1.0).alias("moving_avg_price"))
@@ -494,7 +496,7 @@ def _stream_interpolate(spark, folder):
         for some_prices, some_signals in (*parts, (closing, clock)):
             inputs = []
             for name, rows in (("prices", some_prices), ("signals", some_signals)):
-                rows.coalesce(1).write.mode("append").parquet(f"{staged.root}/{name}")
+                rows.write.mode("append").parquet(f"{staged.root}/{name}")
                 inputs.append(spark.readStream.schema(rows.schema).parquet(f"{staged.root}/{name}"))
             staged.run(live.interpolate_live(*inputs, reach_seconds=LIVE_REACH), "interpolate", staged.sink("valued"))
     return staged.table("valued").select(TICKER, TIMESTAMP, "moving_avg_price", "signal_value").where(F.col(TICKER) != CLOCK)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.messages import dispatch, multiplex
@@ -16,6 +16,9 @@ from tickloom.streaming.sinks import Sink
 # longer, or time follows the input that is ahead and messages behind it by more than the delay are lost.
 WAIT, GO_ON = "min", "max"
 
+# Live interpolation cuts time into this many steps per reach.
+STEPS_PER_REACH = 4
+
 
 def merge_settings(silent_input: str = WAIT) -> dict[str, str]:
     """Settings to start a merged query with."""
@@ -64,25 +67,41 @@ def interpolate_live(
 
     As ``operators.series.interpolate_signals``, for prices up to ``reach_seconds`` away: the price at exactly that time,
     else the straight line between the prices around it, else, where one side has none in reach or there is only one,
-    the moving average. A signal comes out once, when both streams have passed it by the reach and ``delay``; until then
-    the join keeps it, and prices are kept as long as a signal could need them, so state is bounded by rate and reach.
+    the moving average. Time is cut into steps, ``STEPS_PER_REACH`` to a reach. The signals of a step come out once, when
+    both streams have passed the step by the reach and ``delay``. Until then state has one row per ticker and step: its
+    signals and prices, and the nearest price in reach on either side, so it is bounded by rate and reach. A price meets
+    the signals of its own step only, not all of its ticker's.
     """
-    point = F.struct(F.unix_micros(TIMESTAMP).alias("at"), *[F.col(name) for name in sequence], F.col(PRICE).alias("price"))
-    points = prices.where(F.col(PRICE).isNotNull()).select(F.col(TICKER).alias("_ticker"), F.col(TIMESTAMP).alias("_time"), point.alias("_point"))
-    points = points.withWatermark("_time", delay)
+    step = max(1, int(reach_seconds * 1000) // STEPS_PER_REACH)
     reach = F.expr(f"interval {int(reach_seconds)} seconds")
-    near = (
-        F.col(TICKER).eqNullSafe(F.col("_ticker"))
-        & (F.col("_time") >= F.col(TIMESTAMP) - reach)
-        & (F.col("_time") <= F.col(TIMESTAMP) + reach)
+    # A sliding window is a step and the reach around it. Signals are in the windows whose step is theirs.
+    around = F.window(TIMESTAMP, f"{step + 2 * int(reach_seconds) * 1000} milliseconds", f"{step} milliseconds")
+    point = F.struct(F.unix_micros(TIMESTAMP).alias("at"), *[F.col(name) for name in sequence], F.col(PRICE).alias("price"))
+    points = prices.where(F.col(PRICE).isNotNull()).withColumn("_point", point).select(TICKER, TIMESTAMP, "_point")
+    told = signals.withColumn("_signal", F.struct(*signals.columns)).select(TICKER, TIMESTAMP, "_signal")
+    rows = points.withWatermark(TIMESTAMP, delay).unionByName(told.withWatermark(TIMESTAMP, delay), allowMissingColumns=True)
+    rows = rows.withColumn("_around", around)
+    early, late = (F.col(TIMESTAMP) < F.col("_around.start") + reach), (F.col(TIMESTAMP) >= F.col("_around.end") - reach)
+    rows = rows.where(F.col("_signal").isNull() | ~(early | late))
+    own = F.col("_point")
+    steps = rows.groupBy("_around", TICKER).agg(
+        F.max(F.when(early, own)).alias("_earlier"),
+        F.min(F.when(late, own)).alias("_later"),
+        F.collect_list(F.when(~(early | late), own)).alias("_points"),
+        F.collect_set("_signal").alias("_signals"),
     )
-    # Prices go on as plain numbers: the signal's time is the only one that the next step follows.
-    joined = signals.withWatermark(TIMESTAMP, delay).join(points, near, "left").select(*signals.columns, "_point")
-    at, own = F.unix_micros(TIMESTAMP), F.col("_point")
-    around = joined.groupBy(*signals.columns).agg(
-        F.max(F.when(own["at"] <= at, own)).alias("_before"), F.min(F.when(own["at"] >= at, own)).alias("_after"), F.count("_point").alias("_prices")
-    )
-    before, after, average = F.col("_before"), F.col("_after"), F.col("moving_avg_price")
+    met = steps.select("_earlier", "_later", "_points", F.explode("_signals").alias("_signal"))
+    at, micros = F.unix_micros(f"_signal.{TIMESTAMP}"), int(reach_seconds) * 1_000_000
+
+    def in_reach(point: Column) -> Column:
+        return F.when(F.abs(point["at"] - at) <= micros, point)
+
+    earlier, later = in_reach(F.col("_earlier")), in_reach(F.col("_later"))
+    before = F.coalesce(F.array_max(F.filter("_points", lambda point: point["at"] <= at)), earlier)
+    after = F.coalesce(F.array_min(F.filter("_points", lambda point: point["at"] >= at)), later)
+    number = F.size("_points") + earlier.isNotNull().cast("int") + later.isNotNull().cast("int")
+    met = met.select("_signal.*", before.alias("_before"), after.alias("_after"), number.alias("_prices"))
+    at, before, after, average = F.unix_micros(TIMESTAMP), F.col("_before"), F.col("_after"), F.col("moving_avg_price")
     share = F.try_divide(at - before["at"], after["at"] - before["at"])
     value = (
         F.when(F.col("_prices") < 2, average)
@@ -90,4 +109,4 @@ def interpolate_live(
         .when(before.isNull() | after.isNull(), average)
         .otherwise(before["price"] + (after["price"] - before["price"]) * share)
     )
-    return around.select(*signals.columns, value.alias("signal_value"))
+    return met.select(*signals.columns, value.alias("signal_value"))
