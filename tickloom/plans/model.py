@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.signals import ratio_signal
 from tickloom.operators.ordered import ROWS_PER_SEGMENT, lagged, plan_layout
 from tickloom.operators.windows import feature_snapshot
-from tickloom.plans.elastic import ElasticNet, fit, moments
+from tickloom.plans.elastic import MOMENTS, ElasticNet, fit, moments
 from tickloom.schemas import FEATURES, PRICE, TICKER, TIMESTAMP
 from tickloom.sources.messages import FILE_SEQUENCE
 
@@ -25,6 +25,9 @@ LABEL_HORIZON = -10
 FAIL, FILL_IN, LEAVE_OUT = "fail", "fill", "leave out"
 FILL = 0.0
 
+# A deviation of less than this part of the mean is the rounding of a mean of equal numbers.
+ROUNDING = 1e-14
+
 # How many models a store keeps.
 KEPT_MODELS = 10
 
@@ -113,27 +116,22 @@ def coefficient_table(spark: SparkSession, model: ElasticNet) -> DataFrame:
 def training_moments(training: DataFrame) -> DataFrame:
     """(feature, other, mean, deviation, correlation) of all pairs of features and the label, missing ones filled in.
 
-    Mean and deviation are the feature's. One aggregation gives them all; a fit is a function of these numbers.
+    Mean and deviation are the feature's. They follow from ``elastic.moments``: one pass over the rows, with products of
+    matrices instead of 136 correlations a row. A column that never changes has no correlation; one whose deviation is
+    within the rounding of its mean is such. Without rows all numbers are null.
     """
-    names = [*FEATURES, "label"]
-    filled = training.select(*[F.coalesce(F.col(f"`{name}`").cast("double"), F.lit(FILL)).alias(name) for name in names])
-    pairs = [(one, other) for at, one in enumerate(names) for other in names[at:]]
-    sums = filled.agg(
-        *[F.avg(f"`{name}`").alias(f"mean {name}") for name in names],
-        *[F.stddev_pop(f"`{name}`").alias(f"deviation {name}") for name in names],
-        *[F.corr(f"`{one}`", f"`{other}`").alias(f"{one} {other}") for one, other in pairs],
-    )
-    rows = [
-        F.struct(
-            F.lit(one).alias("feature"),
-            F.lit(other).alias("other"),
-            F.col(f"`mean {one}`").alias("mean"),
-            F.col(f"`deviation {one}`").alias("deviation"),
-            F.nanvl(f"`{one} {other}`", F.lit(None).cast("double")).alias("correlation"),
-        )
-        for one, other in pairs
-    ]
-    return sums.select(F.inline(F.array(*rows)))
+    names, kinds = [*FEATURES, "label"], "feature STRING, other STRING"
+    rows = filled(training).withColumn("label", F.coalesce(F.col("label").cast("double"), F.lit(FILL)))
+    # One row per pair, asked for once: each of the joins below would go through the rows again.
+    found = training.sparkSession.createDataFrame(moments(rows).collect(), MOMENTS).withColumn("deviation", F.sqrt(F.col("comoment") / F.col("n")))
+    own = found.where("feature = other").select("feature", "mean", "deviation")
+    spread = own.select("feature", F.when(F.col("deviation") > F.abs("mean") * ROUNDING, F.col("deviation")).alias("_spread"))
+    pairs = training.sparkSession.createDataFrame([(one, other) for at, one in enumerate(names) for other in names[at:]], kinds)
+    every = pairs.join(found.select("feature", "other", "n", "comoment"), ["feature", "other"], "left").join(own, "feature", "left")
+    every = every.join(spread, "feature", "left")
+    every = every.join(spread.select(F.col("feature").alias("other"), F.col("_spread").alias("_other_spread")), "other", "left")
+    correlation = F.nanvl(F.col("comoment") / F.col("n") / F.col("_spread") / F.col("_other_spread"), F.lit(None).cast("double"))
+    return every.select("feature", "other", "mean", "deviation", correlation.alias("correlation"))
 
 
 def optimality(
