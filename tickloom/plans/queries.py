@@ -496,7 +496,7 @@ def _stream_interpolate(spark, folder):
         for some_prices, some_signals in (*parts, (closing, clock)):
             inputs = []
             for name, rows in (("prices", some_prices), ("signals", some_signals)):
-                rows.write.mode("append").parquet(f"{staged.root}/{name}")
+                rows.repartition(*rows.columns).write.mode("append").parquet(f"{staged.root}/{name}")
                 inputs.append(spark.readStream.schema(rows.schema).parquet(f"{staged.root}/{name}"))
             staged.run(live.interpolate_live(*inputs, reach_seconds=LIVE_REACH), "interpolate", staged.sink("valued"))
     return staged.table("valued").select(TICKER, TIMESTAMP, "moving_avg_price", "signal_value").where(F.col(TICKER) != CLOCK)
@@ -545,9 +545,16 @@ def _stream_history(spark, folder):
     """Clean quotes stored by day, a few hours a batch, and read back by day."""
     staged = _Staged(spark, folder, "history")
     table = HistoryTable(spark, f"{staged.root}/history", compact_after=3)
+
+    def take(rows: DataFrame, batch_id: int) -> None:
+        rows.persist()
+        for _ in range(2):
+            table.write_batch(rows, batch_id)
+        rows.unpersist()
+
     for messages in staged.steps(6):
         staged.lay_down(messages)
-        staged.run(staged.quotes(), "history", lambda rows, batch_id: [table.write_batch(rows, batch_id) for _ in range(2)] and None)
+        staged.run(staged.quotes(), "history", take)
     return table.days("2000-01-01", HISTORY_UNTIL).select(TICKER, TIMESTAMP, "event_id", *CLEAN_TYPES)
 
 

@@ -17,6 +17,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def spread_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The events, dealt over all tasks. They may lie in one file of one row group, which a single task reads; the text
+    of quotes, its parse and all that follows up to the next shuffle would be that task's too."""
+    return table(spark, folder, "events").repartition("event_id", "ts")
+
+
 def _event_time() -> Column:
     return F.col("ts").cast("timestamp")
 
@@ -53,7 +59,7 @@ def raw_quotes(spark: SparkSession, folder: str) -> DataFrame:
         "eps": _text(k - 30, ".5"),
         "1y_target_est": dashes_every(11, F.format_number(scaled + 2, 2)),
     }
-    events = table(spark, folder, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    events = spread_events(spark, folder).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     return events.select(
         F.col("event_type").alias(TICKER),
         "event_id",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -60,12 +60,13 @@ class HistoryTable:
         return f"{self._folder}/data/{DATE}={date}/part={part}"
 
     def write_batch(self, rows: DataFrame, batch_id: int) -> None:
-        """Add a micro-batch; the same again if it is repeated."""
+        """Add a micro-batch; the same again if it is repeated. Goes through ``rows`` once."""
         part = f"{run_of(rows.sparkSession)}-{batch_id}"
         dated = rows.withColumn(DATE, F.to_date(TIMESTAMP)).where(F.col(DATE).isNotNull()).withColumn("part", F.lit(part))
-        writer = dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DATE, "part")
+        seen = Observation()
+        writer = dated.observe(seen, F.collect_set(DATE).alias("days")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DATE, "part")
         writer.parquet(f"{self._folder}/data")
-        days = {(str(row[DATE]), part) for row in dated.select(DATE).distinct().collect()}
+        days = {(str(date), part) for date in seen.get.get("days") or ()}
         newest, known = self._entries()
         kept = {entry for entry in known.get(newest, set()) if entry[1] != part}
         self._commit(newest + 1, self._compacted(kept, newest + 1, rows.schema) | days, known)
