@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tickloom.session import fresh_folder, session_settings
 from tickloom.sources import samples
+from tickloom.streaming import live
 from tickloom.streaming.history import HistoryTable
 
 
@@ -31,3 +32,28 @@ def test_quotes_of_one_file_are_dealt_over_tasks(spark, sf_dir):
         quotes = samples.raw_quotes(spark, sf_dir)
         tasks = quotes.select(F.spark_partition_id().alias("task")).groupBy("task").count().collect()
     assert len(tasks) == 4 and max(row["count"] for row in tasks) < 0.4 * quotes.count()
+
+
+def test_prices_of_one_file_can_be_dealt_over_tasks(spark, sf_dir):
+    with session_settings(spark, {"spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        prices = samples.prices(spark, sf_dir, spread=True)
+        tasks = prices.select(F.spark_partition_id().alias("task")).groupBy("task").count().collect()
+    assert len(tasks) == 4 and prices.exceptAll(samples.prices(spark, sf_dir)).isEmpty()
+
+
+def test_live_dispatch_parses_a_message_once_for_its_kind(spark):
+    values = ['{"regular_market_price":1.5}', '{"rsi_signal":1}', '{"other":1}', None]
+    rows = spark.createDataFrame([(value,) for value in values], "value STRING").repartition(2)
+    seen = {}
+
+    class Target:
+        def __init__(self, kind):
+            self.kind = kind
+
+        def write_batch(self, own, batch_id):
+            plan = own._jdf.queryExecution().optimizedPlan().toString()
+            seen[self.kind] = [row.value for row in own.collect()], plan.count("get_json_object(value")
+
+    live.dispatch_to({kind: [Target(kind)] for kind in ("quote", "signal")})(rows, 0)
+    assert {kind: found for kind, (found, _) in seen.items()} == {"quote": values[:1], "signal": values[1:2]}
+    assert seen["quote"][1] == 2  # one for each kind; later plans show the stored rows' plan twice

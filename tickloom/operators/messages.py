@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.schemas import (
@@ -55,9 +55,13 @@ def multiplex(quote_messages: DataFrame, signal_messages: DataFrame) -> DataFram
     )
 
 
-def dispatch(messages: DataFrame) -> DataFrame:
-    """Add ``kind``: a message with a price is a quote, else one with an RSI signal is a signal; drop the rest."""
+def kind_of_message() -> Column:
+    """A message with a price is a quote, else one with an RSI signal is a signal; null for the rest."""
     is_quote = F.get_json_object("value", "$.regular_market_price").isNotNull()
     is_signal = F.get_json_object("value", "$.rsi_signal").isNotNull()
-    kind = F.when(is_quote, F.lit("quote")).when(is_signal, F.lit("signal"))
-    return messages.withColumn("kind", kind).where(F.col("kind").isNotNull())
+    return F.when(is_quote, F.lit("quote")).when(is_signal, F.lit("signal"))
+
+
+def dispatch(messages: DataFrame) -> DataFrame:
+    """Add ``kind``: a message with a price is a quote, else one with an RSI signal is a signal; drop the rest."""
+    return messages.withColumn("kind", kind_of_message()).where(F.col("kind").isNotNull())

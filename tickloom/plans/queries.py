@@ -98,8 +98,8 @@ def _cleaned(*fields: str) -> Query:
     return query
 
 
-def _read_back(messages: DataFrame, *passed: str) -> DataFrame:
-    """Ticker and every field any encoder writes, out of the JSON text."""
+def _read_back(messages: DataFrame, *passed: str, fields: tuple[str, ...] | None = None) -> DataFrame:
+    """Ticker and every field any encoder writes, or those of ``fields`` only, out of the JSON text."""
     schema = {
         **CLEAN_TYPES,
         "moving_avg_price": "double",
@@ -111,7 +111,7 @@ def _read_back(messages: DataFrame, *passed: str) -> DataFrame:
         "ols_signal": "int",
         "timestamp": "string",
     }
-    ddl = ", ".join(f"`{name}` {kind}" for name, kind in schema.items())
+    ddl = ", ".join(f"`{name}` {kind}" for name, kind in schema.items() if fields is None or name in fields)
     return messages.select(
         *passed, F.get_json_object("key", "$.ticker_symbol").alias(TICKER), F.from_json("value", ddl).alias("value")
     ).select(*passed, TICKER, "value.*")
@@ -160,9 +160,9 @@ def _long_stats(spark: SparkSession, folder: str) -> DataFrame:
     return sliding_stats(samples.prices(spark, folder), LONG_WINDOW, HOUR)
 
 
-def _signals(spark, folder):
+def _signals(spark, folder, spread: bool = False):
     """All windows of the quotes."""
-    return gen_signal(samples.prices(spark, folder), WINDOW, HOUR)
+    return gen_signal(samples.prices(spark, folder, spread), WINDOW, HOUR)
 
 
 def _ended_signals(spark, folder):
@@ -444,20 +444,22 @@ def _stream_multiplex(spark, folder):
     """Quotes and signals merged live: the signals are silent at first, and some quotes come twice."""
     staged = _Staged(spark, folder, "multiplex")
     kept = (TIMESTAMP, "event_id")
-    signals = _signals(spark, folder).withColumn("event_id", F.xxhash64(TICKER, TIMESTAMP))
+    signals = _signals(spark, folder, spread=True).withColumn("event_id", F.xxhash64(TICKER, TIMESTAMP))
     signals = msg.encode(signals, msg.SIGNAL_MESSAGE, kept)
     quotes = [msg.encode(clean_quotes(decode_messages(part)), msg.QUOTE_MESSAGE, kept) for part in staged.steps(2)]
-    again = quotes[0].where("event_id % 3 = 0")
     sinks = {kind: [staged.sink(kind)] for kind in ("quote", "signal")}
     with session_settings(spark, {**_state(spark), **live.merge_settings(live.WAIT)}):
-        for new_quotes, new_signals in ((quotes[0], signals.limit(0)), (quotes[1].union(again), signals)):
+        for step, new_signals in enumerate((signals.limit(0), signals)):
+            new_quotes = quotes[step]
+            if step:  # what comes twice lies there from the first step
+                new_quotes = new_quotes.union(staged.table("quotes").select(*new_quotes.columns).where("event_id % 3 = 0"))
             new_quotes.write.mode("append").parquet(f"{staged.root}/quotes")
             new_signals.write.mode("append").parquet(f"{staged.root}/signals")
             inputs = [read_messages(spark, "parquet", path=f"{staged.root}/{name}") for name in ("quotes", "signals")]
             staged.run(live.live_merge(*inputs), "live", live.dispatch_to(sinks))
     shown = (TICKER, TIMESTAMP, PRICE, "moving_avg_price", "rsi_signal", "mac_signal")
     both = [staged.table(kind).select("key", "value").withColumn("kind", F.lit(kind)) for kind in sinks]
-    return _read_back(both[0].unionByName(both[1]), "kind").select("kind", *shown)
+    return _read_back(both[0].unionByName(both[1]), "kind", fields=shown).select("kind", *shown)
 
 
 def _stream_view(keep: Callable[[DataFrame], DataFrame], *names: str) -> Query:

@@ -78,9 +78,10 @@ def quote_messages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def prices(spark: SparkSession, folder: str) -> DataFrame:
-    """Ticker, timestamp, event_id and a numeric price per event."""
-    return table(spark, folder, "events").select(
+def prices(spark: SparkSession, folder: str, spread: bool = False) -> DataFrame:
+    """Ticker, timestamp, event_id and a numeric price per event; with ``spread`` dealt over all tasks."""
+    events = spread_events(spark, folder) if spread else table(spark, folder, "events")
+    return events.select(
         F.col("event_type").alias(TICKER),
         _event_time().alias(TIMESTAMP),
         "event_id",

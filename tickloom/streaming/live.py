@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.messages import dispatch, multiplex
+from tickloom.operators.messages import kind_of_message, multiplex
 from tickloom.schemas import PRICE, TICKER, TIMESTAMP
 from tickloom.sources.messages import FILE_SEQUENCE
 from tickloom.streaming.sinks import Sink
@@ -44,7 +44,8 @@ def dispatch_to(sinks: Mapping[str, Sequence[Sink]]) -> Callable[[DataFrame, int
     """Micro-batch function: quotes go to the sinks of ``quote`` and signals to those of ``signal``; other messages are dropped."""
 
     def write(rows: DataFrame, batch_id: int) -> None:
-        told = dispatch(rows).persist()
+        # Dropped by the sinks' conditions: a condition here would go before the column and parse each message again.
+        told = rows.withColumn("kind", kind_of_message()).persist()
         try:
             for kind, targets in sinks.items():
                 own = told.where(F.col("kind") == kind).drop("kind")
