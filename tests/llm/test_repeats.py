@@ -5,6 +5,7 @@ import re
 from hashlib import sha256
 
 import numpy as np
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -122,3 +123,18 @@ def test_block_hashes_tell_units_not_places():
     hashes = block.hashes(2)
     assert hashes[0] == hashes[2] == hashes[6] and len(set(hashes.tolist())) == 5
     assert block.inside(2).tolist() == [True, True, True, True, False, True, True]
+
+
+def test_sources_are_placed_by_number_and_not_sorted(monkeypatch):
+    rng = random.Random(11)
+    text = bytes(rng.choice(b"abc\x00") for _ in range(400))
+    given = sorted({text[at : at + rng.randrange(8, 15)] for at in range(0, 380, 3)})
+    ids = [rng.randrange(40) for _ in given]
+    monkeypatch.setattr(suffixes.np, "lexsort", None)
+    found = suffixes.sources(pd.DataFrame({"piece": given, "piece_id": range(len(given)), "least_id": ids}), 8)
+    least = {}
+    for piece, own in zip(given, ids):
+        for at in range(len(piece) - 7):
+            least[piece[at : at + 8]] = min(own, least.get(piece[at : at + 8], own))
+    spans = {(row.piece_id, at): row.source_id for row in found.itertuples() for at in range(row.low, row.high + 1)}
+    assert spans == {(number, at): least[piece[at : at + 8]] for number, piece in enumerate(given) for at in range(len(piece) - 7)}

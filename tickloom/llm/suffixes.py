@@ -79,11 +79,13 @@ def ordered_windows(strings: list[bytes], window: int, folder: str) -> tuple[np.
     count, lengths = len(strings), np.array([len(s) for s in strings])
     longest = int(lengths.max())
     symbols = np.zeros((longest + 1, count), dtype=np.uint8)  # symbols[j]: the j-th from the right
-    for at, s in enumerate(strings):
-        symbols[: len(s), at] = np.frombuffer(s, dtype=np.uint8)[::-1] + np.uint8(1)
+    ends = np.cumsum(lengths)
+    right = np.repeat(ends - 1, lengths) - np.arange(ends[-1])  # of each symbol, how many of its string follow
+    symbols.ravel()[right * count + np.repeat(np.arange(count), lengths)] = np.frombuffer(b"".join(strings), dtype=np.uint8) + np.uint8(1)
     transform = Column(folder, "transform", symbols[0])
     prefixes = Column(folder, "prefixes", np.zeros(count))
     active, at = np.arange(count), np.arange(count)  # strings by place of their last suffix, and the places, ascending
+    code = np.int32 if count * (longest + 1) < 1 << 31 else np.int64
     owners = None  # of suffixes of a window at least: string and start; -1 for the others
     for length in range(1, longest + 1):
         before, common = transform.read()[:-1], prefixes.read()
@@ -93,7 +95,7 @@ def ordered_windows(strings: list[bytes], window: int, folder: str) -> tuple[np.
         size, by_symbol = len(before), np.argsort(before, kind="stable")
         here = np.zeros(size, dtype=bool)
         here[at] = True
-        rank = np.flatnonzero(here[by_symbol])  # of the active places, by symbol and place
+        rank = np.flatnonzero(here.take(by_symbol))  # of the active places, by symbol and place
         turn = np.argsort(before[at], kind="stable")
         put = rank + (count - np.count_nonzero(lengths < length))  # ends alone come first; whole strings have nothing before
         back = np.empty_like(turn)
@@ -119,15 +121,15 @@ def ordered_windows(strings: list[bytes], window: int, folder: str) -> tuple[np.
         prefixes.write(merged)
         at = put
         if length >= window:
-            kept = np.empty(len(old), dtype=np.int64)
+            kept = np.empty(len(old), dtype=code)
             kept[old] = -1 if owners is None else owners
-            kept[put] = active.astype(np.int64) * (longest + 1) + lengths[active] - length
+            kept[put] = active * (longest + 1) + lengths[active] - length
             owners = kept
     found = np.flatnonzero(owners >= 0)
     new = prefixes.read()[found] < window
     transform.close()
     prefixes.close()
-    return owners[found] // (longest + 1), owners[found] % (longest + 1), new
+    return *np.divmod(owners[found].astype(np.int64), longest + 1), new
 
 
 def sources(collection: pd.DataFrame, window: int) -> pd.DataFrame:
@@ -137,7 +139,11 @@ def sources(collection: pd.DataFrame, window: int) -> pd.DataFrame:
     least = collection["least_id"].to_numpy()[owners]
     kinds = np.flatnonzero(new)
     source = np.repeat(np.minimum.reduceat(least, kinds), np.diff(np.append(kinds, len(new))))
-    order = np.lexsort((starts, owners))
+    # Each string and start is there once, so its number is its place: no sort.
+    width = int(starts.max()) + 1
+    place = np.full((int(owners.max()) + 1) * width, -1)
+    place[owners * width + starts] = np.arange(len(owners))
+    order = place[place >= 0]
     owners, starts, source = owners[order], starts[order], source[order]
     turn = np.ones(len(owners), dtype=bool)
     turn[1:] = (owners[1:] != owners[:-1]) | (source[1:] != source[:-1])
