@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from tickloom.operators.clean import clean_quotes
 from tickloom.session import fresh_folder, session_settings
 from tickloom.sources import samples
-from tickloom.streaming import live
+from tickloom.streaming import live, service
 from tickloom.streaming.history import HistoryTable
 
 
@@ -57,3 +58,25 @@ def test_live_dispatch_parses_a_message_once_for_its_kind(spark):
     live.dispatch_to({kind: [Target(kind)] for kind in ("quote", "signal")})(rows, 0)
     assert {kind: found for kind, (found, _) in seen.items()} == {"quote": values[:1], "signal": values[1:2]}
     assert seen["quote"][1] == 2  # one for each kind; later plans show the stored rows' plan twice
+
+
+def test_training_goes_through_its_rows_once(spark, sf_dir, monkeypatch):
+    saved, original = [], service.training_set
+
+    def asked_once(*given):
+        found = original(*given)
+        found.isEmpty = None
+        return found
+
+    class Store:
+        def save(self, model, *version):
+            saved.append(model)
+
+    quotes = clean_quotes(samples.raw_quotes(spark, sf_dir))
+    monkeypatch.setattr(service, "training_set", asked_once)
+    service.train_on_batch(Store())(quotes, 0)
+    service.train_on_batch(Store())(quotes.limit(0), 1)
+    assert len(saved) == 1
+    monkeypatch.undo()
+    service.train_on_batch(Store(), missing="leave out")(quotes.limit(0), 2)
+    assert len(saved) == 1

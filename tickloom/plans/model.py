@@ -104,10 +104,22 @@ def train_elastic_net(
     if missing == LEAVE_OUT:
         found = missing_features(training).first()
         logging.getLogger(__name__).warning("%d of %d rows left out: a feature is missing", found.incomplete, found.rows)
-    model = fit(moments(filled(training, missing)), reg_param, elastic_net_param, max_iter, tol)
+    model = fitted(training, max_iter, reg_param, elastic_net_param, missing, tol)
     return model or ElasticNet((0.0,) * len(FEATURES), 0.0)
 
 
+def fitted(
+    training: DataFrame,
+    max_iter: int = 100_000,
+    reg_param: float = 0.1,
+    elastic_net_param: float = 0.8,
+    missing: str = FILL_IN,
+    tol: float = 1e-12,
+) -> ElasticNet | None:
+    """The model of ``train_elastic_net``, or nothing if there are no rows to fit; goes through the rows once."""
+    return fit(moments(filled(training, missing)), reg_param, elastic_net_param, max_iter, tol)
+
+
 def coefficient_table(spark: SparkSession, model: ElasticNet) -> DataFrame:
     """One row per feature and one for the intercept."""
     return model.table(spark)

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tickloom.operators.clean import clean_quotes
 from tickloom.operators.ordered import ROWS_PER_SEGMENT
-from tickloom.plans.model import FILL_IN, LABEL_HORIZON, ModelStore, ols_signal, score, train_elastic_net, training_set
+from tickloom.plans.model import FILL_IN, LABEL_HORIZON, LEAVE_OUT, ModelStore, fitted, ols_signal, score, train_elastic_net, training_set
 from tickloom.plans.signals import gen_signal
 from tickloom.schemas import CLEAN_TOPIC, OLS_TOPIC, SIGNAL_TOPIC, TICKER, TIMESTAMP
 from tickloom.session import session_settings
@@ -71,8 +71,12 @@ def train_on_batch(
                 return
             recent = rows if history is None else recent_history(rows, history, minutes)
             training = training_set(recent, horizon, sequence, rows_per_segment)
-            if not training.isEmpty():
-                store.save(train_elastic_net(training, missing=missing), batch_id, run_of(rows.sparkSession))
+            if missing == LEAVE_OUT and not training.isEmpty():  # rows left out are logged; without any other the model is zero
+                model = train_elastic_net(training, missing=missing)
+            else:
+                model = fitted(training, missing=missing)
+            if model is not None:
+                store.save(model, batch_id, run_of(rows.sparkSession))
         finally:
             rows.unpersist()
 
