@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 
 from tests.llm.cases import frame, of, plain_bytes, rows, words
 from tickloom.llm import passages, suffixes
-from tickloom.llm.anchors import Block, sliding
+from tickloom.llm.anchors import Block, distinct, sliding
 
 
 def covered(units, ids, window):
@@ -138,3 +138,19 @@ def test_sources_are_placed_by_number_and_not_sorted(monkeypatch):
             least[piece[at : at + 8]] = min(own, least.get(piece[at : at + 8], own))
     spans = {(row.piece_id, at): row.source_id for row in found.itertuples() for at in range(row.low, row.high + 1)}
     assert spans == {(number, at): least[piece[at : at + 8]] for number, piece in enumerate(given) for at in range(len(piece) - 7)}
+
+
+def test_columns_grow_by_what_has_begun(monkeypatch, tmp_path):
+    """Strings begin in one column, so each adds its own length to the rounds, not that of the longest."""
+    strings = [b"abcabcabcabd" * 5, *(b"%c%s" % (97 + at, b"bcabcab") for at in range(20))]
+    wrote, write = [], suffixes.Column.write
+    monkeypatch.setattr(suffixes.Column, "write", lambda self, values: (wrote.append(len(values)), write(self, values))[1])
+    owners, starts, _ = suffixes.ordered_windows(strings, 6, str(tmp_path))
+    assert len(set(zip(owners.tolist(), starts.tolist(), strict=True))) == len(owners) == sum(len(s) - 5 for s in strings)
+    ends = len(strings) * (len(strings[0]) + 1)
+    assert sum(wrote) == 2 * (ends + sum(len(s) * (len(s) + 1) // 2 for s in strings))
+
+
+def test_distinct_values_are_those_of_numpy():
+    for values in (np.array([], dtype=np.uint64), np.array([3, 1, 2**64 - 1, 3, 1], dtype=np.uint64)):
+        assert distinct(values).tolist() == np.unique(values).tolist() and distinct(values).dtype == np.uint64

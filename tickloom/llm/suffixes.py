@@ -74,30 +74,32 @@ def least_between(prefixes: np.ndarray, low: np.ndarray, high: np.ndarray) -> np
 def ordered_windows(strings: list[bytes], window: int, folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, start, first of its kind) of all windows of the strings, in order of the suffixes they begin.
 
-    Symbols are bytes plus one; zero is the end of a string. UTF-8 has no byte 255.
+    Symbols are bytes plus one; zero is the end of a string. UTF-8 has no byte 255. Strings begin in one column: a round
+    inserts the suffixes of all strings from one start on, and a string is taken up in the round of its last symbol. So
+    short ones add nothing to the early rounds, and no round is left to long ones alone.
     """
     count, lengths = len(strings), np.array([len(s) for s in strings])
     longest = int(lengths.max())
-    symbols = np.zeros((longest + 1, count), dtype=np.uint8)  # symbols[j]: the j-th from the right
+    symbols = np.zeros((longest + 1, count), dtype=np.uint8)  # symbols[j]: before the suffixes of the j-th round
     ends = np.cumsum(lengths)
-    right = np.repeat(ends - 1, lengths) - np.arange(ends[-1])  # of each symbol, how many of its string follow
-    symbols.ravel()[right * count + np.repeat(np.arange(count), lengths)] = np.frombuffer(b"".join(strings), dtype=np.uint8) + np.uint8(1)
+    turn = np.repeat(ends - lengths + longest - 1, lengths) - np.arange(ends[-1])  # of each symbol, the round before its own
+    symbols.ravel()[turn * count + np.repeat(np.arange(count), lengths)] = np.frombuffer(b"".join(strings), dtype=np.uint8) + np.uint8(1)
     transform = Column(folder, "transform", symbols[0])
     prefixes = Column(folder, "prefixes", np.zeros(count))
-    active, at = np.arange(count), np.arange(count)  # strings by place of their last suffix, and the places, ascending
-    code = np.int32 if count * (longest + 1) < 1 << 31 else np.int64
-    owners = None  # of suffixes of a window at least: string and start; -1 for the others
+    taken_up = np.split(*taken_up_by_round(lengths, longest))
+    active = at = np.empty(0, dtype=np.int64)  # strings by place of their last suffix, and the places, ascending
     for length in range(1, longest + 1):
         before, common = transform.read()[:-1], prefixes.read()
-        if (lengths[active] < length).any():
-            going = lengths[active] >= length
-            active, at = active[going], at[going]
+        begun = taken_up[length - 1]
+        if len(begun):  # ends are the first places, in order of strings; nothing stood before these until now
+            active, at = np.concatenate([begun, active]), np.concatenate([begun, at])
+            before[begun] = symbols[length - 1][begun]
         size, by_symbol = len(before), np.argsort(before, kind="stable")
         here = np.zeros(size, dtype=bool)
         here[at] = True
         rank = np.flatnonzero(here.take(by_symbol))  # of the active places, by symbol and place
         turn = np.argsort(before[at], kind="stable")
-        put = rank + (count - np.count_nonzero(lengths < length))  # ends alone come first; whole strings have nothing before
+        put = rank + len(active)  # all ends come first; those of strings not taken up have nothing before
         back = np.empty_like(turn)
         back[turn] = np.arange(len(turn))
         rank = rank[back]  # by place again, as the common prefixes lie
@@ -120,16 +122,38 @@ def ordered_windows(strings: list[bytes], window: int, folder: str) -> tuple[np.
         merged[next_put] = next_shared
         prefixes.write(merged)
         at = put
-        if length >= window:
-            kept = np.empty(len(old), dtype=code)
-            kept[old] = -1 if owners is None else owners
-            kept[put] = active * (longest + 1) + lengths[active] - length
-            owners = kept
-    found = np.flatnonzero(owners >= 0)
-    new = prefixes.read()[found] < window
+    before, common = transform.read()[:-1], prefixes.read()
     transform.close()
     prefixes.close()
-    return *np.divmod(owners[found].astype(np.int64), longest + 1), new
+    owners = window_owners(before, lengths, window)
+    found = np.flatnonzero(owners >= 0)
+    return *np.divmod(owners[found], longest + 1), common[found] < window
+
+
+def taken_up_by_round(lengths: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Strings in the order they are taken up, ascending in a round, and where each round but the first begins."""
+    order = np.argsort(longest - lengths, kind="stable")
+    return order, np.searchsorted((longest - lengths)[order], np.arange(1, longest))
+
+
+def window_owners(transform: np.ndarray, lengths: np.ndarray, window: int) -> np.ndarray:
+    """String and start, as string * (longest + 1) + start, of each suffix of a window at least; -1 for the others.
+
+    The finished transform is followed from each string's end to its start: a symbol's rank is the place of the suffix
+    that it begins.
+    """
+    longest = int(lengths.max())
+    following, owners = np.empty(len(transform), dtype=np.int64), np.full(len(transform), -1, dtype=np.int64)
+    following[np.argsort(transform, kind="stable")] = np.arange(len(transform))
+    strings = places = np.arange(len(lengths))
+    for length in range(1, longest + 1):
+        if (lengths[strings] < length).any():
+            going = lengths[strings] >= length
+            strings, places = strings[going], places[going]
+        places = following[places]
+        if length >= window:
+            owners[places] = strings * (longest + 1) + lengths[strings] - length
+    return owners
 
 
 def sources(collection: pd.DataFrame, window: int) -> pd.DataFrame:
@@ -178,16 +202,14 @@ def pieces(docs: DataFrame, known: DataFrame, window: int = WINDOW, gram: int =
         new |= (np.arange(len(at)) - run) % (window - short_gram + 1) == 0  # where one gram recurs, a run could go on for ever
         begin = np.flatnonzero(new)
         first, last = at[begin], at[np.append(begin[1:], len(at)) - 1]
-        data, seen, keys, listed = block.data.tobytes(), set(), [], []
-        for low, high in zip(first.tolist(), last.tolist(), strict=True):
-            piece = data[low : high + window]
-            key = xxh3_64_intdigest(piece) - (1 << 63)
-            keys.append(key)
-            listed.append(None if key in seen else piece)
-            seen.add(key)
+        data = block.data.tobytes()
+        listed = [data[low:high] for low, high in zip(first.tolist(), (last + window).tolist(), strict=True)]
+        keys = np.fromiter(map(xxh3_64_intdigest, listed), dtype=np.uint64, count=len(listed)) - np.uint64(1 << 63)
+        listed = pd.Series(listed, dtype="object")
+        listed[pd.Series(keys).duplicated()] = None
         own = texts.iloc[text[begin]]
         columns = own["doc_id"].to_numpy(), own["text_key"].to_numpy(), first - block.first[text[begin]]
-        columns = (*columns, np.array(keys, dtype=np.int64), short[first].astype(np.int64), listed)
+        columns = (*columns, keys.view(np.int64), short[first].astype(np.int64), listed)
         return pd.DataFrame(dict(zip(names, columns, strict=True)))
 
     schema = "doc_id long, text_key long, pos long, piece_id long, deal long, piece binary"
