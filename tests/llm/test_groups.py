@@ -9,6 +9,7 @@ from tickloom.llm import neighbours, simhash
 from tickloom.llm.components import components, forest
 from tickloom.llm.embeddings import near_vectors, visited
 from tickloom.llm.neighbours import hadamard, nearest_neighbours
+from tickloom.session import session_settings
 
 
 def smallest(nodes, links):
@@ -159,6 +160,29 @@ def test_recall_with_two_hashes(spark, monkeypatch):
     assert len(found & wanted) >= 0.9 * len(wanted)
 
 
+def test_visits_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LOT_ROWS", 300, raising=False)
+    made = np.random.default_rng(6).normal(size=(2000, 16)).astype("f4")
+    table = spark.createDataFrame([(at, row.tolist()) for at, row in enumerate(made)], "vec_id long, embedding array<float>")
+    with session_settings(spark, {"spark.sql.maxBroadcastTableSize": "32m"}):
+        found = of(nearest_neighbours(table, table.where("vec_id % 2 = 0"), probes=32))
+    units = made.astype(float) / np.sqrt((made.astype(float) ** 2).sum(axis=1))[:, None]
+    cosines = units[::2] @ units.T
+    cosines[np.arange(1000), np.arange(0, 2000, 2)] = -2
+    assert [row[:3] for row in found] == sorted(
+        ((2 * at, rank + 1, int(vec_id)) for at, row in enumerate(cosines) for rank, vec_id in enumerate(np.argsort(-row)[:5])), key=repr
+    )
+
+
+def test_lots_in_turns_with_shares(spark, monkeypatch):
+    given, table = vectors(spark)
+    whole = of(nearest_neighbours(table, table, tables=3))
+    monkeypatch.setattr(neighbours, "LOT_ROWS", 20)
+    monkeypatch.setattr(neighbours, "TURN_FLOATS", 1)
+    monkeypatch.setattr(neighbours, "LOT_PAIRS", 7)
+    assert of(nearest_neighbours(table, table, tables=3)) == whole
+
+
 def test_hadamard():
     rows = np.random.default_rng(0).normal(size=(3, 8))
     full = np.array([[(-1) ** (i & j).bit_count() for j in range(8)] for i in range(8)]) / np.sqrt(8)
