@@ -180,6 +180,7 @@ def test_lots_in_turns_with_shares(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "LOT_ROWS", 20)
     monkeypatch.setattr(neighbours, "TURN_FLOATS", 1)
     monkeypatch.setattr(neighbours, "LOT_PAIRS", 7)
+    monkeypatch.setattr(neighbours, "HELD_PAIRS", 30)
     assert of(nearest_neighbours(table, table, tables=3)) == whole
 
 
